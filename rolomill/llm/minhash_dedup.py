@@ -8,7 +8,8 @@ Links are pairs with Jaccard similarity of at least PERCENT / 100 between five-w
 3. Exact pruning: a shingle that no other candidate has can't be shared. With m the shingles of a set that some other candidate has, J is at most
    min(m) / (n1 + n2 - min(m)); a candidate with m under 0.85 n has no link at all and leaves. This keeps large groups of loosely alike texts from being paired.
 4. In each bucket all members are checked against the member with the fewest own shingles (a star, linear in the bucket). Checks compare signatures, then full sets.
-5. Only members of one bucket that are still in different components after that are paired and checked, so no link is lost and no group is expanded into all pairs.
+5. Documents of buckets that still hold different components are then paired across components by their rarest shingles (prefix and place filter, exact) and
+   checked, so no link is lost and no group is expanded into all pairs.
 6. Components over the confirmed links.
 """
 
@@ -18,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pieces, small, stage, text_of
@@ -95,6 +96,23 @@ def _bound(m1, n1, m2, n2):
     return 100 * m >= PERCENT * (n1 + n2 - m)
 
 
+def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str) -> DataFrame:
+    """(rep, rep2) of different components that may be links; rest: rep, n, comp. No link between components is left out.
+
+    Shingles are put in one order, those of the fewest documents first. A link shares a shingle within the first n - ceil(0.85 n) + 1 of both sets, and
+    from the places of the first one they share follows the most they can share. Sets that differ from all others in many rare shingles thus meet nobody,
+    however many there are and however many shingles of the common kind they have.
+    """
+    s = blobs.join(small(rest.select("rep")), "rep").mapInArrow(_unfold, f"s long, rep {kind}")
+    s = stage(s)
+    s = s.join(s.groupBy("s").agg(F.count("*").alias("c")), "s").join(rest, "rep")
+    s = s.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("c", "s")) - 1)
+    s = stage(s.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(PERCENT * F.col("n") / 100))).select("s", "rep", "n", "comp", "at"))
+    other = s.select("s", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "at")))
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("n2"))))
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (smallest key reachable), kept (key = component_id).
 
@@ -125,9 +143,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     comp = stage(components(links))
     mc = m.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("component", "rep").alias("comp"))
     split = mc.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    mc = stage(mc.join(split, "key"))
-    other = mc.select("key", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "m", "comp")))
-    more = mc.join(other, "key").where((F.col("comp") < F.col("comp2")) & _bound(F.col("m"), F.col("n"), F.col("m2"), F.col("n2"))).select(*pair("rep", "rep2")).distinct()
+    more = _rare_pairs(stage(mc.join(split, "key").select("rep", "n", "comp").distinct()), blobs, kind).select(*pair("rep", "rep2")).distinct()
     more = stage(more.join(tried, ["a", "b"], "left_anti"))
     comp = stage(components(links.unionAll(_confirm(more, sigs, blobs))))
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
