@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only up to this many rows of one or two longs (about 16 MB); beyond it, the join shuffles.
-BROADCAST_ROWS = 500_000
+from rolomill.plans.staging import shared_dir, stage
 
+__all__ = ["pieces", "shared_dir", "small", "stage", "text_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one that was set before, else (local mode only) an own one."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    sc = spark.sparkContext
-    set_before = sc.getCheckpointDir()
-    if set_before is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rolomill-"))
-        set_before = sc.getCheckpointDir()
-    return set_before.rstrip("/")
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back. Executors may be lost later without loss of the data."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side of a join is broadcast only up to this many rows of one or two longs (about 16 MB); beyond it, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

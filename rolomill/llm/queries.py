@@ -79,11 +79,11 @@ ORACLE_SQL = {
     """,
     "op6_minhash_dedup": """
         with recursive w as (
-            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+            select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
             from documents),
         s as (
             select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-                else list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) end) as s
+                else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
             from w),
         n as (select doc_id, count(*) as n from s group by doc_id),
         pairs as (select x.doc_id as a, y.doc_id as b, count(*) as n_both from s x join s y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),
