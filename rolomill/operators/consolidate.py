@@ -11,10 +11,10 @@ from ..functions.text import clean_text, filled
 from ..schema import FIELDS, VALUABLE
 
 
-def align(df: DataFrame, source_file: str | Column, agent: str = "column_mapper") -> DataFrame:
-    """The eight fields (missing ones empty) with the source file and the agent; other columns go."""
+def align(df: DataFrame, source_file: str | Column, agent: str = "column_mapper", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The eight fields (missing ones empty) with the source file and the agent; other columns go but for those in keep."""
     src = F.lit(source_file) if isinstance(source_file, str) else source_file
-    return df.select(*((F.col(f).cast("string") if f in df.columns else F.lit("")).alias(f) for f in FIELDS), src.alias("source_file"), F.lit(agent).alias("source_agent"))
+    return df.select(*keep, *((F.col(f).cast("string") if f in df.columns else F.lit("")).alias(f) for f in FIELDS), src.alias("source_file"), F.lit(agent).alias("source_agent"))
 
 
 def union_aligned(tables: list[tuple[str, DataFrame]]) -> DataFrame:

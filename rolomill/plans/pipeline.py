@@ -111,7 +111,7 @@ def _consolidate(ctx: Context) -> DataFrame:
     tables = ctx["map"]
     all_ = None
     for k, (name, df) in enumerate(tables):
-        t = consolidate.align(df, name).withColumn("at", df["row_id"]).withColumn("file_no", F.lit(k))
+        t = consolidate.align(df, name, keep=("row_id",)).withColumnRenamed("row_id", "at").withColumn("file_no", F.lit(k))
         all_ = t if all_ is None else all_.unionByName(t)
     if all_ is None:
         raise ValueError("no table found")
