@@ -148,12 +148,12 @@ class Crf:
         self.table = np.zeros((1 << 16, len(labels)), np.float32)
 
     def fit(self, texts: list[str], langs: list[str], seed: int = 5) -> Crf:
+        return self.fit_runs([runs_of(t) for t in texts], langs, seed)
+
+    def fit_runs(self, texts: list[list[str]], langs: list[str], seed: int = 5) -> Crf:
+        """fit() on what runs_of() took from the texts."""
         rng, k = np.random.default_rng(seed), len(self.labels)
-        runs = []
-        for text, lang in zip(texts, langs, strict=True):
-            w = words_of(text)
-            step = max(1, len(w) * RUN // TRAIN_WORDS)
-            runs += [(w[i : i + RUN], self.labels.index(lang)) for i in range(0, len(w), max(step, RUN))]
+        runs = [(r.split(" "), self.labels.index(lang)) for rs, lang in zip(texts, langs, strict=True) for r in rs]
         if not runs:
             return self
         vocab = {w: i for i, w in enumerate(dict.fromkeys(x for r, _ in runs for x in r))}
@@ -249,10 +249,35 @@ class Crf:
         return out
 
 
+def runs_of(text: str) -> list[str]:
+    """Runs of RUN words spread over the whole text, about TRAIN_WORDS words in all; the words of a run are joined by spaces."""
+    w = words_of(text)
+    step = max(1, len(w) * RUN // TRAIN_WORDS)
+    return [" ".join(w[i : i + RUN]) for i in range(0, len(w), max(step, RUN))]
+
+
 def train(docs: DataFrame, docs_at_most: int = TRAIN_DOCS) -> Crf:
-    """Fits on the docs_at_most labelled rows (text, lang) whose doc_id hashes lowest: a bounded sample, drawn from all rows alike."""
-    rows = docs.where("lang is not null and text is not null").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").select("text", "lang").limit(docs_at_most).collect()
-    return Crf(sorted({r.lang for r in rows})).fit([r.text for r in rows], [r.lang for r in rows])
+    """Fits on the docs_at_most labelled rows (text, lang) whose doc_id hashes lowest: a bounded sample, drawn from all rows alike.
+
+    Executors leave out rows whose hash is above twice the sample's share of all labelled rows and cut texts to their training words, so what reaches the driver
+    depends on docs_at_most and not on the rows, the partitions or the lengths of texts. Should ids be repeated so often that too few rows are left, the share grows.
+    """
+    rows = docs.where("lang is not null and text is not null").select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id", "lang", "text")
+    n = rows.count()
+    want, share = min(docs_at_most, n), min(1.0, 2 * docs_at_most / max(n, 1))
+
+    def cut(batches):
+        for b in batches:
+            yield b.set_column(3, "runs", pa.array([runs_of(t) for t in b.column(3).to_pylist()], pa.list_(pa.string())))
+
+    while True:
+        most = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+        low = rows.where(F.col("h") <= most).mapInArrow(cut, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, runs array<string>")
+        found = low.orderBy("h", "doc_id", "lang", "runs").select("lang", "runs").limit(docs_at_most).collect()
+        if len(found) >= want or share >= 1:
+            break
+        share = min(1.0, 4 * share)
+    return Crf(sorted({r.lang for r in found})).fit_runs([r.runs for r in found], [r.lang for r in found])
 
 
 def held_out(key: str = "doc_id"):

@@ -362,6 +362,30 @@ def test_language_accuracy_and_switching(spark):
     assert sum(p == (a if i < 30 else b) for i, p in enumerate(picked)) >= 54
 
 
+def test_training_sample(spark):
+    """The sample is that of the lowest hashes, also if most rows share ids."""
+    rows = [(k, f"word{k} letters" + " more" * k, "en" if k % 2 else "de") for k in range(400)]
+    rows += [(7, "again and again", "en")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(9)
+    for most in (3, 40, 5000):
+        seen = []
+
+        class Spy(language_id.Crf):
+            def fit_runs(self, texts, langs, seed=5):
+                seen.extend(zip(langs, texts, strict=True))
+                return self
+
+        real, language_id.Crf = language_id.Crf, Spy
+        try:
+            language_id.train(df, most)
+        finally:
+            language_id.Crf = real
+        h = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, 3) as h").distinct().collect()}
+        want = sorted((h[k], k, lang, language_id.runs_of(t)) for k, t, lang in rows)[:most]
+        assert [(a, b) for _, _, a, b in want] == seen
+    assert sum(len(r.split()) for r in language_id.runs_of("w " * 100_000)) <= language_id.TRAIN_WORDS + language_id.RUN
+
+
 def test_forward_backward():
     import numpy as np
 
