@@ -26,6 +26,8 @@ from .shingles import powers
 TRAIN_DOCS, TRAIN_WORDS = 1600, 200
 #: Hashed features; words of a training sequence; words of a run of one language in it; epochs; learning rate; weight decay.
 BITS, SEQUENCE, RUN, EPOCHS, RATE, DECAY = 16, 100, 12, 6, 0.3, 1e-5
+#: Characters that are labelled at a time (a single text may be longer), and words whose scores are remembered: both bound the memory of a Python worker.
+PIECE, KNOWN = 1_000_000, 200_000
 BUCKETS = 1 << BITS
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -77,7 +79,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
-def _scan(step, e: np.ndarray, starts: np.ndarray, init: np.ndarray, block: int = 1024) -> np.ndarray:
+def _scan(step, e: np.ndarray, starts: np.ndarray, init: np.ndarray, block: int = 512) -> np.ndarray:
     """x[t] = step(x[t - 1], e[t]), scaled to sum 1, within sequences that begin at starts, where x[start] = init[start]; step is linear in x.
 
     Exact, in blocks that are worked through side by side: a long sequence's blocks are first multiplied out, then follow one another, then
@@ -213,7 +215,7 @@ class Crf:
         known = self.known
         new = list(set(words).difference(known))
         if new:
-            if len(known) + len(new) > 500_000:
+            if len(known) + len(new) > KNOWN:
                 known.clear()
                 new = list(set(words))
             if len(known) + len(new) > len(self.table):
@@ -293,7 +295,7 @@ def identify(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text
         m.w, m.t = w, t
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i, j in pieces(texts, 4_000_000):
+            for i, j in pieces(texts, PIECE):
                 got = m.predict(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -311,7 +313,7 @@ def keep_identified(docs: DataFrame, model: Crf, least: float, text: str = "text
         for b in batches:
             at, to = b.schema.get_field_index(text), b.schema.get_field_index(lang)
             texts = [x or "" for x in b.column(at).to_pylist()]
-            got = [g for i, j in pieces(texts, 4_000_000) for g in m.predict(texts[i:j])]
+            got = [g for i, j in pieces(texts, PIECE) for g in m.predict(texts[i:j])]
             b = b.set_column(to, b.schema.field(to), pa.array([g[0] for g in got], b.schema.field(to).type))
             yield b.filter(pa.array([g[0] != UNKNOWN and g[1] >= least for g in got], pa.bool_()))
 
