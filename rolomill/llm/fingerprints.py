@@ -1,6 +1,6 @@
 """Document fingerprints: MinHash signatures of five-word shingles in vectorised numpy, bands joined in Spark, Jaccard verified.
 
-A fingerprint is the hex string of the upper halves (16 bits) of PERMUTATIONS minima. Likeness of two fingerprints is the share of equal minima, an estimate
+A fingerprint is the hex string of the lower halves (16 bits) of PERMUTATIONS minima: the upper ones of minima over many shingles are all 0. Likeness of two fingerprints is the share of equal minima, an estimate
 of the Jaccard similarity of the shingle sets; texts without words are alike (1) to one another and to no other (0).
 """
 
@@ -26,7 +26,7 @@ def signatures(texts: list[str]) -> np.ndarray:
 
 
 def short(sig: np.ndarray) -> np.ndarray:
-    return (sig >> np.uint32(16)).astype(">u2")
+    return (sig & np.uint32(0xFFFF)).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
