@@ -14,6 +14,8 @@ from rolomill.llm.common import stage
 
 #: Documents whose likeliest language has a smaller share than this are rejected, as are those without a letter.
 LEAST_SHARE = 0.5
+#: Near copies are documents with at least this Jaccard similarity (or linked by such), in percent.
+NEAR_PERCENT = 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies."""
-    drop = minhash_dedup.near_groups(docs).where("not kept").select("doc_id")
+    drop = minhash_dedup.near_groups(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 
 

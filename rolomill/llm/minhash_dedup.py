@@ -1,12 +1,13 @@
 """MinHash near-deduplication: universal hash minima in bands, signature check, exact check, components by large-star and small-star.
 
-Links are pairs with Jaccard similarity of at least PERCENT / 100 between five-word shingle sets. The steps:
+Links are pairs with Jaccard similarity of at least percent / 100 between five-word shingle sets; percent is a parameter, PERCENT the value of op6's
+contract. The steps:
 
 1. One pass over the texts (vectorised numpy) gives each document its set's size, a 128-bit hash of the set and the band keys. Equal sets form a
    class; the smallest doc_id stands for it, so copies are never paired.
-2. Band keys that two classes share make them candidates: P(a pair at 0.85 shares none of BANDS keys of ROWS minima) is under 1e-6.
+2. Band keys that two classes share make them candidates: shape() chooses how many so that P(a pair at percent shares none) is under 1e-6.
 3. Exact pruning: a shingle that no other candidate has can't be shared. With m the shingles of a set that some other candidate has, J is at most
-   min(m) / (n1 + n2 - min(m)); a candidate with m under 0.85 n has no link at all and leaves. This keeps large groups of loosely alike texts from being paired.
+   min(m) / (n1 + n2 - min(m)); a candidate with m under percent of n has no link at all and leaves. This keeps large groups of loosely alike texts from being paired.
 4. In each bucket all members are checked against the member with the fewest own shingles (a star, linear in the bucket). Checks compare signatures, then full sets.
 5. Documents of buckets that still hold different components are then paired across components by their rarest shingles (prefix and place filter, exact) and
    checked, so no link is lost and no group is expanded into all pairs.
@@ -15,6 +16,8 @@ Links are pairs with Jaccard similarity of at least PERCENT / 100 between five-w
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,22 +29,33 @@ from .common import pieces, small, stage, text_of
 from .graph import components
 from .shingles import MinHash, bands, sets, shingles
 
-BANDS, ROWS, PERCENT = 26, 5, 85
-#: Signature agreements below this share of the minima can't come from a link but for a chance under 1e-6 (five standard deviations).
-SLACK = 0.16
+PERCENT = 85
+
+
+def shape(percent: float) -> tuple[int, int]:
+    """(bands, rows): a pair at percent shares no band key with P under 2.5e-7; (26, 5) at 85, (29, 4) at 80."""
+    p = min(percent / 100, 0.99)
+    rows = max(1, min(8, int(math.log(0.4) / math.log(p))))
+    return math.ceil(math.log(2.5e-7) / math.log1p(-(p**rows))), rows
+
+
+def least_equal(percent: float) -> int:
+    """Fewer equal minima than this can't come from a link but for a chance of about 1e-6 (5.1 standard deviations below the mean)."""
+    p, n = percent / 100, math.prod(shape(percent))
+    return int((p - 5.1 * math.sqrt(p * (1 - p) / n)) * n)
 
 
-def _fingerprint(batches):
-    mh = MinHash(BANDS * ROWS)
+def _fingerprint(batches, n_bands, rows):
+    mh = MinHash(n_bands * rows)
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
         for i, j in pieces(texts):
             h, n = shingles(texts[i:j])
             sig = mh(h, n)
             own = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-            key = bands(sig, ROWS)
+            key = bands(sig, rows)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(x) for x in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(np.arange(0, key.size + 1, BANDS, dtype=np.int32), pa.array(key.ravel()))],
+                [ids.slice(i, j - i), pa.array([len(x) for x in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(np.arange(0, key.size + 1, n_bands, dtype=np.int32), pa.array(key.ravel()))],
                 ["doc_id", "n", "set_hash", "sig", "bands"],
             )
 
@@ -62,44 +76,44 @@ def _unfold(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs[i:j]), np.int64)), pa.array(np.repeat(ids[i:j], n[i:j]))], ["s", "rep"])
 
 
-def _alike(batches):
-    """Keep pairs whose signatures agree often enough."""
-    least = int((PERCENT / 100 - SLACK) * BANDS * ROWS)
+def _alike(batches, least):
+    """Keep pairs whose signatures agree in least minima or more."""
     for b in batches:
         if len(b):
             x, y = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), -1) for c in ("sa", "sb"))
             yield b.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
 
 
-def _linked(batches):
+def _linked(batches, percent):
     """Keep pairs whose full sets are similar enough."""
     for b in batches:
         ok = []
         for x, y in zip(b["ba"], b["bb"], strict=True):
             x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            ok.append(100 * both >= percent * (len(x) + len(y) - both))
         yield b.loc[pd.Series(ok, index=b.index, dtype=bool), ["a", "b"]]
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame, percent: float) -> DataFrame:
+    least = least_equal(percent)
     kind = pairs.schema["a"].dataType.simpleString()
     side = lambda t, c, to: t.select(F.col("rep").alias(to), F.col(c).alias(("s" if c == "sig" else "b") + to))
-    near = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sa", "sb").mapInPandas(_alike, f"a {kind}, b {kind}")
+    near = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sa", "sb").mapInPandas(lambda x: _alike(x, least), f"a {kind}, b {kind}")
     near = stage(near)
-    return stage(near.join(side(blobs, "blob", "a"), "a").join(side(blobs, "blob", "b"), "b").select("a", "b", "ba", "bb").mapInPandas(_linked, f"a {kind}, b {kind}"))
+    return stage(near.join(side(blobs, "blob", "a"), "a").join(side(blobs, "blob", "b"), "b").select("a", "b", "ba", "bb").mapInPandas(lambda x: _linked(x, percent), f"a {kind}, b {kind}"))
 
 
-def _bound(m1, n1, m2, n2):
+def _bound(m1, n1, m2, n2, percent):
     """Whether a pair may be a link, by the shingles that any other candidate has."""
     m = F.least(m1, m2)
-    return 100 * m >= PERCENT * (n1 + n2 - m)
+    return 100 * m >= percent * (n1 + n2 - m)
 
 
-def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str) -> DataFrame:
+def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) -> DataFrame:
     """(rep, rep2) of different components that may be links; rest: rep, n, comp. No link between components is left out.
 
-    Shingles are put in one order, those of the fewest documents first. A link shares a shingle within the first n - ceil(0.85 n) + 1 of both sets, and
+    Shingles are put in one order, those of the fewest documents first. A link shares a shingle within the first n - ceil(n percent / 100) + 1 of both sets, and
     from the places of the first one they share follows the most they can share. Sets that differ from all others in many rare shingles thus meet nobody,
     however many there are and however many shingles of the common kind they have.
     """
@@ -107,21 +121,21 @@ def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str) -> DataFrame:
     s = stage(s)
     s = s.join(s.groupBy("s").agg(F.count("*").alias("c")), "s").join(rest, "rep")
     s = s.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("c", "s")) - 1)
-    s = stage(s.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(PERCENT * F.col("n") / 100))).select("s", "rep", "n", "comp", "at"))
+    s = stage(s.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))).select("s", "rep", "n", "comp", "at"))
     other = s.select("s", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "at")))
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + PERCENT) * most >= PERCENT * (F.col("n") + F.col("n2"))))
+    return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))))
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
     """One row per row of docs: key, n_shingles, component_id (smallest key reachable), kept (key = component_id).
 
     Null or word-free texts have no shingles and link with nothing; equal sets are linked. A row with a null key stands alone: component_id null, kept
     true. Rows that share a key count as one node (their links are joined). No rows give no rows; other columns are not read.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kind, (n_bands, rows) = docs.schema[key].dataType.simpleString(), shape(percent)
     src = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text"))
-    meta = stage(src.mapInArrow(_fingerprint, f"doc_id {kind}, n long, set_hash binary, sig binary, bands array<long>"))
+    meta = stage(src.mapInArrow(lambda x: _fingerprint(x, n_bands, rows), f"doc_id {kind}, n long, set_hash binary, sig binary, bands array<long>"))
     full = meta.where("n > 0 and doc_id is not null")
     classes = stage(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     reps = meta.join(classes, (F.col("doc_id") == F.col("rep")) & (meta.set_hash == classes.set_hash)).select("rep", "n", "sig", "bands").dropDuplicates(["rep", "n"])
@@ -133,19 +147,19 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     sigs = reps.select("rep", "sig")
     blobs = stage(src.join(small(cands), src.doc_id == cands.rep, "left_semi").mapInArrow(_blobs, f"rep {kind}, blob binary").dropDuplicates(["rep"]))
     own = blobs.mapInArrow(_unfold, f"s long, rep {kind}").groupBy("s").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("u"))
-    live = reps.select("rep", "n").join(cands, "rep").join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")).where(100 * F.col("m") >= PERCENT * F.col("n"))
+    live = reps.select("rep", "n").join(cands, "rep").join(own, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("m")).where(100 * F.col("m") >= percent * F.col("n"))
     live = stage(live)
     m = members.join(live, "rep")
     lead = m.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("m"), "rep", "n", "m")).alias("l")).select("key", F.col("l.rep").alias("lrep"), F.col("l.n").alias("ln"), F.col("l.m").alias("lm"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = stage(m.join(lead, "key").where((F.col("rep") != F.col("lrep")) & _bound(F.col("m"), F.col("n"), F.col("lm"), F.col("ln"))).select(*pair("rep", "lrep")).distinct())
-    links = _confirm(tried, sigs, blobs)
+    tried = stage(m.join(lead, "key").where((F.col("rep") != F.col("lrep")) & _bound(F.col("m"), F.col("n"), F.col("lm"), F.col("ln"), percent)).select(*pair("rep", "lrep")).distinct())
+    links = _confirm(tried, sigs, blobs, percent)
     comp = stage(components(links))
     mc = m.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("component", "rep").alias("comp"))
     split = mc.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    more = _rare_pairs(stage(mc.join(split, "key").select("rep", "n", "comp").distinct()), blobs, kind).select(*pair("rep", "rep2")).distinct()
+    more = _rare_pairs(stage(mc.join(split, "key").select("rep", "n", "comp").distinct()), blobs, kind, percent).select(*pair("rep", "rep2")).distinct()
     more = stage(more.join(tried, ["a", "b"], "left_anti"))
-    comp = stage(components(links.unionAll(_confirm(more, sigs, blobs))))
+    comp = stage(components(links.unionAll(_confirm(more, sigs, blobs, percent))))
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
     out = meta.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"))

@@ -44,7 +44,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_groups(_read(spark, sf_dir))
+    return minhash_dedup.near_groups(_read(spark, sf_dir), percent=85)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 import random
 from collections import Counter, defaultdict
 
-from rolomill.llm import fingerprints
+import corpus_pipeline
+from rolomill.llm import fingerprints, minhash_dedup
+
+from test_operators import pairs_of, reach, same, shingle_set, tup
 
 
 def test_fingerprints_of_very_long_texts():
@@ -15,3 +18,42 @@ def test_fingerprints_of_very_long_texts():
     near = fingerprints.likeness(sig[[0, 0]], sig[[1, 2]])
     assert near[0] <= 0.02 and abs(near[1] - 0.82) < 0.15
     assert len({x.tobytes() for x in fingerprints.short(sig)}) == 3
+
+
+def family(n, most, seed=1):
+    """n variants of one text with up to most words exchanged."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        w = base[:]
+        for _ in range(rnd.randrange(most + 1)):
+            w[rnd.randrange(len(w))] = f"n{rnd.random()}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def brute_groups(rows, percent):
+    sets = [shingle_set(t) for _, t in rows]
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    return reach({k for k, _ in rows}, links)
+
+
+def test_pipeline_near_copies_at_80(spark, sf):
+    rows = family(120, 9)
+    for k in range(20):  # pairs at 0.81 to 0.84 (three or so exchanged words of 150), each alone
+        w = [f"p{k}_{i}" for i in range(104)]
+        rows += [(1000 + 2 * k, " ".join(w)), (1001 + 2 * k, " ".join(["x", *w[1:50], "y", *w[51:100], "z", *w[101:]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    low, high = brute_groups(rows, 80), brute_groups(rows, 85)
+    assert len(set(low.values())) < len(set(high.values())) - 15
+    same([k for k, _ in pairs_of(corpus_pipeline.near_copies(spark, df, sf))], set(low.values()))
+    same(tup(minhash_dedup.near_groups(df), "doc_id", "component_id"), high.items())
+    same(tup(minhash_dedup.near_groups(df, percent=80), "doc_id", "component_id"), low.items())
+
+
+def test_near_shapes():
+    for percent in (30, 50, 70, 80, 85, 95, 100):
+        n, rows = minhash_dedup.shape(percent)
+        assert (1 - (percent / 100) ** rows) ** n < 1e-6
+    assert minhash_dedup.shape(85) == (26, 5) and minhash_dedup.least_equal(85) == 89
