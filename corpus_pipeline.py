@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolomill.llm import exact_dedup, language_id, minhash_dedup, packing, secret_scan
 from rolomill.llm.common import stage
@@ -24,16 +25,31 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.keep_identified(docs, model, LEAST_SHARE)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, staged with an id of each row, and the id's column: repeated rows, null doc_ids and shared doc_ids can thus be told apart."""
+    row = "row_id"
+    while row in docs.columns:
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of equal texts. Rows without a doc_id can't be named and stay."""
-    drop = exact_dedup.exact_groups(docs).where("not kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of equal texts: that with the largest doc_id (a null one is the smallest), of those the first."""
+    d, row = numbered(docs)
+    keyed = d.select(F.struct("doc_id", (-F.col(row)).alias("less")).alias("doc_id"), "text")
+    drop = exact_dedup.exact_groups(keyed).where("not kept").select((-F.col("doc_id.less")).alias(row))
+    return d.join(drop, row, "left_anti").select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    drop = minhash_dedup.near_groups(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row of each group of near copies: that with the smallest doc_id (a null one is the largest), of those the first."""
+    d, row = numbered(docs)
+    groups = minhash_dedup.near_groups(d, key=row, percent=NEAR_PERCENT).select(F.col("doc_id").alias(row), "component_id")
+    groups = stage(groups.join(d.select(row, "doc_id"), row))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("first")
+    kept = groups.groupBy("component_id").agg(first, F.count("*").alias("size")).where("size > 1").select("component_id", F.col(f"first.{row}").alias("kept_row"))
+    drop = groups.join(kept, "component_id").where(F.col(row) != F.col("kept_row")).select(row)
+    return d.join(drop, row, "left_anti").select(docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,19 @@ def test_near_shapes():
         n, rows = minhash_dedup.shape(percent)
         assert (1 - (percent / 100) ** rows) ** n < 1e-6
     assert minhash_dedup.shape(85) == (26, 5) and minhash_dedup.least_equal(85) == 89
+
+
+def test_pipeline_drops_by_row(spark, sf):
+    """Repeated rows, null ids and ids that several texts share: one row stays of each group, and no clean text goes."""
+    long = [f"w{i}" for i in range(400)]
+    text, near = " ".join(long), " ".join([*long[:-1], "end"])
+    rows = [(1, "same"), (1, "same"), (1, "same"), (None, "same"), (2, "none"), (None, "none"), (None, "lost"), (None, "lost"), (3, "copy"), (4, "copy"), (3, "clean"), (None, None), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.exact_copies(spark, df, sf)
+    assert got.columns == df.columns
+    same([(k, t or "") for k, t in tup(got, "doc_id", "text")], [(1, "same"), (2, "none"), (None, "lost"), (4, "copy"), (3, "clean"), (6, "")])
+    rows = [(1, text), (1, text), (None, near), (None, near), (1, "another text that nothing else is like"), (None, "alone"), (7, near), (None, ""), (None, None), (8, "x y"), (8, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(tup(corpus_pipeline.near_copies(spark, df, sf), "doc_id", "text"), [(1, text), (1, rows[4][1]), (None, "alone"), (None, ""), (None, None), (8, "x y")])
+    df = spark.createDataFrame([(None, text), (None, near), (None, near)], "doc_id long, text string")
+    assert corpus_pipeline.near_copies(spark, df, sf).count() == 1
