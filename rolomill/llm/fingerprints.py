@@ -9,14 +9,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stage, text_of
-from .graph import components
-from .shingles import MinHash, bands, sets, shingles
+from .common import pieces, text_of
+from .minhash_dedup import linked_classes, shape
+from .shingles import MinHash, shingles
 
 PERMUTATIONS, BANDS, ROWS, SIMILARITY = 128, 32, 4, 0.8
 
@@ -107,35 +106,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def near_documents(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, group_id (smallest key that verified pairs reach), n_links of its class representative.
 
-    Equal shingle sets form a class with its smallest key as representative; band keys are joined with each bucket's smallest representative, and
-    pairs are kept if the Jaccard similarity of the full sets is at least similarity. Null or word-free texts stand alone.
+    Equal shingle sets form a class with its smallest key as representative; classes that share band keys are candidates, and pairs are kept if the
+    Jaccard similarity of the full sets is at least similarity. In each bucket all are first checked against one member, then what buckets still hold in
+    different groups is paired by rarest shingles (minhash_dedup), so no group is split; n_links counts the links of both passes, as many as connect the
+    groups and not all pairs within. Null or word-free texts stand alone.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    src = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text"))
-
-    def mark(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in pieces(texts):
-                own = sets(texts[i:j])
-                k = bands(MinHash(PERMUTATIONS)(np.concatenate(own) if own else np.empty(0, np.uint64), np.array([len(x) for x in own], np.int64)), ROWS)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary()), pa.ListArray.from_arrays(np.arange(0, k.size + 1, BANDS, dtype=np.int32), pa.array(k.ravel()))], ["doc_id", "blob", "bands"])
-
-    def check(batches):
-        for b in batches:
-            ok = []
-            for x, y in zip(b["ba"], b["bb"], strict=True):
-                both = len(np.intersect1d(x := np.frombuffer(x, np.int64), y := np.frombuffer(y, np.int64), assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.loc[pd.Series(ok, index=b.index, dtype=bool), ["a", "b"]]
-
-    d = stage(src.mapInArrow(mark, f"doc_id {kind}, blob binary, bands array<long>"))
-    c = stage(d.where("length(blob) > 0 and doc_id is not null").groupBy(F.sha2("blob", 256).alias("h")).agg(F.min("doc_id").alias("rep"), F.first("blob").alias("blob"), F.first("bands").alias("bands")))
-    k = c.select("rep", F.explode("bands").alias("k"))
-    lead = k.groupBy("k").agg(F.min("rep").alias("lo"))
-    pairs = k.join(lead, "k").where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(c.select(F.col("rep").alias("a"), F.col("blob").alias("ba")), "a").join(c.select(F.col("rep").alias("b"), F.col("blob").alias("bb")), "b")
-    links = stage(pairs.select("a", "b", "ba", "bb").mapInPandas(check, f"a {kind}, b {kind}"))
-    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
-    named = c.select("h", "rep").join(components(links).withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")
-    return d.select("doc_id", F.when((F.length("blob") > 0) & F.col("doc_id").isNotNull(), F.sha2("blob", 256)).alias("h")).join(named, "h", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("group_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    percent = round(100 * similarity, 9)
+    form = (BANDS, ROWS) if similarity >= SIMILARITY else shape(percent)
+    rows, classes, links, comp = linked_classes(docs, key, text, percent, form)
+    n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")
+    return rows.drop("n").join(named, "set_hash", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -39,9 +39,9 @@ def shape(percent: float) -> tuple[int, int]:
     return math.ceil(math.log(2.5e-7) / math.log1p(-(p**rows))), rows
 
 
-def least_equal(percent: float) -> int:
-    """Fewer equal minima than this can't come from a link but for a chance of about 1e-6 (5.1 standard deviations below the mean)."""
-    p, n = percent / 100, math.prod(shape(percent))
+def least_equal(percent: float, n: int) -> int:
+    """Fewer equal minima than this can't come from a link but for a chance of about 1e-6 (5.1 standard deviations below the mean of n)."""
+    p = percent / 100
     return int((p - 5.1 * math.sqrt(p * (1 - p) / n)) * n)
 
 
@@ -95,8 +95,7 @@ def _linked(batches, percent):
         yield b.loc[pd.Series(ok, index=b.index, dtype=bool), ["a", "b"]]
 
 
-def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame, percent: float) -> DataFrame:
-    least = least_equal(percent)
+def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame, percent: float, least: int) -> DataFrame:
     kind = pairs.schema["a"].dataType.simpleString()
     side = lambda t, c, to: t.select(F.col("rep").alias(to), F.col(c).alias(("s" if c == "sig" else "b") + to))
     near = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sa", "sb").mapInPandas(lambda x: _alike(x, least), f"a {kind}, b {kind}")
@@ -127,13 +126,14 @@ def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) ->
     return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))))
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id (smallest key reachable), kept (key = component_id).
+def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: tuple[int, int]) -> tuple[DataFrame, ...]:
+    """(rows, classes, links, components) of docs, with form = (bands, rows).
 
-    Null or word-free texts have no shingles and link with nothing; equal sets are linked. A row with a null key stands alone: component_id null, kept
-    true. Rows that share a key count as one node (their links are joined). No rows give no rows; other columns are not read.
+    rows: doc_id, n (of shingles), set_hash (null if without shingles or key); classes: set_hash, rep (smallest key); links: a, b, the confirmed pairs of
+    reps; components: node, component.
     """
-    kind, (n_bands, rows) = docs.schema[key].dataType.simpleString(), shape(percent)
+    kind, (n_bands, rows) = docs.schema[key].dataType.simpleString(), form
+    least = least_equal(percent, n_bands * rows)
     src = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text"))
     meta = stage(src.mapInArrow(lambda x: _fingerprint(x, n_bands, rows), f"doc_id {kind}, n long, set_hash binary, sig binary, bands array<long>"))
     full = meta.where("n > 0 and doc_id is not null")
@@ -153,13 +153,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     lead = m.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("m"), "rep", "n", "m")).alias("l")).select("key", F.col("l.rep").alias("lrep"), F.col("l.n").alias("ln"), F.col("l.m").alias("lm"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = stage(m.join(lead, "key").where((F.col("rep") != F.col("lrep")) & _bound(F.col("m"), F.col("n"), F.col("lm"), F.col("ln"), percent)).select(*pair("rep", "lrep")).distinct())
-    links = _confirm(tried, sigs, blobs, percent)
+    links = _confirm(tried, sigs, blobs, percent, least)
     comp = stage(components(links))
     mc = m.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("component", "rep").alias("comp"))
     split = mc.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     more = _rare_pairs(stage(mc.join(split, "key").select("rep", "n", "comp").distinct()), blobs, kind, percent).select(*pair("rep", "rep2")).distinct()
     more = stage(more.join(tried, ["a", "b"], "left_anti"))
-    comp = stage(components(links.unionAll(_confirm(more, sigs, blobs, percent))))
+    links = links.unionAll(_confirm(more, sigs, blobs, percent, least))
+    out = meta.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
+    return out, classes, links, stage(components(links))
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: float = PERCENT) -> DataFrame:
+    """One row per row of docs: key, n_shingles, component_id (smallest key reachable), kept (key = component_id).
+
+    Null or word-free texts have no shingles and link with nothing; equal sets are linked. A row with a null key stands alone: component_id null, kept
+    true. Rows that share a key count as one node (their links are joined). No rows give no rows; other columns are not read.
+    """
+    out, classes, _, comp = linked_classes(docs, key, text, percent, shape(percent))
     named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component_id"))
-    out = meta.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(named, "set_hash", "left")
+    out = out.join(named, "set_hash", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component_id", "doc_id")).alias("kept"))

@@ -63,13 +63,17 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, sf_dir))
 
 
+def op10_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.near_documents(_read(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_license_scan, op4_packing, op5_secret_scan, op6_minhash_dedup, op7_exact_dedup, op8_suffix_dedup, op9_url_filter, op10_fingerprints, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_license_scan, op4_packing, op5_secret_scan, op6_minhash_dedup, op7_exact_dedup, op8_suffix_dedup, op9_url_filter, op10_fingerprints, op10_near_documents, pipeline)}
 
 ORACLE_SQL = {
     "op7_exact_dedup": """

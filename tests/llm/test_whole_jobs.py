@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from rolomill.llm import fingerprints, minhash_dedup
+from rolomill.llm import fingerprints, minhash_dedup, queries
 
 from test_operators import pairs_of, reach, same, shingle_set, tup
 
@@ -56,7 +56,7 @@ def test_near_shapes():
     for percent in (30, 50, 70, 80, 85, 95, 100):
         n, rows = minhash_dedup.shape(percent)
         assert (1 - (percent / 100) ** rows) ** n < 1e-6
-    assert minhash_dedup.shape(85) == (26, 5) and minhash_dedup.least_equal(85) == 89
+    assert minhash_dedup.shape(85) == (26, 5) and minhash_dedup.least_equal(85, 130) == 89
 
 
 def test_pipeline_drops_by_row(spark, sf):
@@ -73,3 +73,17 @@ def test_pipeline_drops_by_row(spark, sf):
     same(tup(corpus_pipeline.near_copies(spark, df, sf), "doc_id", "text"), [(1, text), (1, rows[4][1]), (None, "alone"), (None, ""), (None, None), (8, "x y")])
     df = spark.createDataFrame([(None, text), (None, near), (None, near)], "doc_id long, text string")
     assert corpus_pipeline.near_copies(spark, df, sf).count() == 1
+
+
+def test_near_documents_led_by_strangers(spark):
+    """All share a passage. Those with long own parts are strangers to all and have the smallest ids; the others are alike."""
+    passage = [f"p{i}" for i in range(200)]
+    own = lambda k, n: [f"o{k}_{i}" for i in range(n)]
+    rows = [(k, " ".join(passage + own(k, 100))) for k in range(60)] + [(k, " ".join(passage + own(k, 15))) for k in range(100, 110)]
+    want = brute_groups(rows, 80)
+    assert {want[k] for k in range(100, 110)} == {100} and all(want[k] == k for k in range(60))
+    got = queries.fingerprints.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    same(tup(got, "doc_id", "group_id"), want.items())
+    links = dict(tup(got, "doc_id", "n_links"))
+    assert all((links[k] > 0) == (k >= 100) for k in links) and sum(links.values()) >= 2 * 9
+    assert "op10_near_documents" in queries.QUERIES
