@@ -4,7 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from rolomill.llm import fingerprints, minhash_dedup, queries
+from rolomill.llm import fingerprints, minhash_dedup, queries, url_filter
 
 from test_operators import pairs_of, reach, same, shingle_set, tup
 
@@ -87,3 +87,26 @@ def test_near_documents_led_by_strangers(spark):
     links = dict(tup(got, "doc_id", "n_links"))
     assert all((links[k] > 0) == (k >= 100) for k in links) and sum(links.values()) >= 2 * 9
     assert "op10_near_documents" in queries.QUERIES
+
+
+def test_url_aliases_are_resolved(spark):
+    link, meta = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    blocked = link("https://b.example.net/es/q")
+    cases = [  # url of a blocked page, url of its alias, what the alias declares
+        ("http://a.org/d/c.html", "http://a.org/d/a.html", link("c.html")),
+        ("http://b.org/x", "http://b.org/d/a.html?q=/z/", link("../x")),
+        ("http://c.org/d/a?p=2", "http://c.org/d/a?p=1", link("?p=2")),
+        ("http://d.org/?a=1&b=2", "http://d.org/d", link("/?a=1&amp;b=2")),
+        ("http://e.org/?a=1&b=<é>&lt;", "http://e.org/d", meta("/?a=1&#38;b&#x3D;&lt;&#233;&gt;&amp;lt;")),
+        ("http://F.org/T", "http://f.org/d", link("HTTP://f.ORG/T")),
+        ("http://g.org/t", "http://g.org/d", link("http://g.org/other") + "<p>" + link("/t")),
+        ("http://h.org/t", "http://h.org/d", meta("/other") + meta("t")),
+        ("http://i.org/d/", "http://i.org/d/e/f", link("./../../d/./e/..")),
+        ("http://j.org/", "http://J.org/d", link("//j.org")),
+        ("http://k.org/d/go?u=http://z.org/", "http://k.org/d/a", link("go?u=http://z.org/#top")),
+    ]
+    pages = [(2 * i + k, url, html) for i, (to, url, tags) in enumerate(cases) for k, (url, html) in enumerate([(to, blocked), (url, tags)])]
+    free = [("http://a.org/c.html", None), ("http://b.org/d/x", None), ("http://c.org/?p=2", None), ("http://z.org/", None), ("http://l.org/d/e", link("mailto:x@a.org") + link("#a") + meta("e"))]
+    pages += [(1000 + i, *x) for i, x in enumerate(free)]
+    got = tup(url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "verdict")
+    same(got, [(k, "block" if k < 1000 else "allow") for k, _, _ in pages])
