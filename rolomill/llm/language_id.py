@@ -1,9 +1,10 @@
 """Language identification by a linear-chain conditional random field over words, for code-switched text too.
 
-Every word is a position; its features are affixes (1 to 3 letters), inner n-grams (2 and 3 letters) and the word itself, the last weighted by a lexicon
-learned from the training words. Labels are the languages. Emission weights and a transition matrix are learned together by gradient ascent on
-the conditional likelihood, computed by forward-backward. Training sequences switch language in places: runs of words of several documents are joined,
-as documents alone would teach that languages never change within a text.
+Every word is a position; its features are affixes (1 to 3 letters), inner n-grams (2 and 3 letters), the word itself and its class in a lexicon. The lexicon
+is learned from the training words: it has the words of two documents or more with the language that most of them are in and how sure that is. While the
+weights are learned, a document's words are looked up in the lexicon of the other half of the documents, as its own would be right too often. Labels are the languages. Emission
+weights and a transition matrix are learned together by gradient ascent on the conditional likelihood, computed by forward-backward. Training sequences switch language
+in places: runs of words of several documents are joined, as documents alone would teach that languages never change within a text.
 
 Prediction runs forward-backward over the words of every whole text and adds up the words' posteriors by the number of their letters; the
 label with the largest share wins, the share is the score.
@@ -12,18 +13,21 @@ label with the largest share wins, the share is the score.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import odd
 from .common import pieces, text_of
 from .shingles import powers
 
-#: Bound of the training sample: documents (those whose ids hash lowest), and words from each, taken in runs spread over the whole text.
-TRAIN_DOCS, TRAIN_WORDS = 1600, 200
+#: Bound of the training sample: so many documents of each label, those whose ids hash lowest; their whole texts are used.
+TRAIN_EACH = 400
+#: A lexicon class is a label and one of LEVELS: the least share of a word's documents that are in that language.
+LEVELS = (0.0, 0.8, 0.99)
 #: Hashed features; words of a training sequence; words of a run of one language in it; epochs; learning rate; weight decay.
 BITS, SEQUENCE, RUN, EPOCHS, RATE, DECAY = 16, 100, 12, 6, 0.3, 1e-5
 #: Characters that are labelled at a time (a single text may be longer), and words whose scores are remembered: both bound the memory of a Python worker.
@@ -145,34 +149,64 @@ class Crf:
     def __init__(self, labels: list[str]):
         self.labels = labels
         self.w = np.zeros((BUCKETS, len(labels)), np.float32)
+        self.lexicon: dict[str, int] = {}
+        self.l = np.zeros((len(labels) * len(LEVELS) + 1, len(labels)), np.float32)  # the last class: not in the lexicon
         self.t = np.zeros((len(labels), len(labels)))
         self.known: dict[str, int] = {}
         self.table = np.zeros((1 << 16, len(labels)), np.float32)
 
-    def fit(self, texts: list[str], langs: list[str], seed: int = 5) -> Crf:
-        return self.fit_runs([runs_of(t) for t in texts], langs, seed)
+    def copy(self) -> Crf:
+        """The same weights with nothing remembered, for another process."""
+        m = Crf(self.labels)
+        m.w, m.t, m.l, m.lexicon = self.w, self.t, self.l, self.lexicon
+        return m
+
+    def _classes(self, seen: np.ndarray, words: list[str], least: int = 2) -> dict[str, int]:
+        """Words to lexicon classes; seen: in how many documents of each label each word stands."""
+        n = seen.sum(axis=1)
+        best = seen.argmax(axis=1)
+        level = np.searchsorted(LEVELS, seen[np.arange(len(n)), best] / np.maximum(n, 1), "right") - 1
+        return {words[i]: int(best[i] * len(LEVELS) + level[i]) for i in np.flatnonzero(n >= least)}
 
-    def fit_runs(self, texts: list[list[str]], langs: list[str], seed: int = 5) -> Crf:
-        """fit() on what runs_of() took from the texts."""
+    def fit(self, texts: list[str], langs: list[str], seed: int = 5) -> Crf:
+        """Learns lexicon, emission weights and transitions from whole texts; no labels or no words leave all weights 0."""
         rng, k = np.random.default_rng(seed), len(self.labels)
-        runs = [(r.split(" "), self.labels.index(lang)) for rs, lang in zip(texts, langs, strict=True) for r in rs]
+        vocab: dict[str, int] = {}
+        runs, half, gold_of, docs = [], [], [], []
+        for d, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+            y = self.labels.index(lang)
+            ids = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(text)], np.int32)
+            docs.append((np.unique(ids), y))
+            for i in range(0, len(ids), RUN):
+                runs.append(ids[i : i + RUN])
+                half.append(d % 2)
+                gold_of.append(y)
         if not runs:
             return self
-        vocab = {w: i for i, w in enumerate(dict.fromkeys(x for r, _ in runs for x in r))}
-        flat, count = features(list(vocab))
+        seen = np.zeros((2, len(vocab), k), np.int64)
+        for d, (ids, y) in enumerate(docs):
+            seen[d % 2, ids, y] += 1
+        words, none = list(vocab), len(self.l) - 1
+        self.lexicon = self._classes(seen.sum(axis=0), words)
+        # a word in a document of one half is looked up among the other half's documents
+        other = np.full((2, len(vocab)), none)
+        for h in (0, 1):
+            for w, c in self._classes(seen[1 - h], words, 1).items():
+                other[h, vocab[w]] = c
+        flat, count = features(words)
         at = np.cumsum(count) - count
-        seen_w, seen_t = np.full(self.w.shape, 1e-6), np.full(self.t.shape, 1e-6)
+        seen_w, seen_t, seen_l = np.full(self.w.shape, 1e-6), np.full(self.t.shape, 1e-6), np.full(self.l.shape, 1e-6)
         for _ in range(EPOCHS):
             order = rng.permutation(len(runs))
             # a run is often followed by one of its own language, so that both staying and switching are seen
-            same = {y: [j for j in order if runs[j][1] == y] for y in range(k)}
+            same = {y: [j for j in order if gold_of[j] == y] for y in range(k)}
             chain, used = [], np.zeros(len(runs), bool)
             for j in order:
                 if used[j]:
                     continue
                 chain.append(j)
                 used[j] = True
-                pool = same[runs[j][1]]
+                pool = same[gold_of[j]]
                 while rng.random() < 0.8:
                     while pool and used[pool[-1]]:
                         pool.pop()
@@ -180,14 +214,16 @@ class Crf:
                         break
                     used[pool[-1]] = True
                     chain.append(pool.pop())
-            word = np.array([vocab[w] for j in chain for w in runs[j][0]])
-            gold = np.repeat([runs[j][1] for j in chain], [len(runs[j][0]) for j in chain])
+            word = np.concatenate([runs[j] for j in chain])
+            size = [len(runs[j]) for j in chain]
+            gold = np.repeat([gold_of[j] for j in chain], size)
+            lex = other[np.repeat([half[j] for j in chain], size), word]
             for a in range(0, len(word), 20_000):
-                x, y = word[a : a + 20_000], gold[a : a + 20_000]
+                x, y, z = word[a : a + 20_000], gold[a : a + 20_000], lex[a : a + 20_000]
                 u, inv = np.unique(x, return_inverse=True)
                 idx = np.concatenate([flat[at[i] : at[i] + count[i]] for i in u])
                 ends = np.cumsum(count[u]) - count[u]
-                scores = (np.add.reduceat(self.w[idx], ends, axis=0) / np.sqrt(count[u])[:, None])[inv].astype(float)
+                scores = (np.add.reduceat(self.w[idx], ends, axis=0) / np.sqrt(count[u])[:, None])[inv].astype(float) + self.l[z]
                 starts = np.arange(0, len(x), SEQUENCE)
                 post, f, b = forward_backward(scores, self.t, starts)
                 err = -post
@@ -199,6 +235,11 @@ class Crf:
                 grad = grad / len(x) - DECAY * self.w
                 seen_w += grad**2
                 self.w += (RATE * grad / np.sqrt(seen_w)).astype(np.float32)
+                grad = np.zeros(self.l.shape)
+                np.add.at(grad, z, err)
+                grad = grad / len(x) - DECAY * self.l
+                seen_l += grad**2
+                self.l += (RATE * grad / np.sqrt(seen_l)).astype(np.float32)
                 inner = np.setdiff1d(np.arange(1, len(x)), starts)
                 e = np.exp(scores - scores.max(axis=1, keepdims=True))
                 pair = f[inner - 1][:, :, None] * np.exp(self.t)[None] * (e[inner] * b[inner])[:, None, :]
@@ -222,7 +263,8 @@ class Crf:
                 self.table = np.concatenate([self.table, np.zeros((len(known) + len(new), len(self.labels)), np.float32)])
             for i in range(0, len(new), 4096):
                 flat, n = features(new[i : i + 4096])
-                s = np.add.reduceat(self.w[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None]
+                none = len(self.l) - 1
+                s = np.add.reduceat(self.w[flat], np.cumsum(n) - n, axis=0) / np.sqrt(n)[:, None] + self.l[[self.lexicon.get(w, none) for w in new[i : i + 4096]]]
                 self.table[len(known) : len(known) + len(n)] = s
                 known.update(zip(new[i : i + 4096], range(len(known), len(known) + len(n)), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
@@ -231,8 +273,8 @@ class Crf:
         """For each text its words and their label posteriors."""
         words = [words_of(t) for t in texts]
         flat = [w for x in words for w in x]
-        if not flat:
-            return [(w, np.zeros((0, len(self.labels)))) for w in words]
+        if not flat or not self.labels:
+            return [(w, np.zeros((len(w), len(self.labels)))) for w in words]
         size = np.array([len(w) for w in words])
         starts = (np.cumsum(size) - size)[size > 0]
         ids = self._ids(flat)
@@ -251,35 +293,27 @@ class Crf:
         return out
 
 
-def runs_of(text: str) -> list[str]:
-    """Runs of RUN words spread over the whole text, about TRAIN_WORDS words in all; the words of a run are joined by spaces."""
-    w = words_of(text)
-    step = max(1, len(w) * RUN // TRAIN_WORDS)
-    return [" ".join(w[i : i + RUN]) for i in range(0, len(w), max(step, RUN))]
-
-
-def train(docs: DataFrame, docs_at_most: int = TRAIN_DOCS) -> Crf:
-    """Fits on the docs_at_most labelled rows (text, lang) whose doc_id hashes lowest: a bounded sample, drawn from all rows alike.
+def train(docs: DataFrame, each: int = TRAIN_EACH) -> Crf:
+    """Fits on a bounded sample of labelled rows (text, lang): of each label the each rows whose doc_id hashes lowest, whole texts.
 
-    Executors leave out rows whose hash is above twice the sample's share of all labelled rows and cut texts to their training words, so what reaches the driver
-    depends on docs_at_most and not on the rows, the partitions or the lengths of texts. Should ids be repeated so often that too few rows are left, the share grows.
+    Labels are all languages of labelled rows, however rare. Executors leave out rows whose hash is above twice the sample's share of their label's rows, so what
+    reaches the driver depends on each and the number of labels and not on the rows. Should ids be repeated so often that too few rows are left, the share grows.
+    No labelled row gives a model without labels, which predicts und.
     """
-    rows = docs.where("lang is not null and text is not null").select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id", "lang", "text")
-    n = rows.count()
-    want, share = min(docs_at_most, n), min(1.0, 2 * docs_at_most / max(n, 1))
-
-    def cut(batches):
-        for b in batches:
-            yield b.set_column(3, "runs", pa.array([runs_of(t) for t in b.column(3).to_pylist()], pa.list_(pa.string())))
-
-    while True:
-        most = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-        low = rows.where(F.col("h") <= most).mapInArrow(cut, f"h long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, runs array<string>")
-        found = low.orderBy("h", "doc_id", "lang", "runs").select("lang", "runs").limit(docs_at_most).collect()
-        if len(found) >= want or share >= 1:
-            break
-        share = min(1.0, 4 * share)
-    return Crf(sorted({r.lang for r in found})).fit_runs([r.runs for r in found], [r.lang for r in found])
+    rows = docs.where("lang is not null and text is not null").select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    share, found = {lang: min(1.0, 2 * each / m) for lang, m in n.items()}, []
+    while share:
+        most = F.create_map(*(F.lit(x) for lang, s in share.items() for x in (lang, min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)))))
+        low = rows.where(F.col("h") <= most[F.col("lang")])
+        first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+        got = low.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).select("lang", "nth", "text").collect()
+        have = Counter(r.lang for r in got)
+        done = {lang for lang in share if have[lang] >= min(each, n[lang]) or share[lang] >= 1}
+        found += [r for r in got if r.lang in done]
+        share = {lang: min(1.0, 4 * s) for lang, s in share.items() if lang not in done}
+    found.sort(key=lambda r: (r.nth, r.lang))
+    return Crf(sorted(n)).fit([r.text for r in found], [r.lang for r in found])
 
 
 def held_out(key: str = "doc_id"):
@@ -288,11 +322,10 @@ def held_out(key: str = "doc_id"):
 
 def identify(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, lang_pred, score. Null or letter-free texts give und and 0; repeated rows and null keys give a row each; other columns are not read."""
-    labels, w, t = model.labels, model.w, model.t
+    bare = model.copy()
 
     def run(batches):
-        m = Crf(labels)
-        m.w, m.t = w, t
+        m = bare.copy()
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in pieces(texts, PIECE):
@@ -305,11 +338,10 @@ def identify(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text
 
 def keep_identified(docs: DataFrame, model: Crf, least: float, text: str = "text", lang: str = "lang") -> DataFrame:
     """docs, in their own columns, less the rows whose text has no letter or whose likeliest language has a share under least; lang is set to that language."""
-    labels, w, t = model.labels, model.w, model.t
+    bare = model.copy()
 
     def run(batches):
-        m = Crf(labels)
-        m.w, m.t = w, t
+        m = bare.copy()
         for b in batches:
             at, to = b.schema.get_field_index(text), b.schema.get_field_index(lang)
             texts = [x or "" for x in b.column(at).to_pylist()]

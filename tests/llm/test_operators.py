@@ -362,28 +362,36 @@ def test_language_accuracy_and_switching(spark):
     assert sum(p == (a if i < 30 else b) for i, p in enumerate(picked)) >= 54
 
 
-def test_training_sample(spark):
-    """The sample is that of the lowest hashes, also if most rows share ids."""
+def test_training_sample(spark, monkeypatch):
+    """The sample has the lowest hashes of each label, whole texts, also if most rows share ids; rare labels are all there."""
     rows = [(k, f"word{k} letters" + " more" * k, "en" if k % 2 else "de") for k in range(400)]
-    rows += [(7, "again and again", "en")] * 3000
+    rows += [(7, "again and again", "en")] * 3000 + [(9000, "solo", "xx"), (9001, None, "yy"), (9002, "no label", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(9)
+    h = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, 3) as h").distinct().collect()}
     for most in (3, 40, 5000):
         seen = []
-
-        class Spy(language_id.Crf):
-            def fit_runs(self, texts, langs, seed=5):
-                seen.extend(zip(langs, texts, strict=True))
-                return self
-
-        real, language_id.Crf = language_id.Crf, Spy
-        try:
-            language_id.train(df, most)
-        finally:
-            language_id.Crf = real
-        h = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, 3) as h").distinct().collect()}
-        want = sorted((h[k], k, lang, language_id.runs_of(t)) for k, t, lang in rows)[:most]
-        assert [(a, b) for _, _, a, b in want] == seen
-    assert sum(len(r.split()) for r in language_id.runs_of("w " * 100_000)) <= language_id.TRAIN_WORDS + language_id.RUN
+        monkeypatch.setattr(language_id.Crf, "fit", lambda self, texts, langs, seed=5: seen.extend(zip(langs, texts, strict=True)) or self)
+        model = language_id.train(df, most)
+        assert model.labels == ["de", "en", "xx"]
+        for label in model.labels:
+            want = sorted((h[k], k, t) for k, t, lang in rows if lang == label and t is not None)[:most]
+            assert [t for _, _, t in want] == [t for lang, t in seen if lang == label]
+
+
+def test_language_without_labels(spark):
+    assert language_id.Crf([]).predict(["hello world", "", "12"]) == [("und", 0.0)] * 3
+    df = spark.createDataFrame([(1, "hello world", None), (2, None, None)], "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    same(tup(language_id.identify(df, model), "doc_id", "lang_pred", "score"), [(1, "und", 0.0), (2, "und", 0.0)])
+    assert language_id.keep_identified(df, model, 0.5).count() == 0
+    assert language_id.train(spark.createDataFrame([(1, "12", "en")], df.schema)).predict(["hello"]) == [("en", 1.0)]
+
+
+def test_lexicon():
+    """Words of no telling letters are told apart by the lexicon only; a word of one document is not in it."""
+    m = language_id.Crf(["a", "b"]).fit(["zon zin zon"] * 4 + ["nuz niz nuz"] * 4 + ["once"], ["a"] * 4 + ["b"] * 4 + ["a"])
+    assert set(m.lexicon) == {"zon", "zin", "nuz", "niz"} and m.lexicon["zon"] // len(language_id.LEVELS) == 0 and m.lexicon["niz"] // len(language_id.LEVELS) == 1
+    assert m.l[m.lexicon["zon"]].argmax() == 0 and m.l[m.lexicon["niz"]].argmax() == 1
 
 
 def test_forward_backward():
