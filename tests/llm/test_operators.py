@@ -293,12 +293,54 @@ def test_licenses_base(docs):
 
 
 def test_licenses_templates(spark):
-    bsd = licenses.TEMPLATES[1][1].split()
+    bsd = next(p for label, p in licenses.TEMPLATES if label == "bsd").split()
     texts = ["Intro. " + " ".join(bsd), "Intro " + " ".join(bsd[:8] + ["extra", "words"] + bsd[8:16] + bsd[17:]), " ".join(bsd[:9]), "Released under the MIT License.", "released under a mit license", " ".join(reversed(bsd))]
     got = dict(tup(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "labels"))
     assert got == {0: "bsd", 1: "bsd", 2: "", 3: "mit", 4: "", 5: ""}
 
 
+def brute_licenses(text):
+    """(labels, score, spans) by plain loops: votes of all grams, chains of diagonals, each template gram counted once."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    labels, score, spans = set(), 0.0, []
+    for label, p in licenses.BASE:
+        q = p.split()
+        if any(w[i : i + len(q)] == q for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    for label, p in licenses.TEMPLATES:
+        q = p.split()
+        m = len(q) - 1
+        votes = sorted((i - j, i, j) for i in range(len(w) - 1) for j in range(m) if w[i : i + 2] == q[j : j + 2])
+        while votes:
+            part = [votes.pop(0)]
+            while votes and votes[0][0] - part[-1][0] <= licenses.SHIFT:
+                part.append(votes.pop(0))
+            share = len({j for _, _, j in part}) / m
+            lo, hi = min(i for _, i, _ in part), max(i for _, i, _ in part) + 1
+            if share >= (1 if m < 4 else licenses.SHARE) and hi - lo + 1 <= licenses.STRETCH * (m + 1):
+                labels.add(label)
+                score = max(score, share)
+                spans.append(f"{label}:{lo}:{hi - lo + 1}")
+    return ",".join(sorted(labels)), score, ",".join(sorted(spans))
+
+
+def test_licenses_method(spark):
+    """The method's labels, scores and spans: templates with words exchanged, put in, left out and said twice."""
+    rnd = random.Random(8)
+    texts = ["the mit the mit license", "under the mit the mit license", None, ""]
+    for label, p in licenses.TEMPLATES:
+        for _ in range(6):
+            w = p.split()
+            for _ in range(rnd.randrange(len(w) // 5 + 2)):
+                i = rnd.randrange(len(w))
+                w[i : i + rnd.randrange(2)] = rnd.choices([*w, "word"], k=rnd.randrange(3))
+            texts.append(" ".join(rnd.choices(["of", "the", "license", "x"], k=rnd.randrange(9)) + w + p.split()[: rnd.randrange(9)]))
+    want = [(i, *brute_licenses(t or "")) for i, t in enumerate(texts)]
+    assert want[0][1:] == ("", 0.0, "") and want[1][1:3] == ("mit", 0.75) and len({x[2] for x in want}) > 20
+    same(tup(licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "doc_id", "labels", "score", "spans"), want)
+
+
 def test_fingerprints(docs):
     rows = pairs_of(docs)
     got = {}
