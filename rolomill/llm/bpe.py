@@ -1,9 +1,10 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and an incremental decoder.
 
-A merge list has a sufficient lookahead L: the token boundaries in a prefix of the input can't depend on bytes more than L after them. The encoder
-buffers at most a few L of one pre-token, encodes the buffer by the merge list, emits the tokens that end L bytes or more before the buffer's end, and
-goes on from the last emitted boundary (any run of tokens of an encoding is itself the encoding of its bytes). Memory stays constant, however
-long a pre-token is. Pre-tokens end at hard boundaries, so short ones are flushed at once; a bounded table remembers their ids.
+A merge list has a sufficient lookahead L: the token boundaries in a prefix of the input can't depend on bytes more than L after them, nor on anything
+behind the end of a pre-token. The transducer takes pre-tokens as they come. Its state is the bytes of the current one that are not emitted yet, at most a window of 2 L and
+what is being fed; a step encodes the window by the merge list and emits the tokens that are stable: all if the pre-token ends with the window, else those that end L bytes or more
+before the window's end. It goes on from the last emitted boundary (any run of tokens of an encoding is itself the encoding of its bytes). All pre-tokens
+take these steps. Steps that ended a pre-token in one window are remembered in a table of fixed size. Memory stays constant, however long a text or a pre-token is.
 
 The decoder is a state machine over bytes: it keeps the up to three bytes of an unfinished UTF-8 character and emits text as soon as it is sure.
 """
@@ -19,21 +20,18 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain, islice
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Pre-tokens remembered by each worker; the table is emptied when full.
-REMEMBER = 600_000
+#: Steps remembered by each worker (in two halves, the older of which goes when the younger is full).
+REMEMBER = 1 << 17
 #: Characters of a text that are cut into pre-tokens at once.
 SLICE = 1 << 16
-#: Pre-tokens of more characters go through the transducer; so many pre-tokens are held before new ones are merged together.
-LONG, AT_ONCE = 64, 400_000
 
 
 @cache
@@ -92,9 +90,6 @@ class Vocabulary:
         #: Ranks of pairs of ids, and the id that each rank makes.
         self.pairs = {self.ids[a] << 32 | self.ids[b]: k for (a, b), k in self.rank.items()}
         self.made, self.no = [self.ids[a + b] for a, b in self.rank], len(self.rank)
-        order = np.argsort(np.fromiter(self.pairs, np.int64, len(self.pairs)))
-        self._keys, self._ranks = np.fromiter(self.pairs, np.int64, len(self.pairs))[order], np.fromiter(self.pairs.values(), np.int64, len(self.pairs))[order]
-        self._made, self._byte_ids = np.array(self.made, np.int64), np.array(self.byte_id, np.int64)
         self.text = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -138,50 +133,6 @@ class Vocabulary:
                 ranks[i] = rank(x << 32 | parts[i + 1], no)
         return parts
 
-    def merge_many(self, many: list[bytes]) -> list[list[int]]:
-        """merge() of many pre-tokens at once: in each round, the first lowest-ranked pair of every unfinished pre-token merges."""
-        if not many:
-            return []
-        size = np.fromiter(map(len, many), np.int64, len(many))
-        sym = self._byte_ids[np.frombuffer(b"".join(many), np.uint8)]
-        word = np.repeat(np.arange(len(many)), size)
-        done_sym, done_word = [], []
-        rank = np.full(len(sym), self.no, np.int64)  # of the pair that starts here
-
-        def look(at):
-            at = at[(at >= 0) & (at + 1 < len(sym))]
-            rank[at] = self.no
-            at = at[word[at] == word[at + 1]]
-            key = sym[at] << 32 | sym[at + 1]
-            k = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-            ok = self._keys[k] == key
-            rank[at[ok]] = self._ranks[k[ok]]
-
-        look(np.arange(len(sym) - 1))
-        while len(sym):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            low = np.minimum.reduceat(rank, first)
-            low = np.repeat(low, np.diff(first, append=len(word)))
-            go = low != self.no
-            if not go.all():
-                done_sym.append(sym[~go])
-                done_word.append(word[~go])
-                sym, word, rank, low = sym[go], word[go], rank[go], low[go]
-            hit = np.flatnonzero(rank == low)
-            hit = hit[np.flatnonzero(np.diff(word[hit], prepend=-1))]
-            sym[hit] = self._made[low[hit]]
-            stay = np.ones(len(sym), bool)
-            stay[hit + 1] = False
-            rank[hit] = self.no
-            sym, word, rank = sym[stay], word[stay], rank[stay]
-            hit -= np.arange(len(hit))
-            look(np.concatenate([hit - 1, hit]))
-        word, sym = np.concatenate(done_word), np.concatenate(done_sym)
-        order = np.argsort(word, kind="stable")
-        flat = sym[order].tolist()
-        end = np.cumsum(np.bincount(word, minlength=len(many))).tolist()
-        return [flat[i:j] for i, j in zip([0, *end], end)]
-
     def _merge_long(self, parts: list[int]) -> list[int]:
         n = len(parts)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
@@ -203,44 +154,90 @@ class Vocabulary:
         return [p for p in parts if p >= 0]
 
 
+class Steps(dict):
+    """Pre-tokens of one window to their values; what isn't remembered is found by the transducer."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer, self.older = transducer, {}
+
+    def __missing__(self, word: str):
+        value = self.older.get(word)
+        if value is None:
+            value = self.transducer.whole(word)
+        if 2 * len(self) >= REMEMBER:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
 class Transducer:
-    """Streams the bytes of one pre-token into ids; feed() gives the ids that are stable by now, end() the rest."""
+    """Streams pre-tokens into values, made by pack(ids) of the ids that become stable together.
 
-    def __init__(self, v: Vocabulary):
-        self.v, self.rest = v, b""
+    feed() takes bytes of the current pre-token and gives the ids that are stable by then, end() the rest. steps counts the windows that were
+    encoded, early the tokens that were emitted before their pre-token's end, most the largest window in bytes.
+    """
+
+    def __init__(self, v: Vocabulary, pack=tuple):
+        self.v, self.pack, self.rest, self.window = v, pack, b"", 2 * v.lookahead
+        self.steps = self.early = self.most = 0
+        self.known = Steps(self)
+
+    def step(self, last: bool) -> list[int]:
+        """Encodes the window; the stable ids go, the bytes of the others stay."""
+        self.steps += 1
+        self.most = max(self.most, len(self.rest))
+        ids = self.v.merge(self.rest)
+        if last:
+            self.rest = b""
+            return ids
+        size, end, n, sure = self.v.text, 0, 0, len(self.rest) - self.v.lookahead
+        for i in ids:
+            if end + len(size[i]) > sure:
+                break
+            end += len(size[i])
+            n += 1
+        self.rest = self.rest[end:]
+        self.early += n
+        return ids[:n]
 
     def feed(self, data: bytes) -> list[int]:
         out: list[int] = []
-        step = 2 * self.v.lookahead
-        for at in range(0, len(data), step):
-            self.rest += data[at : at + step]
-            if len(self.rest) >= 2 * step:
-                end, sure = 0, len(self.rest) - self.v.lookahead
-                for i in self.v.merge(self.rest):
-                    if end + len(self.v.text[i]) > sure:
-                        break
-                    end += len(self.v.text[i])
-                    out.append(i)
-                self.rest = self.rest[end:]
+        for at in range(0, len(data), self.window):
+            self.rest += data[at : at + self.window]
+            if len(self.rest) > self.window:
+                out += self.step(False)
         return out
 
     def end(self) -> list[int]:
-        out, self.rest = self.v.merge(self.rest), b""
-        return out
+        return self.step(True)
+
+    def whole(self, word: str):
+        """The value of a pre-token that fits one window."""
+        return self.pack(self.feed(word.encode("utf-8", "surrogatepass")) + self.end())
+
+    def values(self, words: list[str]) -> Iterator[list]:
+        """The values of pre-tokens, in parts: those that fit a window by the remembered steps, others window by window as they become stable."""
+        fits = self.window // 4  # characters whose bytes fit in any case
+        if max(map(len, words), default=0) <= fits:
+            yield [*map(self.known.__getitem__, words)]
+            return
+        for w in words:
+            if len(w) <= fits:
+                yield [self.known[w]]
+            else:
+                for i in range(0, len(w), fits):
+                    if ids := self.feed(w[i : i + fits].encode("utf-8", "surrogatepass")):
+                        yield [self.pack(ids)]
+                yield [self.pack(self.end())]
 
 
 class Encoder:
-    """Encodes texts as streams of pre-tokens' values, made by pack(ids) and remembered for short pre-tokens."""
+    """Encodes texts: cuts them into pre-tokens slice by slice and sends all of these through one transducer."""
 
     def __init__(self, v: Vocabulary, pack=tuple):
-        self.v, self.pack, self.known, self.find = v, pack, {}, pretoken_pattern()
-
-    def _long(self, token: str) -> Iterator:
-        t = Transducer(self.v)
-        for i in range(0, len(token), SLICE):
-            if ids := t.feed(token[i : i + SLICE].encode("utf-8", "surrogatepass")):
-                yield self.pack(ids)
-        yield self.pack(t.end())
+        self.v, self.pack, self.find, self.transducer = v, pack, pretoken_pattern(), Transducer(v, pack)
 
     def _plain(self, text: str) -> Iterator[list[str]]:
         """Pre-tokens slice by slice. Slices end where white space follows another character: a boundary of pre-tokens whatever comes next."""
@@ -259,54 +256,17 @@ class Encoder:
             yield (_SIMPLE if part.isascii() and not _CONTROL.search(part) or odd().isdisjoint(part) else self.find).findall(part)
             at = end
 
-    def _slices(self, texts: Iterable[str]) -> Iterator[tuple[int, list[str], int | None]]:
-        """(text's number, pre-tokens, special id or None)."""
-        for i, text in enumerate(texts):
-            at = 0
-            if self.v.special_pattern is not None:
-                for m in self.v.special_pattern.finditer(text):
-                    for x in self._plain(text[at : m.start()]):
-                        yield i, x, None
-                    yield i, [], self.v.special[m[0]]
-                    at = m.end()
-            for x in self._plain(text[at:] if at else text):
-                yield i, x, None
-
-    def stream(self, texts: Iterable[str]) -> Iterator[tuple[int, list]]:
-        """(text's number, values) in order; a text may have several parts or none. Pre-tokens wait until there are AT_ONCE, so that new ones are merged together."""
-        held: list[tuple[int, list[str], int | None]] = []
-        n = 0
-        for x in self._slices(texts):
-            held.append(x)
-            n += len(x[1]) + 1
-            if n >= AT_ONCE:
-                yield from self._flush(held)
-                held, n = [], 0
-        yield from self._flush(held)
-
-    def _flush(self, held) -> Iterator[tuple[int, list]]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        known, pack = self.known, self.pack
-        new: set[str] = set()
-        for _, words, _ in held:
-            new.update(set(words).difference(known))
-        long = {w for w in new if len(w) > LONG}
-        new -= long
-        for w, ids in zip(new, self.v.merge_many([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            known[w] = pack(ids)
-        for i, words, special in held:
-            if special is not None:
-                yield i, [pack([special])]
-            elif long and not long.isdisjoint(words):
-                for w in words:
-                    yield i, [known[w]] if w in known else list(self._long(w))
-            else:
-                yield i, [*map(known.__getitem__, words)]
-
     def encode(self, text: str) -> Iterator[list]:
-        for _, part in self.stream([text]):
-            yield part
+        """Parts of the text's values, in order; special tokens are found before all else."""
+        at = 0
+        if self.v.special_pattern is not None:
+            for m in self.v.special_pattern.finditer(text):
+                for x in self._plain(text[at : m.start()]):
+                    yield from self.transducer.values(x)
+                yield [self.pack([self.v.special[m[0]]])]
+                at = m.end()
+        for x in self._plain(text[at:] if at else text):
+            yield from self.transducer.values(x)
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -319,9 +279,13 @@ class Decoder:
     def __init__(self, v: Vocabulary):
         self.v, self.state = v, codecs.getincrementaldecoder("utf-8")("replace")
 
+    def put(self, raw: bytes) -> str:
+        """The text that is sure after these bytes of tokens."""
+        return self.state.decode(raw)
+
     def feed(self, ids: Iterable[int]) -> str:
         text = self.v.text
-        return self.state.decode(b"".join([text[i] for i in ids if i in text]))
+        return self.put(b"".join([text[i] for i in ids if i in text]))
 
     def end(self) -> str:
         return self.state.decode(b"", True)
@@ -375,27 +339,21 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         e = encoder(path, _Digest(path))
         for b in batches:
             texts = b.column(1).to_pylist()
-            counts, ids_sha, text_sha, at = [], [], [], -1
-
-            def close():
-                text_part.update(state.decode(b"", True).encode())
+            counts, ids_sha, text_sha = [], [], []
+            for t in texts:
+                ids_part, text_part, n, held, decoder = hashlib.sha256(), hashlib.sha256(), 0, "", Decoder(e.v)
+                for part in e.encode(t):
+                    if part:
+                        s, k, raw = zip(*part, strict=True)
+                        now = held + "".join(s)
+                        n += sum(k)
+                        ids_part.update(now[:-1].encode())
+                        held = now[-1:]  # the comma after the last id is only written if another follows
+                        text_part.update(decoder.put(b"".join(raw)).encode())
+                text_part.update(decoder.end().encode())
                 counts.append(n)
                 ids_sha.append(ids_part.hexdigest())
                 text_sha.append(text_part.hexdigest())
-
-            for i, part in chain(e.stream(texts), [(len(texts), [])]):
-                while at < i:  # texts without ids have no parts
-                    if at >= 0:
-                        close()
-                    at += 1
-                    ids_part, text_part, n, held, state = hashlib.sha256(), hashlib.sha256(), 0, "", codecs.getincrementaldecoder("utf-8")("replace")
-                if part:
-                    s, k, raw = zip(*part, strict=True)
-                    now = held + "".join(s)
-                    n += sum(k)
-                    ids_part.update(now[:-1].encode())
-                    held = now[-1:]  # the comma after the last id is only written if another follows
-                    text_part.update(state.decode(b"".join(raw)).encode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()

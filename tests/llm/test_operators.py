@@ -159,6 +159,23 @@ def test_bpe_streams():
         assert bpe.decode_ids(TOKENIZER, ids) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_transducer_takes_all(spark):
+    """Every pre-token's ids come from the transducer's steps; long ones are emitted before they end, and neither window nor table grows with them."""
+    from tokenizers import Tokenizer
+
+    t, rnd = Tokenizer.from_file(TOKENIZER), random.Random(9)
+    e = bpe.Encoder(bpe.encoder(TOKENIZER, tuple).v)
+    text = P * 40 + "".join(rnd.choices("etaoinshr", k=200_000)) + " " + "é" * 9000
+    assert [i for part in e.encode(text) for ids in part for i in ids] == t.encode(text, add_special_tokens=False).ids
+    m = e.transducer
+    distinct = len(set(P.split())) + 1  # the first word also stands without a space
+    assert distinct <= len(m.known) <= distinct + 2 and m.steps > distinct + 218_000 // m.window
+    assert m.early > 10_000 and m.most <= 2 * m.window and m.rest == b""
+    many = " ".join(f"w{i}" for i in range(bpe.REMEMBER * 2))
+    assert [i for part in e.encode(many) for ids in part for i in ids] == t.encode(many, add_special_tokens=False).ids
+    assert len(m.known) + len(m.known.older) <= bpe.REMEMBER + 1
+
+
 def test_lookahead_is_sufficient():
     """Boundaries further than the lookahead from the end don't depend on what follows, on a small merge list with long chains."""
     v = object.__new__(bpe.Vocabulary)
