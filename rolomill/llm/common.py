@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolomill.plans.staging import shared_dir, stage
+from rolomill.plans.staging import shared_dir, stage, unstage
 
-__all__ = ["pieces", "shared_dir", "small", "stage", "text_of"]
+__all__ = ["pieces", "shared_dir", "small", "stage", "text_of", "unstage"]
 
 #: A side of a join is broadcast only up to this many rows of one or two longs (about 16 MB); beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000

@@ -1,18 +1,22 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 1. Each document becomes ids plus an end id; one longer than the capacity is cut into full pieces behind a first one that takes the remainder.
-2. Documents are range-sorted by piece length (longest first; ties by a hash), which gives every piece its rank among pieces of its length.
-   Lengths are integers up to the capacity, so pieces and gaps of one size form runs, and a superstep deals with runs, never with single rows.
-3. Supersteps, longest length first: the run of pieces sweeps the gap runs, sorted by size, for their successor (the smallest gap that fits); pieces
-   and gaps of a run are matched by rank, so that no two pieces claim one place; gap runs are updated; what finds no gap opens new sequences. Repeating this over all
-   lengths is best-fit decreasing. The state has at most a few runs for each length, however many documents there are.
-4. The matches (runs of ranks -> runs of sequences) go to all tasks, which place their rows by binary search: every row is placed where it is, without another shuffle.
+2. Pieces are range-sorted by length (longest first; ties by a hash), which gives every piece its rank among pieces of its length. Lengths are integers up to the
+   capacity, so pieces of a length with neighbouring ranks, and gaps of a size in neighbouring sequences, form runs: a DataFrame with a row for each run.
+3. A superstep deals the runs out by ranges of size. Each range is swept from small to large: a gap run is matched with the longest pieces that fit, so that a piece gets the smallest gap
+   among those that longer pieces leave; what finds no partner within its range meets in a last sweep. Conflicts are resolved by rank: of pieces
+   that seek the same gaps the longest go first, then those of lower rank, and a gap run takes ranks one after another, so no two pieces claim one place. Matched gaps shrink (are
+   updated), unmatched pieces and gaps are swept again in the next superstep, until no piece is left.
+4. Pieces join in classes of falling length. Pieces over half the capacity all open sequences; later, those that are longer than every gap open as many as their tokens need.
+5. The matches (runs of ranks -> runs of sequences) go to all tasks, which place their rows by binary search: every row is placed where it is, without another shuffle.
+
+The number of supersteps follows from the capacity (some 30 for 2048), that of runs and matches from it and a superstep's; neither grows with the documents.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stage, text_of
+from .common import stage, text_of, unstage
 
 CAPACITY, END = 2048, 0
+#: A class has the lengths down to FALL of the class before; the lengths up to SHORT are one class. Ranges of a superstep.
+FALL, SHORT, RANGES = 0.8, 12, 8
+PIECE, GAP, MATCH = 0, 1, 2
+#: Rows of runs: of pieces (length, first rank, how many), of gaps (size, first sequence, how many) and of matches (length, first rank, how many sequences; first sequence, pieces in each, offset).
+RUNS = "kind int, size int, first long, n long, sequence long, each long, offset long"
 #: Fixed value: the public pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _encodings: dict = {}
@@ -64,54 +73,70 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key:
     return docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over runs: (length, first rank, first sequence, pieces a sequence, offset), sorted by length and first rank.
+def sweep(runs: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
+    """One sweep over runs (see RUNS), from small to large: pieces wait on a stack, a gap run takes the longest that wait, as many as fit, by rank.
 
-    counts: pieces of each length. Ranks from one first rank to the next fill sequences from the first on, each with that many pieces from the offset on.
+    Gives matches, what is left of the gaps and the pieces that found none. Matches that are given pass through.
     """
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[list[int]]] = {}  # size -> runs of [first sequence, sequences]
-    sizes: list[int] = []  # sizes that have runs, sorted
-    opened = 0
-
-    def give(size: int, first: int, n: int) -> None:
-        if n and size:
-            if size not in gaps:
-                gaps[size] = []
-                insort(sizes, size)
-            runs = gaps[size]
-            if runs and runs[-1][0] + runs[-1][1] == first:
-                runs[-1][1] += n
+    out, waiting = [r for r in runs if r[0] == MATCH], []
+    for kind, size, first, n, *_ in sorted((r for r in runs if r[0] != MATCH), key=lambda r: (r[1], r[0], -r[2] if r[0] == PIECE else r[2])):
+        if kind == PIECE:
+            waiting.append([size, first, n])
+            continue
+        while n and waiting:
+            length, rank, left = waiting[-1]
+            each = min(size // length, left)
+            # full sequences, then one with the pieces that are fewer
+            for take, k in ((min(n, left // each), each), (1, left % each if n > left // each else 0)):
+                if take and k:
+                    out.append((MATCH, length, rank, take, first, k, capacity - size))
+                    if size > k * length:
+                        out.append((GAP, size - k * length, first, take, 0, 0, 0))
+                    first, n, rank, left = first + take, n - take, rank + take * k, left - take * k
+            if left:
+                waiting[-1][1:] = rank, left
             else:
-                runs.append([first, n])
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect_left(sizes, length)
-            if k == len(sizes):
-                each = capacity // length
-                need = -(-left // each)
-                size, first, n = capacity, opened, need
-                opened += need
-            else:
-                size = sizes[k]
-                first, n = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size], sizes[k]
-            each = size // length
-            take = min(n, left // each)
-            if take:
-                out.append((length, rank, first, each, capacity - size))
-                give(size - each * length, first, take)
-                rank, left = rank + take * each, left - take * each
-            if take < n:  # fewer pieces left than sequences
-                if left:
-                    out.append((length, rank, first + take, left, capacity - size))
-                    give(size - left * length, first + take, 1)
-                    rank, left, take = rank + left, 0, take + 1
-                give(size, first + take, n - take)
-    return sorted(out)
+                waiting.pop()
+        if n:
+            out.append((GAP, size, first, n, 0, 0, 0))
+    return out + [(PIECE, *w, 0, 0, 0) for w in waiting]
+
+
+def superstep(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Sweeps within ranges of size, then of what these leave; runs and result as in RUNS. Some thousand rows at most, whatever the input."""
+
+    def swept(x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(sweep(list(x[names].itertuples(index=False, name=None)), capacity), columns=names)
+
+    names = runs.columns
+    local = runs.groupBy(F.floor(F.col("size") * RANGES / (capacity + 1)).alias("range")).applyInPandas(swept, RUNS)
+    return local.groupBy().applyInPandas(swept, RUNS)
+
+
+def best_fit(pieces: DataFrame, counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[DataFrame], int]:
+    """(matches of each superstep, sequences) for piece runs; counts: how many pieces there are of each length (capacity entries at most)."""
+    spark = pieces.sparkSession
+    state, matches, opened, bar = None, [], 0, capacity + 1
+    gaps: dict[int, int] = {}
+    waiting: dict[int, int] = {}
+    while waiting or any(x < bar for x in counts):
+        runs = [] if state is None else [state.where(F.col("kind") != MATCH)]
+        if longest := max((x for x in counts if x < bar), default=0):  # the next class joins
+            old, bar = bar, capacity // 2 + 1 if bar > capacity else 1 if longest <= SHORT else int(longest * FALL) + 1
+            runs.append(pieces.where((F.col("size") >= bar) & (F.col("size") < old)))
+            for x, n in counts.items():
+                if bar <= x < old:
+                    waiting[x] = n
+        stuck = {x: n for x, n in waiting.items() if x > max(gaps, default=0)}
+        if more := max(sum(n for x, n in stuck.items() if 2 * x > capacity), -(-sum(x * n for x, n in stuck.items()) // capacity)):
+            runs.append(spark.createDataFrame([(GAP, capacity, opened, more, 0, 0, 0)], RUNS))
+            opened += more
+        if runs:
+            state = stage(superstep(reduce(DataFrame.unionAll, runs), capacity))
+            matches.append(state.where(F.col("kind") == MATCH))
+            sums = state.where(F.col("kind") != MATCH).groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()  # 2 * capacity rows at most
+            gaps, waiting = ({r["size"]: r["n"] for r in sums if r["kind"] == kind} for kind in (GAP, PIECE))
+    return matches, opened
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,12 +153,17 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_i
     ranked = stage(ranked.withColumn("at", F.monotonically_increasing_id()))
     # a row for each length and partition that has it: partitions plus lengths at most, as the rows are sorted
     runs = sorted(tuple(r) for r in ranked.groupBy("length", F.shiftright("at", 33).alias("part")).agg(F.min("at"), F.count("*")).collect())
+    unstage(made)
     counts: dict[int, int] = {}
     base = []  # (length, first at, rank of that row)
     for length, _, first, m in runs:
         base.append((length, first, counts.get(length, 0)))
         counts[length] = counts.get(length, 0) + m
-    plan = best_fit(counts, capacity)
+    whole = ranked.groupBy("length").agg(F.count("*").alias("n"))
+    zero = F.lit(0).cast("long")
+    whole = stage(whole.select(F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), zero.alias("first"), "n", zero.alias("sequence"), zero.alias("each"), zero.alias("offset")))
+    matches, _ = best_fit(whole, counts, capacity)
+    plan = sorted((r["size"], r["first"], r["sequence"], r["each"], r["offset"]) for r in reduce(DataFrame.unionAll, matches, whole.limit(0)).collect())  # some thousand rows, see above
     b = np.array(base, np.int64).reshape(-1, 3)
     p = np.array(plan, np.int64).reshape(-1, 5)
 

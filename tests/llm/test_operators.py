@@ -240,27 +240,40 @@ def test_packing(docs):
     assert len(seqs) == len(bins)
 
 
-def test_best_fit_runs():
+def test_sweep():
+    """A gap takes the longest pieces that fit, pieces of lower rank first; what is left over stays."""
+    runs = [(packing.PIECE, 10, 0, 3, 0, 0, 0), (packing.PIECE, 4, 0, 9, 0, 0, 0), (packing.PIECE, 40, 7, 1, 0, 0, 0), (packing.GAP, 12, 5, 2, 0, 0, 0), (packing.GAP, 9, 1, 1, 0, 0, 0)]
+    assert sorted(packing.sweep(runs, 50)) == [
+        (packing.PIECE, 4, 2, 7, 0, 0, 0), (packing.PIECE, 10, 2, 1, 0, 0, 0), (packing.PIECE, 40, 7, 1, 0, 0, 0), (packing.GAP, 1, 1, 1, 0, 0, 0), (packing.GAP, 2, 5, 2, 0, 0, 0),
+        (packing.MATCH, 4, 0, 1, 1, 2, 41), (packing.MATCH, 10, 0, 2, 5, 1, 38),
+    ]
+
+
+def test_best_fit_supersteps(spark):
+    """Every rank is placed once, no sequence overflows, and there are hardly more sequences than by plain best-fit decreasing."""
     rnd = random.Random(5)
-    for _ in range(200):
-        counts = {rnd.randint(1, 30): rnd.randint(1, 40) for _ in range(rnd.randint(1, 12))}
+    for size, most, top in ((30, 30, 40), (200, 9, 400), (64, 64, 1)):
+        counts = {rnd.randint(1, most): rnd.randint(1, top) for _ in range(rnd.randint(8, 20))}
         bins = []
         for n in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True):
             fit = min((b for b in bins if b[0] >= n), default=None)
             if fit is None:
-                bins.append([30 - n])
+                bins.append([size - n])
             else:
                 fit[0] -= n
-        plan = packing.best_fit(counts, 30)
-        used, places = set(), Counter()
-        for i, (n, r, s, each, off) in enumerate(plan):
-            end = plan[i + 1][1] if i + 1 < len(plan) and plan[i + 1][0] == n else counts[n]
-            for q in range(r, end):
-                seq, at = s + (q - r) // each, off + (q - r) % each * n
-                used.add(seq)
-                places.update((seq, x) for x in range(at, at + n))
-        assert max(places.values()) == 1 and max(x for _, x in places) < 30 and len(places) == sum(n * c for n, c in counts.items())
-        assert len(used) == len(bins)
+        runs = spark.createDataFrame([(packing.PIECE, x, 0, n, 0, 0, 0) for x, n in counts.items()], packing.RUNS)
+        matches, opened = packing.best_fit(runs, counts, size)
+        assert len(matches) > 1
+        places, ranks = Counter(), Counter()
+        for m in matches:
+            for _, x, r, n, s, each, off in map(tuple, m.collect()):
+                for q in range(n * each):
+                    ranks[x, r + q] += 1
+                    at = off + q % each * x
+                    places.update((s + q // each, k) for k in range(at, at + x))
+        assert max(places.values()) == 1 and max(k for _, k in places) < size and {s for s, _ in places} == set(range(opened))
+        assert set(ranks) == {(x, r) for x, n in counts.items() for r in range(n)} and max(ranks.values()) == 1
+        assert len(bins) - 1 <= opened <= 1.02 * len(bins) + 1
 
 
 def brute_secrets(text):
