@@ -22,7 +22,7 @@ def _seeded(n: int, seed: int) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh64_digest(f"{seed}:{i}") for i in range(n)), "<u8").copy()
 
 
-_BYTE = _seeded(256, 1) | np.uint64(1)
+_BYTE = _seeded(512, 1).reshape(2, 256) | np.uint64(1)
 _STEP = _seeded(WORDS + 1, 2) | np.uint64(1)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -47,11 +47,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(raw: np.ndarray) -> np.ndarray:
-    """Prefix sums from which the hash of any span follows: mix((s[end] - s[start]) * inverse_power[start])."""
+def span_hashes(raw: np.ndarray, which: int = 0) -> np.ndarray:
+    """Prefix sums (of one of two independent kinds) from which the hash of any span follows: mix((s[end] - s[start]) * inverse_power[start])."""
     p, _ = powers(len(raw) + 1)
     s = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * p[: len(raw)], out=s[1:])
+    np.cumsum(_BYTE[which][raw] * p[: len(raw)], out=s[1:])
     return s
 
 

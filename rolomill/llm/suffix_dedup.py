@@ -4,10 +4,14 @@ A suffix array of the whole corpus can't be built in one task, so suffixes are d
 
 1. Anchors. Of every SPAN - GRAM + 1 neighbouring GRAM-byte strings the one with the least hash is an anchor. Equal SPAN-byte strings have equal anchors at equal
    places, so a repeated string is found through an anchor that repeats, with its context: all bytes a SPAN-byte string over the anchor may reach.
-2. Keys (anchor hashes) that occur once are dropped. Keys whose contexts are all equal need no sorting: every context is repeated.
-3. The other keys' distinct contexts go to shards by key. In each shard a suffix array is built by induced sorting, and permuted common prefixes tell
-   which suffixes share SPAN bytes with a neighbour that stands at another place of the corpus.
-4. The spans found are gathered by document, joined and cut out.
+2. Keys (anchor hashes) that occur once are dropped. A context that occurs more than once (equal by 128 bits of hash besides the key's 64) is repeated as a whole; its bytes are sorted once.
+3. The distinct contexts of a key form a shard. Shards of more than HOT contexts are split: a string that starts s bytes before its anchor lies within the s bytes before and
+   the SPAN - GRAM - s bytes after it, so the range of s is halved again and again, and contexts go on with those that agree in all bytes that every string of their half has.
+   No string is lost; a group whose range is a single s agrees in the whole string, so that it repeats.
+4. In every shard a suffix array is built by induced sorting: suffixes are classified, leftmost-smaller substrings are sorted, recursively where they are not all different, and
+   all suffixes are induced from them. The shards of a task are worked through side by side, each step of the induction for all of them at once. Permuted common prefixes then tell which suffixes share SPAN
+   bytes with a neighbour that stands at another place of the corpus.
+5. The spans found are gathered by document, joined and cut out.
 
 A text is known by its row id, a hash of key and text, so repeated rows are repeated texts. Texts travel compressed.
 """
@@ -15,6 +19,7 @@ A text is known by its row id, a hash of key and text, so repeated rows are repe
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stage, text_of
+from .common import pieces, small, stage, text_of, unstage
 from .shingles import mix, powers, span_hashes
 
 SPAN, GRAM = 200, 100
 REACH = SPAN - GRAM
-#: Bytes of contexts in a shard, about.
-SHARD_BYTES = 1_500_000
+#: Bytes of contexts that a task works on, about; contexts of a shard that are split over tasks, and those that are split within one.
+TASK_BYTES, HOT, MOST = 3_000_000, 1024, 48
 
 
 def _slide(v: np.ndarray, width: int, best) -> np.ndarray:
@@ -43,12 +48,12 @@ def _slide(v: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - more], x[more:]) if more else x
 
 
-def anchors(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, place, key, context hash) of all anchors of texts of at least span bytes."""
+def anchors(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text's number, place, key, context hash, another context hash) of all anchors of texts of at least span bytes."""
     long = [i for i, t in enumerate(texts) if len(t) >= span]
     empty = np.empty(0, np.int64)
     if not long:
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     size = np.array([len(texts[i]) for i in long])
     raw = np.frombuffer(b"".join(texts[i] for i in long), np.uint8)
     s = span_hashes(raw)
@@ -66,183 +71,250 @@ def anchors(texts: list[bytes], span: int = SPAN, gram: int = GRAM) -> tuple[np.
     at = at[h[at] != np.uint64(0xFFFFFFFFFFFFFFFF)]
     own = owner[at]
     lo, hi = np.maximum(at - (span - gram), end[own] - size[own]), np.minimum(at + span, end[own])
-    ctx = mix(((s[hi] - s[lo]) * inverse[lo]) ^ ((at - lo) << 32 | (hi - at)).astype(np.uint64))
-    return np.array(long)[own], at - (end - size)[own], h[at].view(np.int64), ctx.view(np.int64)
-
-
-def _induce(text: list[int], sigma: int, lms: list[int], kind: list[bool]) -> list[int]:
-    """Suffixes in order, induced from the leftmost-smaller suffixes in the order given; text ends with a unique least symbol."""
-    n = len(text)
-    count = [0] * sigma
-    for c in text:
-        count[c] += 1
-    head, total = [0] * sigma, 0
-    for c in range(sigma):
-        head[c], total = total, total + count[c]
-    tail = [h + k for h, k in zip(head, count)]
-    sa, put = [-1] * n, tail[:]
-    for i in reversed(lms):
-        put[text[i]] -= 1
-        sa[put[text[i]]] = i
-    put = head
-    for j in sa:  # larger suffixes, from left to right, while the list fills up
-        if j > 0 and not kind[j - 1]:
-            c = text[j - 1]
-            sa[put[c]] = j - 1
-            put[c] += 1
-    put = tail
-    for k in range(n - 1, -1, -1):  # smaller suffixes, from right to left
-        j = sa[k] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            put[c] -= 1
-            sa[put[c]] = j
-    return sa
-
-
-def suffix_array(text: list[int], sigma: int) -> list[int]:
-    """Induced sorting (SA-IS) of a list of symbols under sigma that ends with its only 0, in linear time."""
-    n = len(text)
-    if n == 1:
-        return [0]
-    kind = [True] * n  # True: smaller than the next suffix
-    for i in range(n - 2, -1, -1):
-        kind[i] = text[i] < text[i + 1] or (text[i] == text[i + 1] and kind[i + 1])
-    lms = [i for i in range(1, n) if kind[i] and not kind[i - 1]]
-    order = [i for i in _induce(text, sigma, lms, kind) if i > 0 and kind[i] and not kind[i - 1]]
-    after = dict(zip(lms, lms[1:]))
-    name, names, last = {}, -1, None
-    for i in order:
-        piece = text[i : after.get(i, n - 1) + 1]
-        if piece != last:
-            names, last = names + 1, piece
-        name[i] = names
-    if names + 1 < len(lms):
-        order = [lms[k] for k in suffix_array([name[i] for i in lms], names + 1)]
-    return _induce(text, sigma, order, kind)
-
-
-def shares_span(text: np.ndarray, sa: np.ndarray, span: int) -> np.ndarray:
-    """For each rank but the first, whether that suffix and the one before it have span symbols in common: the permuted common prefixes, cut at span.
-
-    In text order the common prefix of a suffix with its predecessor shrinks by one at most, so common prefixes of span symbols come in runs;
-    they are compared eight symbols at a time, all suffixes side by side, and leave the comparison at the first difference.
-    """
-    n = len(text)
-    before = np.full(n, -1)
-    before[sa[1:]] = sa[:-1]  # in text order
-    at = np.flatnonzero((before >= 0) & (np.arange(n) + span <= n) & (before + span <= n))
-    words = np.zeros(max(0, n - 7), np.uint64)
-    for k in range(8):
-        words |= text[k : n - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    for k in [*range(0, span - 7, 8), span - 8]:
-        at = at[words[at + k] == words[before[at] + k]]
-    shared = np.zeros(n, bool)
-    shared[at] = True
-    return shared[sa]
+    form = ((at - lo) << 32 | (hi - at)).astype(np.uint64)
+    ctx = mix(((s[hi] - s[lo]) * inverse[lo]) ^ form)
+    s = span_hashes(raw, 1)
+    other = mix(((s[hi] - s[lo]) * inverse[lo]) ^ form)
+    return np.array(long)[own], at - (end - size)[own], h[at].view(np.int64), ctx.view(np.int64), other.view(np.int64)
+
 
+def _classify(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """True where a suffix is smaller than the next one of its string; that of a string's end counts as smaller."""
+    n = len(b)
+    differ = np.flatnonzero(b[1:] != b[:-1])
+    at = np.searchsorted(differ, np.arange(n))  # the first place from here on where a symbol and the next differ
+    kind = np.append(b[1:] > b[:-1], True)[np.append(differ, n - 1)[at]]
+    kind[ends] = True
+    return kind
 
-def repeated_windows(contexts: list[bytes], place: np.ndarray, many: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
-    """For each context the offsets of its span-byte strings that also stand at another place of the corpus.
 
-    place: a number for each context's first byte, such that equal sums place + offset mean the same place; many: whether the context itself stands in several places.
+def _scan(sa: np.ndarray, bucket: np.ndarray, free: np.ndarray, at: np.ndarray, active: np.ndarray, step: int) -> None:
+    """One sweep of the induction: each string's j-th suffix puts the one before it at its bucket's next free place, for all strings at once.
+
+    bucket: of the suffix before each position, or the last one, which takes what isn't to be put anywhere; active: how many strings have a j-th suffix.
+    """
+    nowhere, away = len(free) - 1, free[-1]
+    for m in active.tolist():
+        x = sa[at[:m]]
+        k = bucket[x]
+        p = free[k]
+        sa[p] = x - 1
+        free[k] = p + step
+        free[nowhere] = away
+        sa[-1] = len(bucket) - 1
+        at += step
+
+
+def _induce(b: np.ndarray, starts: np.ndarray, size: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes in order, induced from the leftmost-smaller ones in the order given; sizes fall from string to string."""
+    n, buckets = len(b), int(b.max()) + 1
+    count = np.bincount(b, minlength=buckets)
+    end = np.cumsum(count)
+    sa = np.full(n + 1, n, np.int32)  # n: nothing
+    by = np.argsort(b[lms], kind="stable")
+    own = b[lms][by]
+    have = np.bincount(own, minlength=buckets)
+    sa[(end - np.cumsum(have))[own] + np.arange(len(own))] = lms[by]
+    inner = np.ones(n, bool)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), "right")
+    for smaller in (False, True):
+        put = inner[kind[inner - 1] == smaller]
+        bucket = np.full(n + 1, buckets, np.int32)
+        bucket[put] = b[put - 1]
+        if smaller:  # from right to left, from the buckets' ends
+            _scan(sa, bucket, np.append(end - 1, n).astype(np.int32), starts + size[0] - 1, active[::-1], -1)
+        else:
+            _scan(sa, bucket, np.append(end - count, n).astype(np.int32), starts.copy(), active, 1)
+    return sa[:n]
+
+
+def suffix_arrays(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Suffix arrays of concatenated strings by induced sorting (SA-IS), side by side: positions in all of b, string by string.
+
+    Symbols are numbers that grow from string to string; each string ends with its least symbol, which it has once.
+    """
+    order = np.argsort(-size, kind="stable")
+    if (order[1:] < order[:-1]).any():  # longest first
+        now = size[order]
+        at = np.cumsum(now) - now
+        src = np.repeat(starts[order] - at, now) + np.arange(len(b))
+        c = b[src]
+        least = np.minimum.reduceat(c, at)
+        width = np.maximum.reduceat(c, at) - least + 1
+        out = np.empty(len(b), np.int64)
+        out[src] = src[suffix_arrays(c + np.repeat(np.cumsum(width) - width - least, now), at, now)]
+        return out
+    ends = starts + size - 1
+    kind = _classify(b, starts, ends)
+    marked = np.append(False, kind[1:] & ~kind[:-1])
+    marked[starts], marked[ends] = False, True
+    lms = np.flatnonzero(marked)
+    order = _induce(b, starts, size, kind, lms)
+    order = order[marked[order]]  # sorted by the substrings up to the next leftmost-smaller suffix
+    after = np.zeros(len(b), np.int64)
+    after[lms[:-1]] = lms[1:]
+    after[ends] = 0
+    length = np.where(after[order] > 0, after[order] - order, -1)
+    equal = np.zeros(len(order), bool)
+    at, k = np.flatnonzero((length[1:] == length[:-1]) & (length[1:] > 0)) + 1, 0
+    while len(at):
+        at = at[b[order[at] + k] == b[order[at - 1] + k]]
+        done = length[at] == k
+        equal[at[done]] = True
+        at, k = at[~done], k + 1
+    if equal.any():
+        name = np.empty(len(b), np.int64)
+        name[order] = np.cumsum(~equal) - 1
+        first = np.searchsorted(lms, starts)
+        order = lms[suffix_arrays(name[lms], first, np.searchsorted(lms, ends) + 1 - first)]
+    return _induce(b, starts, size, kind, order)
+
+
+def common_prefixes(raw: np.ndarray, before: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
+    """Permuted common prefixes: for each position in text order how many symbols its suffix shares with the one before it in the suffix array, most at most.
+
+    before: that suffix, or -1; room: symbols up to the context's end. A position's value is at least that of d positions earlier less d, so every other position is
+    worked out first, then those between from what is known; symbols are compared eight at a time, many positions side by side.
+    """
+    n = len(raw)
+    cap = np.where(before >= 0, np.minimum(np.minimum(room, room[before]), most), 0)
+    wide = np.concatenate([raw, np.zeros(most + 16, np.uint8)])
+    words = np.zeros(n + most + 8, np.uint64)
+    for k in range(8):
+        words |= wide[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+    shared = np.zeros(n, np.int64)
+    d = 128
+    at = np.arange(0, n, d)
+    while True:
+        todo = at[shared[at] < cap[at]]
+        while len(todo):
+            x = words[todo + shared[todo]] ^ words[before[todo] + shared[todo]]
+            low = x & (~x + np.uint64(1))  # the lowest bit that differs
+            same = np.where(x == 0, 8, np.frexp(low.astype(np.float64))[1] - 1 >> 3)
+            shared[todo] += same
+            todo = todo[(same == 8) & (shared[todo] < cap[todo])]
+        np.minimum(shared[at], cap[at], out=(now := np.empty(len(at), np.int64)))
+        shared[at] = now
+        if d == 1:
+            return shared
+        d //= 2
+        at = np.arange(d, n, 2 * d)
+        shared[at] = np.minimum(np.maximum(shared[at - d] - d, 0), cap[at])
+
+
+def repeated_windows(contexts: list[bytes], shard: np.ndarray, place: np.ndarray, many: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
+    """For each context the offsets of its span-byte strings that its shard also has at another place of the corpus.
+
+    shard: the shards' numbers, rising; place: a number for each context's first byte, such that equal sums place + offset mean the same place; many: whether the context itself stands in several places.
     """
     if not contexts:
         return []
-    size = np.array([len(c) for c in contexts])
+    n = len(contexts)
+    size = np.fromiter(map(len, contexts), np.int64, n)
     raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     start = np.cumsum(size + 1) - size - 1
-    sa = np.array(suffix_array([*(raw.astype(np.int64) + 1).tolist(), 0], 257))[1:]
-    owner = np.repeat(np.arange(len(contexts)), size + 1)
-    offset = np.arange(len(raw)) - start[owner]
-    valid = offset + span <= size[owner]
-    joined = shares_span(raw, sa, span)
-    # only strings within one context count; runs of ranks that share span bytes are equal strings
-    inside = valid[sa]
-    run = np.cumsum(~joined)
-    run, pos = run[inside], sa[inside]
+    owner = np.repeat(np.arange(n), size + 1)
+    room = (start + size)[owner] - np.arange(len(raw))
+    new = np.append(True, shard[1:] != shard[:-1])
+    symbol = raw.astype(np.int64) + 2
+    symbol[start + size] = np.append(new[1:], True) ^ 1  # 1 ends a context, 0 a shard
+    number = np.cumsum(new) - 1
+    key = symbol + 258 * number[owner]
+    used = np.bincount(key) > 0
+    starts = start[new]
+    sa = suffix_arrays((np.cumsum(used) - 1)[key], starts, np.diff(starts, append=len(raw)))
+    before = np.full(len(raw), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    before[sa[starts]] = -1
+    joined = common_prefixes(raw, before, room, span)[sa] >= span
+    # runs of ranks that share span bytes are equal strings; only those within one context count
+    inside = room[sa] >= span
+    run, pos = np.cumsum(~joined)[inside], sa[inside]
     if not len(pos):
-        return [np.empty(0, np.int64)] * len(contexts)
-    where = place[owner[pos]] + offset[pos]
+        return [np.empty(0, np.int64)] * n
+    where = place[owner[pos]] + pos - start[owner[pos]]
     first = np.flatnonzero(np.diff(run, prepend=-1))
     differ = np.minimum.reduceat(where, first) != np.maximum.reduceat(where, first)
     differ |= np.maximum.reduceat(many[owner[pos]].astype(np.int8), first) > 0
     hit = pos[np.repeat(differ, np.diff(first, append=len(run)))]
     hit.sort()
-    cut = np.searchsorted(owner[hit], np.arange(len(contexts) + 1))
-    return [offset[hit[i:j]] for i, j in zip(cut, cut[1:])]
+    cut = np.searchsorted(owner[hit], np.arange(n + 1))
+    return [hit[i:j] - start[k] for k, (i, j) in enumerate(zip(cut, cut[1:]))]
+
 
+def halves(lo: int, hi: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    mid = (lo + hi) // 2
+    return (lo, mid), (mid + 1, hi)
 
-def _common(m: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common prefixes of rows a and b."""
-    differ = m[a] != m[b]
-    n = np.where(differ.any(axis=1), differ.argmax(axis=1), m.shape[1])
-    return np.minimum(n, np.minimum(size[a], size[b]))
 
+def agreed(context: bytes, before: int, lo: int, hi: int, reach: int, gram: int) -> bytes | None:
+    """The bytes of every string over the anchor that starts lo to hi bytes before it; None if the context has no such string. before: the context's bytes before the anchor."""
+    after = len(context) - before - gram
+    if max(lo, reach - after) > min(hi, before):
+        return None
+    return context[max(0, before - lo) : before + gram + max(0, reach - hi)]
 
-def repeated_spans(keys: np.ndarray, counts: np.ndarray, rids: np.ndarray, ats: np.ndarray, contexts: list[bytes], span: int = SPAN, gram: int = GRAM, stats: list | None = None) -> list[tuple[int, int, int]]:
-    """(rid, from, to) of what repeats in contexts that stand once (counts 1); others only serve as partners. Contexts of a key are distinct.
 
-    Sorted by what follows the anchor (and, backwards, by what is before it), a context's neighbours of the same key show how far any other context can
-    agree with it to the right and to the left. If the neighbours' own agreements already cover every string within these limits, the context is settled.
-    The others' keys are settled by a suffix array over the distinct contexts, cut to their limits.
+def small_shards(rows: list[int], lo: int, hi: int, contexts: list[bytes], before: np.ndarray, reach: int, gram: int):
+    """(rows, lo, hi) of shards with MOST contexts at most, or with a single start lo = hi: those agree in their whole string."""
+    if len(rows) <= MOST or lo == hi:
+        if len(rows) > 1:
+            yield rows, lo, hi
+        return
+    for a, b in halves(lo, hi):
+        groups: dict[bytes, list[int]] = {}
+        for i in rows:
+            if (x := agreed(contexts[i], before[i], a, b, reach, gram)) is not None:
+                # a context at a text's edge has fewer strings, and what all of its strings have may be less than others agree in
+                groups.setdefault(x, []).append(i)
+        for own in groups.values():
+            yield from small_shards(own, a, b, contexts, before, reach, gram)
+
+
+def repeated_spans(groups: list, counts: np.ndarray, rids: np.ndarray, ats: np.ndarray, contexts: list[bytes], span: int = SPAN, gram: int = GRAM, stats: list | None = None) -> list[tuple[int, int, int]]:
+    """(rid, from, to) of what repeats in contexts that stand once (counts 1); others only serve as partners.
+
+    groups: (key, lo, hi) of each context; contexts of a group are distinct and share strings that start lo to hi bytes before the anchor. stats gets the bytes that were sorted.
     """
-    n = len(contexts)
-    if not n:
-        return []
     reach = span - gram
     before = np.minimum(ats, reach)
-    parts = [c[b + gram :] for c, b in zip(contexts, before, strict=True)], [c[:b][::-1] for c, b in zip(contexts, before, strict=True)]
-    size = [np.fromiter(map(len, x), np.int64, n) for x in parts]
-    m = [np.frombuffer(b"".join([x.ljust(reach, b"\0") for x in y]), np.uint8).reshape(n, reach) for y in parts]
-    limit = [np.zeros(n, np.int64), np.zeros(n, np.int64)]  # to the right, to the left
-    near = []
-    for d in (0, 1):
-        order = np.array(sorted(range(n), key=lambda i: (keys[i], parts[d][i], parts[1 - d][i])))
-        x, y = order[:-1], order[1:]
-        x, y = x[keys[x] == keys[y]], y[keys[x] == keys[y]]
-        right, left = (_common(m[k], size[k], x, y) for k in (0, 1))
-        for u in (x, y):
-            np.maximum.at(limit[d], u, (right, left)[d])
-            near.append((u, right, left))
-    right, left = limit
-    # a string that starts s bytes before the anchor repeats if a partner agrees for s bytes to the left and reach - s to the right
-    cover = reach - right
-    pairs = []
-    for u, r, l in near:
-        lo, hi = np.full(n, reach + 1), np.full(n, -1)
-        lo[u], hi[u] = reach - r, l
-        pairs.append((lo, hi))
-    for _ in pairs:
-        for lo, hi in pairs:
-            cover = np.where((lo <= cover) & (hi >= cover), hi + 1, cover)
-    able = left + right >= reach
-    settled = able & (cover > left)
-    out = [(rids[i], ats[i] - left[i], ats[i] + gram + right[i]) for i in np.flatnonzero(settled & (counts == 1))]
-    open_keys = set(keys[able & ~settled & (counts == 1)].tolist())
-    groups: dict[tuple[int, bytes], list[int]] = {}
-    for i in np.flatnonzero(able):
-        if keys[i] in open_keys:
-            b = before[i]
-            groups.setdefault((keys[i], contexts[i][b - left[i] : b + gram + right[i]]), []).append(i)
-    todo = [(c, rows) for (_, c), rows in groups.items()]
-    if stats is not None:
-        stats.append(sum(len(c) for c, _ in todo))
-    if not todo:
-        return out
-    first = np.array([rows[0] for _, rows in todo], np.int64)
-    # in periodic text several anchors may be cut to one place
-    apart = [len({(rids[i], ats[i] - left[i]) for i in rows}) > 1 for _, rows in todo]
-    many = np.array([x or any(counts[i] > 1 for i in rows) for x, (_, rows) in zip(apart, todo, strict=True)], bool)
-    start = ats[first] - left[first]
-    place = mix(rids[first].view(np.uint64)).view(np.int64) + start
-    for i, w in enumerate(repeated_windows([c for c, _ in todo], place, many, span)):
-        if many[i]:
-            w = np.arange(len(todo[i][0]) - span + 1)
-        for r in todo[i][1] if len(w) else []:
-            if counts[r] == 1:
-                at = ats[r] - left[r]
-                out += [(rids[r], x, y) for x, y in zip(*_joined(w + at, w + at + span), strict=True)]
+    members: dict[tuple, list[int]] = {}
+    for i, g in enumerate(groups):
+        members.setdefault(tuple(g), []).append(i)
+    out: list[tuple[int, int, int]] = []
+    todo: list[tuple[int, int, int, bytes]] = []  # shard, row, place of the first byte, bytes
+    total = number = 0
+
+    def flush():
+        nonlocal total
+        if not todo:
+            return
+        shard, row, at = (np.array([t[k] for t in todo], np.int64) for k in range(3))
+        place = mix(rids[row].view(np.uint64)).view(np.int64) + at
+        for t, w in zip(todo, repeated_windows([t[3] for t in todo], shard, place, counts[row] > 1, span), strict=True):
+            if len(w) and counts[t[1]] == 1:
+                out.extend((rids[t[1]], a, b) for a, b in zip(*_joined(w + t[2], w + t[2] + span), strict=True))
+        if stats is not None:
+            stats.append(total)
+        todo.clear()
+        total = 0
+
+    for (_, lo, hi), rows in members.items():
+        for own, a, b in small_shards(rows, lo, hi, contexts, before, reach, gram):
+            if a == b and len(own) > MOST:
+                out += [(rids[i], ats[i] - a, ats[i] - a + span) for i in own if counts[i] == 1]
+                continue
+            number += 1
+            for i in own:
+                left = max(0, before[i] - b)
+                x = contexts[i][left : before[i] + gram + reach - a]
+                todo.append((number, i, ats[i] - before[i] + left, x))
+                total += len(x)
+            if total >= TASK_BYTES:
+                flush()
+    flush()
     return out
 
 
@@ -271,9 +343,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in pieces(texts):
                 data = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
-                own, at, k, ctx = anchors(data, span, gram)
+                own, at, k, ctx, other = anchors(data, span, gram)
                 ids = np.array([rid(a, t) for a, t in zip(keys[i:j], data, strict=True)], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ctx), pa.array(ids[own]), pa.array(at.astype(np.int32))], ["key", "ctx", "rid", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ctx), pa.array(other), pa.array(ids[own]), pa.array(at.astype(np.int32))], ["key", "ctx", "other", "rid", "at"])
 
     def shrink(batches):
         z = zstandard.ZstdCompressor(level=1)
@@ -293,9 +365,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
             if flat:
                 yield pd.DataFrame(flat, columns=["key", "c", "rid", "at", "context"])
 
-    def sort(shard: pd.DataFrame) -> pd.DataFrame:
-        cols = (shard[c].to_numpy(np.int64) for c in ("key", "c", "rid", "at"))
-        return pd.DataFrame(repeated_spans(*cols, list(shard["context"]), span, gram), columns=["rid", "lo", "hi"])
+    def sort(part: pd.DataFrame) -> pd.DataFrame:
+        c, rid, at = (part[x].to_numpy(np.int64) for x in ("c", "rid", "at"))
+        return pd.DataFrame(repeated_spans(list(zip(part["key"], part["lo"], part["hi"])), c, rid, at, list(part["context"]), span, gram), columns=["rid", "lo", "hi"])
+
+    def split(batches):
+        for b in batches:
+            rows = []
+            for key, lo, hi, c, r, at, x in b[names].itertuples(index=False, name=None):
+                for i, j in halves(lo, hi):
+                    if (same := agreed(x, min(at, reach), i, j, reach, gram)) is not None:
+                        rows.append((xxhash.xxh3_128_digest(key + b"%d:%d:" % (i, j) + same), i, j, c, r, at, x))
+            yield pd.DataFrame(rows, columns=names)
 
     def remove(batches):
         z = zstandard.ZstdDecompressor()
@@ -309,18 +390,40 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
                 out.append((k, len(t), len(t) - len(rest), len(lo), rest, hashlib.sha256(rest).hexdigest()))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]).astype({"doc_id": b["doc_id"].dtype})
 
-    marks = src.mapInArrow(mark, "key long, ctx long, rid long, at int")
-    keys = marks.groupBy("key").agg(F.count("*").alias("c"), F.min("ctx").alias("x"), F.max("ctx").alias("y")).where("c > 1").select("key", (F.col("x") != F.col("y")).alias("multi"))
-    found = stage(marks.join(stage(keys), "key"))
+    names = ["key", "lo", "hi", "c", "rid", "at", "context"]
+    shards_of = "key binary, lo int, hi int, c long, rid long, at int, context binary"
+    marks = src.mapInArrow(mark, "key long, ctx long, other long, rid long, at int")
+    keys = marks.groupBy("key").agg(F.count("*").alias("c"), *(f(x).alias(f"{n}_{x}") for x in ("ctx", "other") for n, f in (("min", F.min), ("max", F.max)))).where("c > 1")
+    keys = stage(keys.select("key", ((F.col("min_ctx") != F.col("max_ctx")) | (F.col("min_other") != F.col("max_other"))).alias("multi")))
+    found = stage(marks.join(keys, "key"))
     multi = found.where("multi")
-    contexts = stage(multi.groupBy("key", "ctx").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at")).alias("r")).select("key", "ctx", "c", "r.rid", "r.at"))
+    contexts = stage(multi.groupBy("key", "ctx", "other").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at")).alias("r")).select("key", "ctx", "other", "c", "r.rid", "r.at"))
     whole = F.greatest(F.col("at") - reach, F.lit(0)).alias("lo"), (F.col("at") + span).alias("hi")
-    same = found.where("not multi").select("rid", *whole).unionAll(multi.join(contexts.where("c > 1").select("key", "ctx"), ["key", "ctx"]).select("rid", *whole))
+    again = stage(contexts.where("c > 1").select("key", "ctx", "other"))
+    same = found.where("not multi").select("rid", *whole).unionAll(multi.join(small(again), ["key", "ctx", "other"]).select("rid", *whole))
     texts = src.mapInArrow(shrink, f"doc_id {kind}, rid long, z binary")
-    want = contexts.groupBy("rid").agg(F.collect_list(F.struct("key", "c", "rid", "at")).alias("want"))  # bounded by a text's length
-    one = texts.select("rid", "z").join(want, "rid").dropDuplicates(["rid"])
-    cuts = one.mapInPandas(cut, "key long, c long, rid long, at int, context binary")
-    shards = max(1, contexts.count() * (2 * span - gram) // SHARD_BYTES)
-    sorted_ = cuts.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInPandas(lambda s: sort(s), "rid long, lo int, hi int")
-    spans = same.unionAll(sorted_).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by a text's length
+
+    def bytes_of(some: DataFrame) -> DataFrame:
+        want = some.groupBy("rid").agg(F.collect_list(F.struct("key", "c", "rid", "at")).alias("want"))  # bounded by a text's length
+        one = texts.select("rid", "z").join(want, "rid").dropDuplicates(["rid"])
+        cuts = one.mapInPandas(cut, "key long, c long, rid long, at int, context binary")
+        return cuts.select(F.hex("key").cast("binary").alias("key"), F.lit(0).alias("lo"), F.lit(reach).alias("hi"), "c", "rid", "at", "context")
+
+    hot = stage(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    ready, single = [bytes_of(contexts.join(small(hot), "key", "left_anti"))], []
+    if hot.take(1):
+        some = stage(bytes_of(contexts.join(small(hot), "key", "left_semi")))
+        while some is not None:
+            parts = stage(some.mapInPandas(split, shards_of))
+            unstage(some)
+            n = stage(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+            sized = parts.join(small(n), "key")
+            single.append(sized.where("lo = hi and c = 1").select("rid", (F.col("at") - F.col("lo")).alias("lo"), (F.col("at") - F.col("lo") + span).alias("hi")))
+            ready.append(sized.where((F.col("lo") < F.col("hi")) & (F.col("n") <= HOT)).drop("n"))
+            some = sized.where((F.col("lo") < F.col("hi")) & (F.col("n") > HOT)).drop("n")
+            some = stage(some) if some.take(1) else None
+    cuts = reduce(DataFrame.unionAll, ready)
+    tasks = max(1, contexts.count() * (2 * span - gram) // TASK_BYTES)
+    sorted_ = cuts.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInPandas(lambda s: sort(s), "rid long, lo int, hi int")
+    spans = reduce(DataFrame.unionAll, [same, sorted_, *single]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by a text's length
     return texts.join(spans, "rid", "left").select("doc_id", "z", "spans").mapInPandas(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

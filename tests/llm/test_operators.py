@@ -125,11 +125,53 @@ def test_suffix(docs):
     same(tup(suffix_dedup.remove_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), want)
 
 
-def test_suffix_array_and_spans():
+def test_suffix_arrays():
+    """Many strings side by side, of runs, of few and of many symbols, and their common prefixes."""
+    import numpy as np
+
     rnd = random.Random(0)
-    for _ in range(200):
-        t = [rnd.randint(1, rnd.choice([2, 4, 250])) for _ in range(rnd.randint(0, 60))] + [0]
-        assert suffix_dedup.suffix_array(t, 257) == sorted(range(len(t)), key=lambda i: t[i:])
+    for _ in range(150):
+        strings = [[rnd.randint(1, rnd.choice([1, 2, 4, 250])) for _ in range(rnd.choice([0, 3, 60]))] + [0] for _ in range(rnd.randint(1, 9))]
+        size = np.array([len(x) for x in strings])
+        starts = np.cumsum(size) - size
+        flat = np.array([c + 251 * k for k, x in enumerate(strings) for c in x])
+        sa = suffix_dedup.suffix_arrays(flat, starts, size)
+        for x, at in zip(strings, starts.tolist()):
+            assert (sa[at : at + len(x)] - at).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
+        before = np.full(len(flat), -1)
+        before[sa[1:]] = sa[:-1]
+        before[sa[starts]] = -1
+        room = np.repeat(starts + size - 1, size) - np.arange(len(flat))
+        raw = np.array([c for x in strings for c in x], np.uint8)
+        for most in (5, 200):
+            got = suffix_dedup.common_prefixes(raw, before, room, most)
+            for i, j in enumerate(before.tolist()):
+                want = 0
+                while j >= 0 and want < min(room[i], room[j], most) and raw[i + want] == raw[j + want]:
+                    want += 1
+                assert got[i] == want
+
+
+def test_suffix_hot_keys(spark, monkeypatch):
+    """A passage before and after which thousands of texts differ, or agree for a while, split over tasks and within one."""
+    rnd = random.Random(12)
+    passage = "".join(rnd.choices("abcdefgh ", k=150))
+    rows = [(k, "".join(rnd.choices("xy", k=rnd.randrange(3))) + str(k % 7) * (k % 90) + passage[rnd.randrange(2) :] + str(k % 5) * (k % 70) + "".join(rnd.choices("xy", k=rnd.randrange(90)))) for k in range(400)]
+    data = [t.encode() for _, t in rows]
+    seen = Counter(t[i : i + 200] for t in data for i in range(len(t) - 199))
+    want = []
+    for (k, _), t in zip(rows, data, strict=True):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = b"\1" * 200
+        want.append((k, sum(gone)))
+    assert sum(n > 0 for _, n in want) > 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, most in ((1024, 48), (20, 4), (3, 2)):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "MOST", most)
+        same(tup(suffix_dedup.remove_repeats(df), "doc_id", "n_removed"), want)
 
 
 def test_bpe(docs):
