@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(e)
     while before[0]:
-        e = stage(_small_star(_large_star(e)))
+        old, e = e, stage(_small_star(_large_star(e)))
+        unstage(old)
         after = _mark(e)
         if after == before:
             break

@@ -3,12 +3,13 @@
 Links are pairs with Jaccard similarity of at least percent / 100 between five-word shingle sets; percent is a parameter, PERCENT the value of op6's
 contract. The steps:
 
-1. One pass over the texts (vectorised numpy) gives each document its set's size, a 128-bit hash of the set and the band keys. Equal sets form a
+1. One pass over the texts (vectorised numpy) gives each document its set's size, a 128-bit hash of the set and the lower halves of its minima. Equal sets form a
    class; the smallest doc_id stands for it, so copies are never paired.
-2. Band keys that two classes share make them candidates: shape() chooses how many so that P(a pair at percent shares none) is under 1e-6.
+2. Band keys (hashes of a few neighbouring minima, made in Spark) that two classes share make them candidates: shape() chooses how many so that P(a pair at percent shares none) is under 1e-6.
 3. Exact pruning: a shingle that no other candidate has can't be shared. With m the shingles of a set that some other candidate has, J is at most
    min(m) / (n1 + n2 - min(m)); a candidate with m under percent of n has no link at all and leaves. This keeps large groups of loosely alike texts from being paired.
 4. In each bucket all members are checked against the member with the fewest own shingles (a star, linear in the bucket). Checks compare signatures, then full sets.
+   A star's centre meets its many partners in salted parts, and its set isn't shuffled with them.
 5. Documents of buckets that still hold different components are then paired across components by their rarest shingles (prefix and place filter, exact) and
    checked, so no link is lost and no group is expanded into all pairs.
 6. Components over the confirmed links.
@@ -25,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, small, stage, text_of
+from .common import pieces, small, stage, text_of, unstage
 from .graph import components
-from .shingles import MinHash, bands, sets, shingles
+from .shingles import MinHash, sets, shingles, short
 
 PERCENT = 85
+#: Partners of a star's centre that meet it in one part.
+PARTNERS = 128
 
 
 def shape(percent: float) -> tuple[int, int]:
@@ -45,19 +48,20 @@ def least_equal(percent: float, n: int) -> int:
     return int((p - 5.1 * math.sqrt(p * (1 - p) / n)) * n)
 
 
-def _fingerprint(batches, n_bands, rows):
-    mh = MinHash(n_bands * rows)
+def band_keys(sig, n_bands: int, rows: int):
+    """One 64-bit key for each band of so many rows of a short signature."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.xxhash64(i, F.substring(sig, i * (2 * rows) + 1, F.lit(2 * rows))))
+
+
+def _fingerprint(batches, minima):
+    mh = MinHash(minima)
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
         for i, j in pieces(texts):
             h, n = shingles(texts[i:j])
-            sig = mh(h, n)
             own = [np.unique(x) for x in np.split(h, np.cumsum(n)[:-1])]
-            key = bands(sig, rows)
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array([len(x) for x in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.ListArray.from_arrays(np.arange(0, key.size + 1, n_bands, dtype=np.int32), pa.array(key.ravel()))],
-                ["doc_id", "n", "set_hash", "sig", "bands"],
-            )
+            cols = [pa.array([len(x) for x in own], pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in short(mh(h, n))], pa.binary())]
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), *cols], ["doc_id", "n", "set_hash", "sig"])
 
 
 def _blobs(batches):
@@ -80,7 +84,7 @@ def _alike(batches, least):
     """Keep pairs whose signatures agree in least minima or more."""
     for b in batches:
         if len(b):
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint32).reshape(len(b), -1) for c in ("sa", "sb"))
+            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), -1) for c in ("ba", "bb"))
             yield b.loc[(x == y).sum(axis=1) >= least, ["a", "b"]]
 
 
@@ -95,12 +99,22 @@ def _linked(batches, percent):
         yield b.loc[pd.Series(ok, index=b.index, dtype=bool), ["a", "b"]]
 
 
+def _met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with the column of table (rep, column) for both, as ba and bb. a may have very many pairs: then it is there once for each PARTNERS of them."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS)
+    many = stage(many.select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")))
+    cut = pairs.join(small(many), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    centre = table.select(F.col("rep").alias("a"), F.col(column).alias("ba")).join(small(many), "a", "left")
+    centre = centre.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    return cut.join(table.select(F.col("rep").alias("b"), F.col(column).alias("bb")), "b").join(centre, ["a", "part"]).select("a", "b", "ba", "bb")
+
+
 def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame, percent: float, least: int) -> DataFrame:
-    kind = pairs.schema["a"].dataType.simpleString()
-    side = lambda t, c, to: t.select(F.col("rep").alias(to), F.col(c).alias(("s" if c == "sig" else "b") + to))
-    near = pairs.join(side(sigs, "sig", "a"), "a").join(side(sigs, "sig", "b"), "b").select("a", "b", "sa", "sb").mapInPandas(lambda x: _alike(x, least), f"a {kind}, b {kind}")
-    near = stage(near)
-    return stage(near.join(side(blobs, "blob", "a"), "a").join(side(blobs, "blob", "b"), "b").select("a", "b", "ba", "bb").mapInPandas(lambda x: _linked(x, percent), f"a {kind}, b {kind}"))
+    kind = f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}"
+    near = stage(_met(pairs, sigs, "sig").mapInPandas(lambda x: _alike(x, least), kind))
+    out = stage(_met(near, blobs, "blob").mapInPandas(lambda x: _linked(x, percent), kind))
+    unstage(near)
+    return out
 
 
 def _bound(m1, n1, m2, n2, percent):
@@ -109,21 +123,22 @@ def _bound(m1, n1, m2, n2, percent):
     return 100 * m >= percent * (n1 + n2 - m)
 
 
-def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) -> DataFrame:
-    """(rep, rep2) of different components that may be links; rest: rep, n, comp. No link between components is left out.
+def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) -> tuple[DataFrame, DataFrame]:
+    """(rep, rep2), and what to unstage after use, of different components that may be links; rest: rep, n, comp. No link between components is left out.
 
     Shingles are put in one order, those of the fewest documents first. A link shares a shingle within the first n - ceil(n percent / 100) + 1 of both sets, and
     from the places of the first one they share follows the most they can share. Sets that differ from all others in many rare shingles thus meet nobody,
     however many there are and however many shingles of the common kind they have.
     """
     s = blobs.join(small(rest.select("rep")), "rep").mapInArrow(_unfold, f"s long, rep {kind}")
-    s = stage(s)
+    every = s = stage(s)
     s = s.join(s.groupBy("s").agg(F.count("*").alias("c")), "s").join(rest, "rep")
     s = s.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("c", "s")) - 1)
     s = stage(s.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))).select("s", "rep", "n", "comp", "at"))
+    unstage(every)
     other = s.select("s", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "at")))
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))))
+    return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))), s
 
 
 def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: tuple[int, int]) -> tuple[DataFrame, ...]:
@@ -135,12 +150,12 @@ def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: t
     kind, (n_bands, rows) = docs.schema[key].dataType.simpleString(), form
     least = least_equal(percent, n_bands * rows)
     src = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text"))
-    meta = stage(src.mapInArrow(lambda x: _fingerprint(x, n_bands, rows), f"doc_id {kind}, n long, set_hash binary, sig binary, bands array<long>"))
+    meta = stage(src.mapInArrow(lambda x: _fingerprint(x, n_bands * rows), f"doc_id {kind}, n long, set_hash binary, sig binary"))
     full = meta.where("n > 0 and doc_id is not null")
     classes = stage(full.groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
-    reps = meta.join(classes, (F.col("doc_id") == F.col("rep")) & (meta.set_hash == classes.set_hash)).select("rep", "n", "sig", "bands").dropDuplicates(["rep", "n"])
+    reps = meta.join(classes, (F.col("doc_id") == F.col("rep")) & (meta.set_hash == classes.set_hash)).select("rep", "n", "sig").dropDuplicates(["rep", "n"])
     reps = stage(reps)
-    keys = reps.select("rep", F.explode("bands").alias("key"))
+    keys = reps.select("rep", F.explode(band_keys(F.col("sig"), n_bands, rows)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     members = stage(keys.join(shared, "key"))
     cands = stage(members.select("rep").distinct())
@@ -152,14 +167,17 @@ def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: t
     m = members.join(live, "rep")
     lead = m.groupBy("key").agg(F.min(F.struct(F.col("n") - F.col("m"), "rep", "n", "m")).alias("l")).select("key", F.col("l.rep").alias("lrep"), F.col("l.n").alias("ln"), F.col("l.m").alias("lm"))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tried = stage(m.join(lead, "key").where((F.col("rep") != F.col("lrep")) & _bound(F.col("m"), F.col("n"), F.col("lm"), F.col("ln"), percent)).select(*pair("rep", "lrep")).distinct())
+    tried = stage(m.join(lead, "key").where((F.col("rep") != F.col("lrep")) & _bound(F.col("m"), F.col("n"), F.col("lm"), F.col("ln"), percent)).select(F.col("lrep").alias("a"), F.col("rep").alias("b")).distinct())
     links = _confirm(tried, sigs, blobs, percent, least)
     comp = stage(components(links))
     mc = m.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", "n", "m", F.coalesce("component", "rep").alias("comp"))
     split = mc.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    more = _rare_pairs(stage(mc.join(split, "key").select("rep", "n", "comp").distinct()), blobs, kind, percent).select(*pair("rep", "rep2")).distinct()
-    more = stage(more.join(tried, ["a", "b"], "left_anti"))
-    links = links.unionAll(_confirm(more, sigs, blobs, percent, least))
+    rest = stage(mc.join(split, "key").select("rep", "n", "comp").distinct())
+    more, rare = _rare_pairs(rest, blobs, kind, percent)
+    more = stage(more.select(*pair("rep", "rep2")).distinct().join(tried.select(*pair("a", "b")), ["a", "b"], "left_anti"))
+    unstage(rare)
+    links = stage(links.unionAll(_confirm(more, sigs, blobs, percent, least)).select(*pair("a", "b")).distinct())
+    unstage(reps, members, cands, blobs, live, tried, comp, rest, more)
     out = meta.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     return out, classes, links, stage(components(links))
 

@@ -118,9 +118,6 @@ class MinHash:
         return out
 
 
-def bands(sig: np.ndarray, rows: int, seed: int = 11) -> np.ndarray:
-    """One 64-bit key for each band of so many rows of the signatures."""
-    n = sig.shape[1] // rows
-    c = (_seeded(n * rows, seed) | np.uint64(1)).reshape(n, rows)
-    v = sig[:, : n * rows].reshape(len(sig), n, rows).astype(np.uint64)
-    return mix((v * c).sum(axis=2, dtype=np.uint64) + _seeded(n, seed + 1)).view(np.int64)
+def short(sig: np.ndarray) -> np.ndarray:
+    """The lower halves of signatures, 16 bits each, most significant byte first: the upper ones of minima over many shingles are all 0."""
+    return (sig & np.uint32(0xFFFF)).astype(">u2")

@@ -436,6 +436,37 @@ def test_fingerprints(docs):
     assert all(len(x) <= 1 for x in by_text.values())
 
 
+def test_fingerprint_links(docs):
+    """The query's groups are those of near_documents, and these those of all pairs."""
+    got = fingerprints.fingerprints(docs)
+    same(tup(got, "doc_id", "group_id", "n_links"), tup(fingerprints.near_documents(docs), "doc_id", "group_id", "n_links"))
+    rows = pairs_of(docs)
+    sets = [shingle_set(t) for _, t in rows]
+    keyed = [i for i, (k, _) in enumerate(rows) if k is not None and sets[i]]
+    links = [(rows[i][0], rows[j][0]) for i in keyed for j in keyed if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    least = reach([k for k, _ in rows if k is not None], links)
+    same(tup(got, "doc_id", "group_id"), [(k, least.get(k)) for k, _ in rows])
+
+
+def test_fingerprint_bits(docs):
+    """The bits are those of plain minima over the shingles' hashes."""
+    import numpy as np
+
+    from rolomill.llm import shingles
+
+    mh = shingles.MinHash(fingerprints.PERMUTATIONS)
+    a, b = (list(map(int, x)) for x in (mh.a, mh.b))
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    rows = pairs_of(docs)
+    for k, t in random.Random(4).sample(rows, min(12, len(rows))):
+        if k is None or sum(x[0] == k for x in rows) > 1 or len(t) > 20_000:
+            continue
+        h = [int(x) for x in np.unique(shingles.shingles([t])[0])]
+        assert len(h) == len(shingle_set(t))
+        want = [min(((x * m + c) % 2**64 >> 32 for x in h), default=2**32 - 1) for m, c in zip(a, b)]
+        assert got[k] == "".join(f"{w % 2**16:04x}" for w in want)
+
+
 def test_fingerprint_groups(docs):
     rows = pairs_of(docs)
     got = tup(fingerprints.near_documents(docs), "doc_id", "group_id")
