@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Steps remembered by each worker (in two halves, the older of which goes when the younger is full).
-REMEMBER = 1 << 17
+REMEMBER = 1 << 18
 #: Characters of a text that are cut into pre-tokens at once.
 SLICE = 1 << 16
 
@@ -90,6 +90,7 @@ class Vocabulary:
         #: Ranks of pairs of ids, and the id that each rank makes.
         self.pairs = {self.ids[a] << 32 | self.ids[b]: k for (a, b), k in self.rank.items()}
         self.made, self.no = [self.ids[a + b] for a, b in self.rank], len(self.rank)
+        self.said = {i: f"{i}," for i in [*self.ids.values(), *self.special.values()]}
         self.text = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
@@ -318,8 +319,8 @@ class _Digest:
         self.path = path
 
     def __call__(self, ids):
-        text = _made[self.path].text
-        return ("".join([f"{i}," for i in ids]), len(ids), b"".join([text[i] for i in ids]))
+        v = _made[self.path]
+        return ("".join([v.said[i] for i in ids]), len(ids), b"".join([v.text[i] for i in ids]))
 
     def __hash__(self):
         return hash(self.path)
