@@ -122,9 +122,11 @@ def _consolidate(ctx: Context) -> DataFrame:
 
 def _dedup(ctx: Context) -> DataFrame:
     df, c = ctx["consolidate"], ctx.config
-    least = dedup.CONFIRM if c.max_candidates is None else dedup.THRESHOLD
-    pairs = dedup.confirmed(dedup.candidates(df, least, c.compat_nan, c.max_candidates))
-    return stage(dedup.merged(df, dedup.merges(pairs)))
+    if c.max_candidates is None:
+        gone = dedup.removed(df, c.compat_nan)
+    else:
+        gone = dedup.merges(dedup.confirmed(dedup.candidates(df, dedup.THRESHOLD, c.compat_nan, c.max_candidates)))
+    return stage(dedup.merged(df, gone))
 
 
 def _enrich(ctx: Context) -> DataFrame:

@@ -410,19 +410,19 @@ def dedup_compat_nan(spark, sf):
 
 @_query(_WITH + _pairs_sql() + _MIS.format(cand="cand") + " SELECT * FROM removed")
 def dedup_removed(spark, sf):
-    return dedup.merges(dedup.confirmed(dedup.candidates(_contacts(spark, sf), dedup.CONFIRM)))
+    return dedup.removed(_contacts(spark, sf))
 
 
 @_query(_WITH + _pairs_sql() + _MIS.format(cand="cand") + " SELECT row_id FROM contacts ANTI JOIN gone ON row_id = v")
 def dedup_survivors(spark, sf):
     df = _contacts(spark, sf)
-    return df.select("row_id").join(dedup.merges(dedup.confirmed(dedup.candidates(df, dedup.CONFIRM))).select("row_id"), "row_id", "left_anti")
+    return df.select("row_id").join(dedup.removed(df).select("row_id"), "row_id", "left_anti")
 
 
-@_query(_WITH + _pairs_sql() + _MIS.format(cand="cand") + ", o AS (SELECT c.*, coalesce(parent, c.row_id) AS owner FROM contacts c LEFT JOIN removed r ON r.row_id = c.row_id) SELECT owner AS row_id, " + ", ".join(f"arg_max({f}, length({f}) * 10000000000 - row_id) FILTER ({f} <> '') AS {f}" for f in FIELDS) + " FROM o GROUP BY owner")
+@_query(_WITH + _pairs_sql() + _MIS.format(cand="cand") + ", o AS (SELECT c.*, coalesce(parent, c.row_id) AS owner FROM contacts c LEFT JOIN removed r ON r.row_id = c.row_id) SELECT owner AS row_id, " + ", ".join(f"arg_max({f}, length({f}) * 10000000000 - row_id) FILTER ({f} <> '') AS {f}" for f in [*FIELDS, "source_file"]) + " FROM o GROUP BY owner")
 def dedup_merged(spark, sf):
     df = _contacts(spark, sf)
-    return dedup.merged(df, dedup.merges(dedup.confirmed(dedup.candidates(df, dedup.CONFIRM))))
+    return dedup.merged(df, dedup.removed(df))
 
 
 @_query(_WITH + _pairs_sql() + _MIS.format(cand="cand") + " SELECT (SELECT count(*) FROM contacts) AS initial_count, (SELECT count(*) FROM cand) AS duplicate_candidates, (SELECT count(*) FROM ok) AS confirmed_duplicates, (SELECT count(*) FROM contacts) - (SELECT count(*) FROM gone) AS final_count")

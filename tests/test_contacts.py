@@ -57,6 +57,39 @@ def test_merges_are_greedy(spark):
         assert got == parent
 
 
+def test_resolve_is_greedy(spark, monkeypatch):
+    """Groups and similar groups against the pairs they stand for, in one task and in rounds."""
+    rnd = random.Random(3)
+    for n, k in ((12, 6), (60, 40), (60, 15)):
+        members = sorted({(rnd.randrange(n), f"g{rnd.randrange(k)}") for _ in range(2 * n)})
+        near = [(f"g{rnd.randrange(k)}", f"g{rnd.randrange(k)}") for _ in range(3)]
+        rows = {g: [r for r, x in members if x == g] for _, g in members}
+        pairs = {(i, j) for g in rows.values() for i in g for j in g if i < j}
+        pairs |= {(min(i, j), max(i, j)) for a, b in near for i in rows.get(a, ()) for j in rows.get(b, ()) if i != j}
+        parent = {}
+        for i, j in sorted(pairs):
+            if i not in parent and j not in parent:
+                parent[j] = i
+        for most in (100_000, 0):
+            monkeypatch.setattr(dedup, "COMPONENT", most)
+            got = dedup.resolve(spark.createDataFrame(members, "row_id long, grp string"), spark.createDataFrame(near, "a string, b string"))
+            assert {r.row_id: r.parent for r in got.collect()} == parent
+
+
+def test_resolve_hub_and_chain(spark):
+    """A value that very many rows share, and a chain of a thousand rows."""
+    hub = spark.range(100_000).select(F.col("id").alias("row_id"), F.lit("hub").alias("grp"))
+    assert dedup.resolve(hub).agg(F.count("*"), F.max("parent")).first() == (99_999, 0)
+    chain = [(i, f"c{k}") for i in range(1000) for k in (i, i + 1)]
+    assert {r.row_id: r.parent for r in dedup.resolve(spark.createDataFrame(chain, "row_id long, grp string")).collect()} == {i: i - 1 for i in range(1, 1000, 2)}
+
+
+def test_lcs_lengths():
+    rnd = random.Random(4)
+    a, b = (["".join(rnd.choices("abcé\0 ", [9, 9, 9, 9, 0.1, 3], k=rnd.choice([0, 3, 12, 63, 64, 90]))) for _ in range(400)] for _ in range(2))
+    assert people.lcs_lengths(a, b).tolist() == [people.lcs_length(x, y) for x, y in zip(a, b)]
+
+
 def test_similar_names_is_exact(spark):
     rnd = random.Random(2)
     names = ["".join(rnd.choices("abc d", k=rnd.randint(1, 12))) for _ in range(120)]
