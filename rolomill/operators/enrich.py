@@ -2,57 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails
+from ..functions.pages import page_parts
 from ..functions.text import collapse, trim_all
 
-#: Parts of URLs that are left out; elements dropped from pages; longest text of a page.
+#: Parts of URLs that are left out; addresses of nobody in particular; longest text of a page, and of the pages of a contact; pages of a contact.
 SKIPPED_URLS = ["javascript:", "mailto:", "tel:", "ftp:", "youtube.com", "facebook.com", "twitter.com", "instagram.com", "pinterest.com", "tiktok.com", "reddit.com", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".tar", ".gz"]
-DROPPED = ["script", "style", "nav", "header", "footer", "aside"]
 GENERIC = ["info", "support", "hello", "contact", "admin", "sales"]
-TEXT_LIMIT = 5000
+TEXT_LIMIT, CONTENT_LIMIT, PAGES_LIMIT = 5000, 6000, 5
 
 
-def url_ok(c: Column) -> Column:
-    low = F.lower(F.coalesce(c, F.lit("")))
-    bad = F.lit(False)
-    for p in SKIPPED_URLS:
-        bad = bad | low.contains(p)
-    return ~bad & F.coalesce(c.startswith("http://") | c.startswith("https://"), F.lit(False))
+def page_text(html: Column, limit: int | None = None) -> Column:
+    """Main text of a page, see functions.pages.parse."""
+    t = page_parts(html)["text"]
+    return t if limit is None else F.substring(t, 1, limit)
 
 
-def page_title(html: Column) -> Column:
-    return collapse(F.coalesce(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")))
+def page_emails(html: Column) -> Column:
+    """Sorted distinct addresses of a page: plain, encoded and obfuscated; taken from the whole main text."""
+    return page_parts(html)["emails"]
 
 
-def page_text(html: Column, limit: int | None = None) -> Column:
-    """Text of the article (else main, else body, else all): dropped elements and comments go, text nodes are joined without a separator, white space collapses."""
-    h = F.regexp_replace(F.coalesce(html, F.lit("")), "(?s)<!--.*?-->", "")
-    for t in DROPPED:
-        h = F.regexp_replace(h, f"(?is)<{t}\\b[^>]*>.*?</{t}>", "")
-    part = F.lit("")
-    for t in ("body", "article", "main"):
-        m = F.regexp_extract(h, f"(?is)<{t}\\b[^>]*>(.*)</{t}>", 1)
-        part = F.when(m != "", m).otherwise(part)
-    t = collapse(F.regexp_replace(F.when(part != "", part).otherwise(h), "(?s)<[^>]*>", ""))
-    return t if limit is None else F.substring(t, 1, limit)
-
+def pages(df: DataFrame) -> DataFrame:
+    """page_id, url, title, text (its first TEXT_LIMIT characters), emails; each page is parsed once."""
+    p = df.select("page_id", "url", page_parts(F.col("html")).alias("p"))
+    return p.select("page_id", "url", "p.title", F.substring("p.text", 1, TEXT_LIMIT).alias("text"), "p.emails")
 
-def cloudflare_emails(html: Column) -> Column:
-    coded = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit('(?i)data-cfemail="([a-f0-9]+)"'), F.lit(1))
-    return F.filter(F.transform(coded, emails.decode_cloudflare), lambda e: e.isNotNull())
 
+def linked_pages(contacts: DataFrame, pages_: DataFrame, most: int = PAGES_LIMIT) -> DataFrame:
+    """(row_id, page_id, url, html): for each contact the first most pages, by page_id, whose main text has the contact's first and last name as neighbouring words.
 
-def page_emails(html: Column) -> Column:
-    """Sorted distinct addresses of a page: plain, encoded and obfuscated."""
-    t = page_text(html)
-    return F.array_sort(F.array_distinct(F.concat(emails.extract_emails(t), cloudflare_emails(html), emails.extract_at_word(t), emails.extract_dot_word(t), emails.extract_spaced(t))))
+    Word pairs of all pages meet the names that contacts have; a name keeps its first pages before they meet its contacts, so a common name multiplies nothing. Names of more than two words
+    count with their first and last word; contacts without both names are linked with nothing.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    w = lambda c: words(F.coalesce(F.col(c), F.lit("")))
+    key = F.concat_ws(" ", F.get(w("first_name"), F.lit(0)), F.try_element_at(w("last_name"), F.lit(-1)))
+    named = contacts.select("row_id", F.when((F.size(w("first_name")) > 0) & (F.size(w("last_name")) > 0), key).alias("name")).where("name is not null")
+    t = pages_.select("page_id", words(page_text(F.col("html"))).alias("w"))
+    pairs = t.select("page_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))).alias("name"))
+    met = pairs.join(named.select("name").distinct(), "name", "left_semi")
+    first = met.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("page_id"))).where(F.col("nth") <= most).select("name", "page_id")
+    return named.join(first, "name").join(pages_.select("page_id", "url", "html"), "page_id").select("row_id", "page_id", "url", "html")
 
 
-def pages(df: DataFrame) -> DataFrame:
-    return df.select("page_id", "url", page_title(F.col("html")).alias("title"), page_text(F.col("html"), TEXT_LIMIT).alias("text"), page_emails(F.col("html")).alias("emails"))
+def url_ok(c: Column) -> Column:
+    low = F.lower(F.coalesce(c, F.lit("")))
+    bad = F.lit(False)
+    for p in SKIPPED_URLS:
+        bad = bad | low.contains(p)
+    return ~bad & F.coalesce(c.startswith("http://") | c.startswith("https://"), F.lit(False))
 
 
 def distinct_urls(df: DataFrame) -> DataFrame:
@@ -67,11 +69,14 @@ def search_term(first: Column, last: Column, company: Column) -> Column:
     return F.when(F.length(q).between(3, 100), q).when(name != "", F.concat(name, F.lit(" email"))).otherwise("email address")
 
 
-def combined(pages_: DataFrame, by: str) -> DataFrame:
-    """One text for each value of by, its pages numbered in order of page_id."""
-    head = lambda p, i: F.concat(F.lit("PAGE "), (i + 1).cast("string"), F.lit("\nURL: "), p["url"], F.lit("\nTITLE: "), p["title"], F.lit("\nCONTENT: "), p["text"], F.when(F.size(p["emails"]) > 0, F.concat(F.lit("\nEMAILS_FOUND: "), F.array_join(p["emails"], ", "))).otherwise(""))
+def combined(pages_: DataFrame, by: str, limit: int | None = None) -> DataFrame:
+    """One text for each value of by, its pages numbered in order of page_id; limit keeps its first characters. A group's pages are gathered: by must have few pages to a value, as linked_pages gives them."""
+    n = lambda c: F.coalesce(c, F.lit(""))
+    mails = lambda p: F.when(F.size(p["emails"]) > 0, F.concat(F.lit(" [EMAILS_FOUND: "), F.array_join(p["emails"], ", "), F.lit("]"))).otherwise("")
+    head = lambda p, i: F.concat(F.lit("\nPAGE "), (i + 1).cast("string"), F.lit(":\nURL: "), n(p["url"]), F.lit("\nTITLE: "), n(p["title"]), F.lit("\nCONTENT: "), n(p["text"]), mails(p), F.lit("\n---\n"))
     rows = F.array_sort(F.collect_list(F.struct("page_id", "url", "title", "text", "emails")))
-    return pages_.groupBy(by).agg(F.array_join(F.transform(rows, head), "\n\n").alias("content"))
+    content = F.array_join(F.transform(rows, head), "\n")
+    return pages_.groupBy(by).agg((content if limit is None else F.substring(content, 1, limit)).alias("content"))
 
 
 def best_email(found: Column, first: Column, last: Column) -> Column:
@@ -85,6 +90,7 @@ def best_email(found: Column, first: Column, last: Column) -> Column:
 
 
 def update_emails(df: DataFrame, found: DataFrame) -> DataFrame:
-    """df with email replaced where it needs to be and found (row_id, new_email) has one; rows stay."""
-    d = df.join(found, "row_id", "left")
+    """df with email replaced where it needs to be and found (row_id, new_email) has one, the smallest of several; rows stay."""
+    one = found.groupBy("row_id").agg(F.min("new_email").alias("new_email"))
+    d = df.join(one, "row_id", "left")
     return d.withColumn("email", F.when(emails.needs_enrichment(F.col("email")), F.coalesce("new_email", "email")).otherwise(F.col("email"))).drop("new_email")

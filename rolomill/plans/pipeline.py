@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import columns, consolidate, dedup, enrich, export
@@ -25,8 +25,9 @@ class PipelineConfig:
     output: str = ""
     compat_nan: bool = False
     max_candidates: int | None = None
-    #: Optional hook: (headers, first rows) -> column mapping; None or an empty answer means the deterministic rules.
-    map_hook: Callable[[list[str], list[list[str | None]]], dict[str, str] | None] | None = None
+    #: Optional hook: (headers, first rows) -> column mapping, or a text with it (columns.parse_reply); None or an empty answer means the deterministic rules.
+    map_hook: Callable[[list[str], list[list[str | None]]], dict[str, str] | str | None] | None = None
+    #: (row_id, html), or (page_id, url, html) to be linked with contacts by their names.
     pages: DataFrame | None = None
 
 
@@ -35,6 +36,8 @@ class Task:
     run: Callable[[Context], Any]
     needs: tuple[str, ...] = ()
     critical: bool = True
+    #: How often a failed run is tried again, after 1, 2, 4, ... seconds, at most 30.
+    retries: int = 0
 
 
 @dataclass
@@ -42,6 +45,9 @@ class Context:
     spark: SparkSession
     config: PipelineConfig
     results: dict[str, Any] = field(default_factory=dict)
+    #: Figures that tasks leave for the report.
+    counts: dict[str, Any] = field(default_factory=dict)
+    outputs: dict[str, str] = field(default_factory=dict)
 
     def __getitem__(self, task: str) -> Any:
         return self.results[task]
@@ -53,8 +59,8 @@ class Pipeline:
     def __init__(self, tasks: dict[str, Task] | None = None):
         self.tasks: dict[str, Task] = dict(tasks or {})
 
-    def register(self, name: str, run: Callable[[Context], Any], needs: tuple[str, ...] = (), critical: bool = True) -> Pipeline:
-        self.tasks[name] = Task(run, needs, critical)
+    def register(self, name: str, run: Callable[[Context], Any], needs: tuple[str, ...] = (), critical: bool = True, retries: int = 0) -> Pipeline:
+        self.tasks[name] = Task(run, needs, critical, retries)
         return self
 
     def order(self) -> list[str]:
@@ -67,57 +73,89 @@ class Pipeline:
             raise ValueError(f"tasks need each other: {e.args[1]}") from e
 
     def run(self, spark: SparkSession, config: PipelineConfig | None = None) -> tuple[Context, dict]:
-        """(context, report). A failed critical task ends the run; tasks that need a failed one are skipped."""
-        ctx, steps = Context(spark, config or PipelineConfig()), {}
-        for name in self.order():
+        """(context, report). A failed critical task ends the run; tasks that need a failed one are skipped. The report goes to the output folder as JSON, if there is one."""
+        ctx, steps, start = Context(spark, config or PipelineConfig()), {}, time.time()
+        order = self.order()
+        for name in order:
             t, began = self.tasks[name], time.time()
             if lacking := [n for n in t.needs if n not in ctx.results]:
                 steps[name] = {"status": "skipped", "lacks": lacking}
                 continue
-            try:
-                ctx.results[name] = t.run(ctx)
-                steps[name] = {"status": "completed", "seconds": round(time.time() - began, 3)}
-            except Exception as e:
-                steps[name] = {"status": "failed", "error": str(e), "seconds": round(time.time() - began, 3)}
-                if t.critical:
+            for attempt in range(t.retries + 1):
+                try:
+                    ctx.results[name] = t.run(ctx)
+                    steps[name] = {"status": "completed"}
                     break
-        ok = all(steps.get(n, {}).get("status") == "completed" for n in self.tasks)
-        return ctx, {"status": "success" if ok else "partial_success", "tasks": steps}
-
-
-def _map_sheets(ctx: Context) -> list[tuple[str, DataFrame]]:
-    """Standardised tables. Only the first rows of each sheet are looked at on the driver to decide header and mapping."""
-    cells = ctx["convert"].withColumn("sheet", F.concat_ws("#", "file", "sheet"))
-    picked = columns.header_pick(cells).orderBy("sheet").collect()
-    out = []
-    for s in picked:
-        own = cells.where(F.col("sheet") == s.sheet)
-        at = s.header_row if s.header_row is not None else 0
-        head = own.where((F.col("row_idx") >= at) & (F.col("row_idx") <= at + columns.SAMPLES)).orderBy("row_idx").collect()
-        names = columns.clean_headers([c or "" for c in head[0].cells]) if head else []
-        if len(names) < 2 or len(head) < 2:
-            continue
-        table = files.with_header(own, names, at)
-        mapping = (ctx.config.map_hook or (lambda *_: None))(table.columns[1:], [r.cells for r in head[1:]])
-        if not mapping:
-            c = columns.unpivot(table, table.columns[1:])
-            q = columns.column_quality(c, columns.valid_mapping(columns.map_columns(c)))
-            mapping = {r.col_name: r.target for r in columns.best_columns(q).collect()}
-        out.append((s.sheet.rsplit("/", 1)[-1], columns.standardize(table, mapping, ("row_id",))))
-    return out
+                except Exception as e:
+                    steps[name] = {"status": "failed", "error": str(e)}
+                    if attempt < t.retries:
+                        time.sleep(min(2**attempt, 30))
+            steps[name] |= {"seconds": round(time.time() - began, 3)}
+            if steps[name]["status"] == "failed" and t.critical:
+                break
+        done = [n for n, x in steps.items() if x["status"] == "completed"]
+        report = {
+            "status": "success" if len(done) == len(self.tasks) else "partial_success",
+            "total_seconds": round(time.time() - start, 3),
+            "tasks_registered": len(self.tasks), "tasks_completed": len(done), "success_rate": 100 * len(done) / max(1, len(self.tasks)),
+            "order": order, "tasks": steps, "statistics": ctx.counts, "output_files": ctx.outputs,
+        }
+        if ctx.config.output:
+            spark.createDataFrame([(files.to_json(report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{ctx.config.output}/report")
+        return ctx, report
+
+
+#: Quality of a sheet that the deterministic rules map.
+RULES = 70.0
+
+
+def _convert(ctx: Context) -> DataFrame:
+    cells, failed = files.load(ctx.spark, ctx.config.source)
+    ctx.counts["failed_files"] = failed.count()
+    if ctx.config.output:
+        files.write_report(files.verify(cells, failed), f"{ctx.config.output}/verification")
+    return cells
+
+
+def _hooked(heads: DataFrame, cells: DataFrame, hook) -> tuple[DataFrame, list[float]]:
+    """(sheet, col_name, target) where the hook has an answer, and its quality scores. The hook sees names and first rows of each sheet on the driver."""
+    names = {r.sheet: list(r.names) for r in heads.collect()}  # a row for each sheet
+    rows: dict[str, dict[int, list]] = {}
+    for r in cells.where(F.col("row_id") < columns.SAMPLES).collect():
+        rows.setdefault(r.sheet, {}).setdefault(r.row_id, [None] * len(names[r.sheet]))[r.pos] = r.value
+    out, scores = [], []
+    for sheet, cols in names.items():
+        mapping, score = columns.parse_reply(hook(cols, [x for _, x in sorted(rows.get(sheet, {}).items())]))
+        out += [(sheet, c, t) for c, t in mapping.items() if c in cols]
+        scores += [score] if score is not None else []
+    return cells.sparkSession.createDataFrame(out, "sheet string, col_name string, target string"), scores
+
+
+def _map_sheets(ctx: Context) -> DataFrame:
+    """(sheet, row_id, eight fields) of all sheets. Headers, profiles and mappings of all sheets are found together; only a mapping hook works sheet by sheet."""
+    grid = ctx["convert"].select(F.concat_ws("#", "file", F.when(F.col("sheet") != "", F.col("sheet"))).alias("sheet"), "row_idx", "cells")
+    heads = stage(columns.headers(grid))
+    cells = columns.table_cells(grid, heads)
+    by, scores = ("sheet",), []
+    mapping = columns.map_columns(cells, by)
+    if ctx.config.map_hook:
+        told, scores = _hooked(heads, cells, ctx.config.map_hook)
+        told = columns.valid_mapping(told)
+        mapping = told.unionByName(mapping.join(told.select("sheet").distinct(), "sheet", "left_anti"))
+    mapping = stage(columns.valid_mapping(mapping))
+    chosen = stage(columns.best_columns(columns.column_quality(cells, mapping, by), by))
+    n = heads.count()
+    # a sheet that the rules map counts RULES
+    ctx.counts |= {"sheets": n, "data_quality_score": (sum(scores) + RULES * (n - len(scores))) / max(1, n)}
+    return columns.standardize_sheets(grid, heads, chosen)
 
 
 def _consolidate(ctx: Context) -> DataFrame:
-    tables = ctx["map"]
-    all_ = None
-    for k, (name, df) in enumerate(tables):
-        t = consolidate.align(df, name, keep=("row_id",)).withColumnRenamed("row_id", "at").withColumn("file_no", F.lit(k))
-        all_ = t if all_ is None else all_.unionByName(t)
-    if all_ is None:
-        raise ValueError("no table found")
-    kept = consolidate.valuable(consolidate.clean(all_))
-    # file number and place in the file order the rows; no global sort is needed
-    return stage(kept.withColumn("row_id", F.col("file_no").cast("long") * (1 << 40) + F.col("at")).drop("at", "file_no"))
+    t = ctx["map"].withColumn("file", F.element_at(F.split("sheet", "/"), -1))
+    kept = consolidate.valuable(consolidate.clean(consolidate.align(t, F.col("file"), keep=("sheet", "row_id"))))
+    # place in the file orders the rows of a sheet, its number among the sheets the sheets; no global sort is needed
+    order = kept.select("sheet").distinct().withColumn("no", F.row_number().over(Window.orderBy("sheet")))
+    return stage(kept.join(order, "sheet").withColumn("row_id", F.col("no").cast("long") * (1 << 40) + F.col("row_id")).drop("sheet", "no"))
 
 
 def _dedup(ctx: Context) -> DataFrame:
@@ -126,6 +164,8 @@ def _dedup(ctx: Context) -> DataFrame:
         gone = dedup.removed(df, c.compat_nan)
     else:
         gone = dedup.merges(dedup.confirmed(dedup.candidates(df, dedup.THRESHOLD, c.compat_nan, c.max_candidates)))
+    gone = stage(gone)
+    ctx.counts |= {"initial_count": df.count(), "merged_count": gone.count()}
     return stage(dedup.merged(df, gone))
 
 
@@ -133,21 +173,24 @@ def _enrich(ctx: Context) -> DataFrame:
     df, pages = ctx["dedup"], ctx.config.pages
     if pages is None:
         return df
-    found = pages.join(df.select("row_id", "first_name", "last_name"), "row_id").select("row_id", enrich.best_email(enrich.page_emails(F.col("html")), F.col("first_name"), F.col("last_name")).alias("new_email"))
-    return enrich.update_emails(df, found.groupBy("row_id").agg(F.min("new_email").alias("new_email")))
+    pages = pages if "row_id" in pages.columns else enrich.linked_pages(df, pages)
+    found = pages.select("row_id", F.explode_outer(enrich.page_emails(F.col("html"))).alias("e")).groupBy("row_id").agg(F.array_sort(F.collect_set("e")).alias("emails"))
+    found = found.join(df.select("row_id", "first_name", "last_name"), "row_id").select("row_id", enrich.best_email(F.col("emails"), F.col("first_name"), F.col("last_name")).alias("new_email"))
+    return enrich.update_emails(df, found)
 
 
 def _export(ctx: Context) -> dict[str, DataFrame]:
     out = {"standard": export.standard(ctx["enrich"]), "apollo": export.apollo(ctx["enrich"]), "hubspot": export.hubspot(ctx["enrich"])}
     if ctx.config.output:
         for name, df in out.items():
-            files.write_csv(df, f"{ctx.config.output}/{name}", one_file=True)
+            ctx.outputs[name] = f"{ctx.config.output}/{name}"
+            files.write_csv(df, ctx.outputs[name], one_file=True)
     return out
 
 
 def standard_pipeline() -> Pipeline:
     """convert -> map -> consolidate -> dedup -> enrich -> export."""
     p = Pipeline()
-    p.register("convert", lambda c: files.read_cells(c.spark, c.config.source))
+    p.register("convert", _convert)
     p.register("map", _map_sheets, ("convert",)).register("consolidate", _consolidate, ("map",)).register("dedup", _dedup, ("consolidate",))
     return p.register("enrich", _enrich, ("dedup",), critical=False).register("export", _export, ("enrich",))

@@ -1,6 +1,7 @@
 """File sources and sinks: discovery, CSV and workbook cells of unknown headers, CSV and JSON output.
 
-Cells are read as text, (file, sheet, row_idx, cells); files are read where they are, by the executors, one task per file.
+Cells are read as text, (file, sheet, row_idx, cells); files are read where they are, by the executors: workbooks and CSV files of up to SPLIT bytes one file at a time, larger CSV files
+in splits, line by line. A file that can't be read is listed with its error.
 """
 
 from __future__ import annotations
@@ -13,11 +14,16 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.columns import read_names
+from ..plans.staging import stage
+
 SUFFIXES = (".csv", ".xlsx", ".xls")
 CELLS = "file string, sheet string, row_idx long, cells array<string>"
+#: CSV files of more bytes are read in splits, unless a line of theirs has an open quote or isn't UTF-8.
+SPLIT = 64 << 20
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -72,35 +78,64 @@ def _read(path: str, content: bytes) -> list[tuple[str, str, int, list]]:
     return [(path, sheet_name(s), i, row) for s, rows in sheets for i, row in enumerate(rows)]
 
 
-def read_cells(spark: SparkSession, folder: str, failed: str = "skip") -> DataFrame:
-    """All cells of all files below folder. failed: skip leaves out files that can't be read, raise doesn't. Empty sheets have no rows."""
+def _lines(spark: SparkSession, folder: str, over: int) -> DataFrame:
+    """(file, block, nth, cells, odd) of the lines of CSV files of more than over bytes; nth counts a split's lines, odd marks those that tell that the file can't be read in splits."""
+    f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder)
+    f = f.where(F.col("_metadata.file_size") > over).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("value"), F.is_valid_utf8("value").alias("valid"))
+
+    def run(batches):
+        at, n = None, 0
+        for b in batches:
+            rows = []
+            for file, block, line, valid in zip(b["file"], b["block"], b["value"], b["valid"], strict=True):
+                if at != (file, block):
+                    at, n = (file, block), 0
+                line = line.removeprefix("\ufeff") if block == 0 and n == 0 else line
+                if line:
+                    odd = not valid or line.count('"') % 2 == 1
+                    rows.append((file, block, n, [] if odd else csv_cells(line.encode())[0], odd))
+                    n += 1
+            yield pd.DataFrame(rows, columns=["file", "block", "nth", "cells", "odd"])
+
+    return f.mapInPandas(run, "file string, block long, nth long, cells array<string>, odd boolean")
+
+
+def load(spark: SparkSession, folder: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """(cells, failed) of all files below folder, read once and staged. failed: (file, error). Empty sheets have no rows."""
 
     def run(batches):
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows = _read(path, content)
-                except Exception:
-                    if failed == "raise":
-                        raise
-                    continue
-                yield pd.DataFrame(rows, columns=["file", "sheet", "row_idx", "cells"])
+                    rows = [(*r, None) for r in _read(path, content)]
+                except Exception as e:  # whatever is wrong with the file, it is listed
+                    rows = [(path, "", 0, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["file", "sheet", "row_idx", "cells", "error"])
+
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.(csv|xlsx|xls)$"))
+    lines = _lines(spark, folder, split)
+    parts = stage(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.max("odd").alias("odd")))  # a row for each split
+    whole = parts.groupBy("file").agg(F.max("odd").alias("odd"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = parts.withColumn("before", before).join(whole.where("not odd").select("file"), "file").select("file", "block", "before")
+    cut = lines.join(offset, ["file", "block"]).select("file", F.lit("").alias("sheet"), (F.col("before") + F.col("nth")).alias("row_idx"), "cells", F.lit(None).cast("string").alias("error"))
+    entire = f.join(whole.where("not odd").select(F.col("file").alias("path")), "path", "left_anti").select("path", "content").mapInPandas(run, CELLS + ", error string")
+    every = stage(entire.unionAll(cut))
+    return every.where("error is null").drop("error"), every.where("error is not null").select("file", "error")
 
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return f.where(F.lower("path").rlike(r"\.(csv|xlsx|xls)$")).select("path", "content").mapInPandas(run, CELLS)
+
+def read_cells(spark: SparkSession, folder: str, failed: str = "skip") -> DataFrame:
+    """The cells of load(). failed: skip leaves out files that can't be read, raise doesn't."""
+    cells, bad = load(spark, folder)
+    if failed == "raise" and (first := bad.orderBy("file").first()):
+        raise ValueError(f"{first.file}: {first.error}")
+    return cells
 
 
 def with_header(cells: DataFrame, header: list[str], header_row: int) -> DataFrame:
     """A table of text columns from the rows after header_row, with row_id; repeated names get .1, .2, blank ones Unnamed: k."""
-    seen: dict[str, int] = {}
-    names = []
-    for i, h in enumerate(header):
-        h = h or f"Unnamed: {i}"
-        n = seen.get(h, 0)
-        seen[h] = n + 1
-        names.append(f"{h}.{n}" if n else h)
     rows = cells.where(F.col("row_idx") > header_row)
-    return rows.select((F.col("row_idx") - header_row - 1).alias("row_id"), *(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return rows.select((F.col("row_idx") - header_row - 1).alias("row_id"), *(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(read_names(header))))
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
@@ -117,6 +152,11 @@ def to_json(report: dict) -> str:
     return json.dumps(report, indent=2, default=str)
 
 
-def verify(cells: DataFrame) -> DataFrame:
-    """Rows of each file and sheet."""
-    return cells.groupBy("file", "sheet").agg(F.count("*").alias("n_rows"))
+def verify(cells: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """(file, readable, n_sheets, n_rows, error) of each file that has rows or failed."""
+    good = cells.groupBy("file", "sheet").agg(F.count("*").alias("n")).groupBy("file").agg(F.count("*").alias("n_sheets"), F.sum("n").alias("n_rows"))
+    out = good.select("file", F.lit(True).alias("readable"), "n_sheets", "n_rows", F.lit(None).cast("string").alias("error"))
+    if failed is not None:
+        none = F.lit(0).cast("long")
+        out = out.unionAll(failed.select("file", F.lit(False), none, none, "error"))
+    return out

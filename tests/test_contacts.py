@@ -1,6 +1,7 @@
 """Contact operators: every query against its SQL in DuckDB, and the parts that SQL can't check."""
 
 import io
+import json
 import random
 import zipfile
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolomill import queries
-from rolomill.functions import emails, people
+from rolomill.functions import emails, pages, people
 from rolomill.operators import columns, dedup, enrich
 from rolomill.plans.pipeline import Pipeline, PipelineConfig, standard_pipeline
 from rolomill.sources import files
@@ -44,6 +45,23 @@ def test_page_emails(spark):
     assert got == [["a.b@acme.io", "bob@acme.io", "eve@acme.io", "kim@acme.io"], []]
 
 
+def test_pages():
+    """Selectors in their order, all matches, nested ones again; text nodes; dropped elements; broken markup; coded addresses."""
+    code = "".join(f"{b:02x}" for b in [7, *(ord(c) ^ 7 for c in "ann@acme.io")])
+    cases = [
+        ("<title> A\n b </title><body><p>one <b>two</b> three</p><div class='x content'>C1<div id=content>D</div></div><p class=content>C2</body>", ("A b", "C1D C2", [])),
+        ("<body>b<article>A1</article><article>A2<article> A3 </article></article><main></main></body>", ("", "bA1A2A3", [])),
+        ("<body>b<article>A1</article>x<article>A2<article> A3 </article></article></body>", ("", "A1 A2A3 A3", [])),
+        ("<body><header><nav>n</nav>h@h.io</header>a &amp; b<br/>c<!-- no -->d<script>if (a < b) x('</p>')</script><style>p{}</style></i>e<aside>s</body>", ("", "a & bcde", [])),
+        (f"<main><a data-cfemail='{code}'>mail</a><footer><a data-cfemail='{code[:-2]}'></a></footer> or to kim@x.org.</main>", ("", "mailor to kim@x.org.", ["ann@acme.io", "kim@x.org"])),
+        ("no body", ("", "", [])),
+        (None, ("", "", [])),
+        ("<main>\u00e9ve@acme.io \u00a0 x</main>", ("", "\u00e9ve@acme.io x", [])),
+    ]
+    for html, want in cases:
+        assert pages.parse(html) == want, html
+
+
 def test_merges_are_greedy(spark):
     rnd = random.Random(1)
     for n, m in ((8, 10), (30, 40), (30, 120), (5, 0)):
@@ -124,21 +142,72 @@ def test_files_and_pipeline(spark, tmp_path):
     (src / "bad.csv").write_bytes(b"\xff\xfe\xff")
     (src / "w.xlsx").write_bytes(workbook())
     assert files.discover(spark, str(tmp_path)).count() == 4
-    cells = files.read_cells(spark, str(tmp_path / "in"))
+    cells, failed = files.load(spark, str(tmp_path / "in"))
     sheet = [r.cells for r in cells.where("sheet = 'P1'").orderBy("row_idx").collect()]
     assert sheet == [["First Name", None, "Email"], ["Ann", None, "7"]]
-    ctx, report = standard_pipeline().run(spark, PipelineConfig(source=str(tmp_path / "in"), output=str(tmp_path / "out")))
+    assert [(r.file.rsplit("/")[-1], r.error[:18]) for r in failed.collect()] == [("bad.csv", "UnicodeDecodeError")]
+    got = {r.file.rsplit("/")[-1]: (r.readable, r.n_sheets, r.n_rows) for r in files.verify(cells, failed).collect()}
+    assert got == {"a.csv": (True, 1, 5), "B.CSV": (True, 1, 3), "w.xlsx": (True, 1, 2), "bad.csv": (False, 0, 0)}
+    with pytest.raises(ValueError, match="bad.csv"):
+        files.read_cells(spark, str(tmp_path / "in"), "raise")
+    web = spark.createDataFrame([(1, "http://a.org/", "<body>Our man bob RAY: bob.ray@acme.io</body>")], "page_id long, url string, html string")
+    ctx, report = standard_pipeline().run(spark, PipelineConfig(source=str(tmp_path / "in"), output=str(tmp_path / "out"), pages=web))
     assert report["status"] == "success", report
     rows = {(r["First Name"], r["Last Name"]): r for r in ctx["export"]["standard"].collect()}
     assert {("Ann", "Lee"), ("Bob", "Ray"), ("Eve", "Fox")} <= set(rows)
-    assert rows["Ann", "Lee"]["Geo (Location by City)"] == "Rome"
+    assert rows["Ann", "Lee"]["Geo (Location by City)"] == "Rome" and rows["Bob", "Ray"]["Email"] == "bob.ray@acme.io"
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "hubspot")).count() >= 3
+    saved = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "out" / "report"), wholetext=True).collect()))
+    assert saved["statistics"]["failed_files"] == 1 and saved["statistics"]["sheets"] == 3 and saved["tasks_completed"] == 6 and set(saved["output_files"]) == {"standard", "apollo", "hubspot"}
+    assert spark.read.json(str(tmp_path / "out" / "verification")).count() == 4
+
+
+def test_large_csv_files_are_split(spark, tmp_path):
+    """Files over the split size line by line, with places as when read whole; those with cells of several lines, or not UTF-8, whole."""
+    lines = ["\ufeffname,email", "", *(f'"a, {i}","{i}@x.io",é' if i % 3 else f"b{i}" for i in range(4000))]
+    (tmp_path / "big.csv").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "many.csv").write_text('x,"two\nlines"\ny,z\n' * 300)
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n\xff,c\n" * 300)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        big, failed = files.load(spark, str(tmp_path), split=1000)
+        got = sorted(map(tuple, big.collect()))
+        assert files._lines(spark, str(tmp_path), 1000).select("file", "block").distinct().count() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    whole, _ = files.load(spark, str(tmp_path))
+    # one way names files by path, the other by URI
+    plain = lambda rows: sorted((r[0].removeprefix("file://").removeprefix("file:"), *r[1:]) for r in rows)
+    assert plain(got) == plain(map(tuple, whole.collect())) and len(got) == 4001 + 600
+    assert [r.file.rsplit("/")[-1] for r in failed.collect()] == ["bad.csv"]
+
+
+def test_header_fallback(spark):
+    rows = [("a", 0, ["x", "y"]), ("a", 1, [None, ""]), ("a", 2, ["1", "2"]), ("b", 0, ["only"]), ("c", 0, ["p", "q"]), ("c", 1, [None, None]), ("d", 0, ["First Name", "Last Name", "Email", None]), ("d", 1, ["Ann", "Lee", "ann@x.io", None])]
+    grid = spark.createDataFrame(rows, "sheet string, row_idx long, cells array<string>")
+    heads = columns.headers(grid)
+    assert {r.sheet: (r.header_row, r.names) for r in heads.collect()} == {"a": (1, []), "b": (-1, ["column_0"]), "c": (-1, ["column_0", "column_1"]), "d": (0, ["First Name", "Last Name", "Email"])}
+    assert [tuple(r) for r in columns.table_cells(grid, heads).where("sheet = 'd'").orderBy("pos").collect()] == [("d", 0, 0, "First Name", "Ann"), ("d", 0, 1, "Last Name", "Lee"), ("d", 0, 2, "Email", "ann@x.io")]
+
+
+def test_mapping_hook(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("First Name,Last Name,Email,Other Mail,Phone\nAnn,Lee,none,ann@acme.io,x\n")
+    told = '<think>{"no": 1}</think> Here: ```json\n{"field_mappings": {"First Name": "first_name", "Email": "email", "Other Mail": "email", "Phone": "nonsense", "Gone": "geo"}, "quality_score": 90}\n```'
+    ctx, report = standard_pipeline().run(spark, PipelineConfig(source=str(tmp_path), map_hook=lambda names, rows: told))
+    assert report["statistics"]["data_quality_score"] == 90.0
+    r = ctx["export"]["standard"].first()
+    assert (r["First Name"], r["Last Name"], r["Email"], r["Phone Number"]) == ("Ann", "", "ann@acme.io", "")
+    for reply in (None, "", "no json", "{broken", {"field_mappings": 3}, 7):
+        assert columns.parse_reply(reply) == ({}, None)
 
 
 def test_pipeline_order(spark):
     p = Pipeline().register("b", lambda c: c["a"] + 1, ("a",)).register("a", lambda c: 1).register("x", lambda c: 1 / 0, critical=False).register("y", lambda c: 2, ("x",))
     ctx, report = p.run(spark)
     assert ctx["b"] == 2 and report["status"] == "partial_success" and report["tasks"]["y"]["status"] == "skipped"
+    tries = []
+    ctx, report = Pipeline().register("z", lambda c: tries.append(1) or 1 // (len(tries) - 1), retries=1).run(spark)
+    assert len(tries) == 2 and report["status"] == "success"
     with pytest.raises(ValueError):
         Pipeline().register("a", None, ("b",)).register("b", None, ("a",)).order()
     with pytest.raises(ValueError):
