@@ -14,6 +14,8 @@ AT_WORD_STRICT = r"\b[a-zA-Z0-9._%+-]+(?:\s+(?:at|AT)\s+|\s*[\[(]\s*(?:at|AT)\s*
 DOT_WORD = r"(?i)\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]*(?:\[dot\]|\(dot\)|\.)[a-zA-Z0-9.-]*[a-zA-Z]{2,}\b"
 SPACED = r"\b[a-zA-Z0-9._%+-]+\s*@\s*[a-zA-Z0-9.-]+\s*\.\s*[a-zA-Z]{2,}\b"
 BRACKETS = r"\b[A-Za-z0-9._%+-]+\s*\[\s*@\s*\]\s*[A-Za-z0-9.-]+\s*\[\s*\.\s*\]\s*[A-Z|a-z]{2,}\b"
+AT_DOT = r"\b[A-Za-z0-9._%+-]+(?:\s*\[?\s*at\s*\]?\s*)[A-Za-z0-9.-]+(?:\s*\[?\s*dot\s*\]?\s*)[A-Z|a-z]{2,}\b"
+PREFIXES = r"^(?:email:|e-mail:|contact:)\s*"
 INVALID = ["nan", "null", "none", "", "n/a", "not available", "no email", "unknown", "tbd", "to be determined", "missing", "email not found", "no data", "not found", "na", "nil"]
 PLACEHOLDERS = "example|test|dummy|placeholder"
 REJECTED = ["", "empty string", "not found", "n/a", "none", "null"]
@@ -44,7 +46,7 @@ def needs_enrichment(c: Column) -> Column:
 
 def clean_email(c: Column) -> Column:
     """Lower-cased, without prefix and quotes; null unless a standard address stands at the start."""
-    t = F.regexp_replace(norm_email(F.coalesce(c, F.lit(""))), r"^(?:e-mail:|email:|contact:)\s*", "")
+    t = F.regexp_replace(norm_email(F.coalesce(c, F.lit(""))), PREFIXES, "")
     t = F.regexp_replace(t, r"^[\"'()\[\]{}]+|[\"'()\[\]{}]+$", "")
     return F.when(~t.isin(REJECTED) & _standard_at_start(t), t)
 
@@ -76,6 +78,11 @@ def extract_brackets(c: Column) -> Column:
     return _matches(c, BRACKETS, lambda m: F.regexp_replace(m, r"[\s\[\]]+", ""))
 
 
+def extract_at_dot(c: Column) -> Column:
+    """name at domain dot tld, the words with or without square brackets."""
+    return _matches(c, AT_DOT, lambda m: F.regexp_replace(m, r"^([A-Za-z0-9._%+-]+)(?:\s*\[?\s*at\s*\]?\s*)([A-Za-z0-9.-]+)(?:\s*\[?\s*dot\s*\]?\s*)([A-Z|a-z]{2,})$", "$1@$2.$3"))
+
+
 def decode_masked(c: Column, strict: bool = False) -> Column:
     """A masked address in the clear if that makes a standard one, else the text itself.
 

@@ -110,7 +110,7 @@ _ODD_EMAIL = "CASE row_id % 5 WHEN 0 THEN 'Email: ' || email WHEN 1 THEN '(' ||
 
 
 @_query(
-    f"WITH contacts_raw AS ({contacts_sql()}), o AS (SELECT row_id, regexp_replace(regexp_replace(lower(trim(coalesce({_ODD_EMAIL}, ''))), '^(?:e-mail:|email:|contact:)\\s*', ''), {_q(chr(94) + chr(91) + chr(34) + chr(39) + '()' + chr(92) + '[' + chr(92) + ']{}]+|[' + chr(34) + chr(39) + '()' + chr(92) + '[' + chr(92) + ']{}]+$')}, '', 'g') AS t FROM contacts_raw) "
+    f"WITH contacts_raw AS ({contacts_sql()}), o AS (SELECT row_id, regexp_replace(regexp_replace(lower(trim(coalesce({_ODD_EMAIL}, ''))), '^(?:email:|e-mail:|contact:)\\s*', ''), {_q(chr(94) + chr(91) + chr(34) + chr(39) + '()' + chr(92) + '[' + chr(92) + ']{}]+|[' + chr(34) + chr(39) + '()' + chr(92) + '[' + chr(92) + ']{}]+$')}, '', 'g') AS t FROM contacts_raw) "
     f"SELECT row_id, CASE WHEN t NOT IN {_in(emails.REJECTED)} AND regexp_matches(t, {_q('^(?:' + emails.STANDARD + ')')}) THEN t END AS cleaned FROM o"
 )
 def email_clean(spark, sf):
@@ -137,7 +137,7 @@ def masked_email_decode_strict(spark, sf):
     return contacts_raw(spark, sf).select("row_id", F.expr(_MASKED).alias("masked")).withColumn("decoded", emails.decode_masked(F.col("masked"), strict=True))
 
 
-_OBFUSCATED = "'Write to ann' || row_id || ' at acme.io or bob' || row_id || ' @ acme . io or eve@acme[dot]io or kim [@] acme [.] io or matthew.com, id ' || row_id"
+_OBFUSCATED = "'Write to ann' || row_id || ' at acme.io or bob' || row_id || ' @ acme . io or eve@acme[dot]io or kim [@] acme [.] io or lee [at] acme [dot] io or pat at acme dot org, or matthew.com, id ' || row_id"
 
 
 def _found(col: str, pattern: str, fix: str, to: str) -> str:
@@ -147,13 +147,14 @@ def _found(col: str, pattern: str, fix: str, to: str) -> str:
 @_query(
     f"WITH contacts_raw AS ({contacts_sql()}), t AS (SELECT row_id, {_OBFUSCATED} AS t FROM contacts_raw) SELECT row_id, "
     + _found("t", emails.AT_WORD, r"\s*(?:at|AT)\s*", "@") + " AS at_word, " + _found("t", emails.AT_WORD_STRICT, r"\s*[\[(]?\s*(?:at|AT)\s*[\])]?\s*", "@") + " AS at_word_strict, "
+    + _found("t", emails.AT_DOT, r"^([A-Za-z0-9._%+-]+)(?:\s*\[?\s*at\s*\]?\s*)([A-Za-z0-9.-]+)(?:\s*\[?\s*dot\s*\]?\s*)([A-Z|a-z]{2,})$", r"\1@\2.\3") + " AS at_dot, "
     + _found("t", emails.DOT_WORD, r"(?i)\[dot\]|\(dot\)", ".") + " AS dot_word, " + _found("t", emails.SPACED, r"\s+", "") + " AS spaced, " + _found("t", emails.BRACKETS, r"[\s\[\]]+", "") + " AS brackets FROM t"
 )
 def obfuscated_email_extract(spark, sf):
     t = contacts_raw(spark, sf).select("row_id", F.expr(_OBFUSCATED).alias("t"))
     c = F.col("t")
     say = lambda x, n: F.array_join(x, ",").alias(n)
-    return t.select("row_id", say(emails.extract_at_word(c), "at_word"), say(emails.extract_at_word(c, strict=True), "at_word_strict"), say(emails.extract_dot_word(c), "dot_word"), say(emails.extract_spaced(c), "spaced"), say(emails.extract_brackets(c), "brackets"))
+    return t.select("row_id", say(emails.extract_at_word(c), "at_word"), say(emails.extract_at_word(c, strict=True), "at_word_strict"), say(emails.extract_at_dot(c), "at_dot"), say(emails.extract_dot_word(c), "dot_word"), say(emails.extract_spaced(c), "spaced"), say(emails.extract_brackets(c), "brackets"))
 
 
 @_query(f"SELECT doc_id, array_to_string(regexp_extract_all(coalesce(text, ''), {_STD}), ',') AS emails FROM documents")
