@@ -75,7 +75,36 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_license_scan, op4_packing, op5_secret_scan, op6_minhash_dedup, op7_exact_dedup, op8_suffix_dedup, op9_url_filter, op10_fingerprints, op10_near_documents, pipeline)}
 
+
+def _licenses_sql() -> str:
+    """op3's contract and method in plain SQL: bigram matches, diagonals, chains of diagonals, distinct grams of a chain."""
+    rows = ", ".join(f"({t}, '{label}', '{phrase}', {base})" for t, (label, phrase, base) in enumerate([(x, y, True) for x, y in licenses.BASE] + [(x, y, False) for x, y in licenses.TEMPLATES]))
+    return f"""
+        with w as (
+            select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w
+            from documents),
+        t(t, label, phrase, base) as (values {rows}),
+        q as (select t, label, base, string_split(phrase, ' ') as q from t),
+        g as (select t, label, base, len(q) - 1 as m, j, q[j + 1] as w1, q[j + 2] as w2 from (select *, unnest(range(len(q) - 1)) as j from q)),
+        p as (select r, i, w[i + 1] as v1, w[i + 2] as v2 from (select *, unnest(range(greatest(len(w) - 1, 0))) as i from w)),
+        hit as (select r, t, label, base, m, i, j, i - j as diag from p join g on v1 = w1 and v2 = w2),
+        diag as (select r, t, diag, count(*) as votes from hit group by all),
+        chain as (select *, sum(fresh) over (partition by r, t order by diag) as part from (select *, case when diag - lag(diag) over (partition by r, t order by diag) <= {licenses.SHIFT} then 0 else 1 end as fresh from diag)),
+        span as (
+            select r, t, label, base, m, part, count(distinct j) / m::double as share, min(i) as lo, max(i) + 1 as hi,
+                count(distinct case when base and votes = m then diag end) as places, min(case when base and votes = m then diag end) as first, max(case when base and votes = m then diag end) as last
+            from hit join chain using (r, t, diag) group by r, t, label, base, m, part),
+        judged as (select *, places > 0 as found, not base and share >= (case when m < 4 then 1.0 else {licenses.SHARE} end) and hi - lo + 1 <= {licenses.STRETCH} * (m + 1) as good from span)
+        select doc_id, len(any_value(w))::bigint as n_words, coalesce(sum(places), 0)::bigint as n_base, min(first)::bigint as first_word, max(last)::bigint as last_word,
+            coalesce(array_to_string(list_sort(list(distinct label) filter (found)), ','), '') as base_labels, coalesce(array_to_string(list_sort(list(distinct label) filter (found or good)), ','), '') as labels,
+            coalesce(max(case when found then 1.0::double when good then share end), 0.0::double) as score,
+            coalesce(array_to_string(list_sort(list(label || ':' || lo || ':' || (hi - lo + 1)) filter (good)), ','), '') as spans
+        from w left join judged on judged.r = w.r group by w.r, doc_id
+    """
+
+
 ORACLE_SQL = {
+    "op3_license_scan": _licenses_sql(),
     "op7_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
