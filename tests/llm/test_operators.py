@@ -349,6 +349,12 @@ def test_secrets_checksums_and_redaction(spark):
     good += secret_scan.checksum(good[4:])
     bad = good[:-1] + ("0" if good[-1] != "0" else "1")
     assert [s[2] for s in secret_scan.find(f"é {good}.")] == [3] and not secret_scan.find(bad) and not secret_scan.find("x" + good)
+    npm = "npm_" + "Zz9" * 10
+    npm += secret_scan.checksum(npm[4:])
+    assert secret_scan.find(f"é\n{npm}-{good}") == [(2, 42, 4), (43, 83, 3)] and not secret_scan.find(npm[:-1] + "-") and not secret_scan.find(npm + "a")
+    # the checksum by plain arithmetic: CRC-32 of the 30 characters in base 62, six digits
+    n, digits = zlib.crc32(npm[4:34].encode()), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    assert npm[34:] == "".join(digits[n // 62**k % 62] for k in range(5, -1, -1))
     df = spark.createDataFrame([(1, f"a {good} b", None, 5), (2, None, "x", 9), (3, "clean", "x", 5)], "doc_id long, text string, source string, n_chars long")
     same(tup(secret_scan.redact(df), "doc_id", "text", "source", "n_chars"), [(1, "a [github] b", None, 12), (2, None, "x", 9), (3, "clean", "x", 5)])
 

@@ -110,3 +110,30 @@ def test_url_aliases_are_resolved(spark):
     pages += [(1000 + i, *x) for i, x in enumerate(free)]
     got = tup(url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "verdict")
     same(got, [(k, "block" if k < 1000 else "allow") for k, _, _ in pages])
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in all columns, empty and long texts, repeated rows and ids, an empty table, and a table without labels go through all stages."""
+    from test_operators import odd_rows
+
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [r[:5] for r in odd_rows()] + [(3, "Ein anderer Text mit derselben Nummer und vielen Worten.", "de", None, 1), (None, "noch ein Text ohne Nummer", "de", None, None)] * 2
+    rows += [(600 + i, f"the {w} fox and the {w} dog went on and on", "en", "s", 9) for i, w in enumerate(("red", "blue", "red"))]
+    for name, table in (("odd", rows), ("empty", []), ("unlabelled", [(*r[:2], None, *r[3:]) for r in rows])):
+        df = spark.createDataFrame(table, cols)
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs, kept = df, None
+        for stage_name, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, str(tmp_path / name)).cache()
+            assert docs.dtypes == df.dtypes, stage_name
+            now = {(r.doc_id, r.text) for r in docs.collect()}
+            if stage_name == "exact_dedup":
+                assert len({t for _, t in now}) == docs.count()
+            if stage_name in ("exact_dedup", "near_dedup"):
+                assert now <= kept
+            kept = now
+        assert (name == "odd") == bool(kept)
+        out = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert out.where("piece = 0").count() == docs.count()
+        if name == "odd":
+            assert {600, 601, 602} & {k for k, _ in kept} == {601, 602}
