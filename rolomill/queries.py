@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from .functions import emails, pages, people
 from .operators import columns, consolidate, dedup, enrich, export, quality
 from .operators.enrich import SKIPPED_URLS
+from .plans.staging import shared_dir
 from .schema import APOLLO, FIELDS, HEADERS, HUBSPOT, QUALITY, VALUABLE
+from .sources import files
 from .sources.contacts import contacts_raw, contacts_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,6 +387,52 @@ def header_pick(spark, sf):
     return columns.header_pick(_grid(spark))
 
 
+# files: the contacts, written as one CSV file for each source with a line above the header, and read again
+
+
+def _files(spark, sf) -> tuple[DataFrame, DataFrame]:
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    d = contacts_raw(spark, sf)
+    top = [h for h, _ in _MESSY]
+    text = [F.col(f"`{h}`").cast("string").alias(f"c{i}") for i, h in enumerate(top)]
+    body = d.select("source_file", F.lit(2).alias("part"), "row_id", *(F.expr(_MESSY_COLS[c]).alias(h) for h, c in _MESSY)).select("source_file", "part", "row_id", *text)
+    names = d.select("source_file").distinct()
+    # a title above the header, as exports have it
+    title = names.select("source_file", F.lit(0).alias("part"), F.lit(0).cast("long").alias("row_id"), *(F.lit("Export of the list" if i == 0 else None).cast("string").alias(f"c{i}") for i in range(len(top))))
+    head = names.select("source_file", F.lit(1).alias("part"), F.lit(0).cast("long").alias("row_id"), *(F.lit(h).alias(f"c{i}") for i, h in enumerate(top)))
+    rows = title.unionAll(head).unionAll(body).repartition("source_file").sortWithinPartitions("source_file", "part", "row_id")
+    options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+    rows.drop("part", "row_id").write.partitionBy("source_file").options(**options).csv(folder)
+    cells, failed = files.load(spark, folder)
+    named = F.regexp_extract("file", "source_file=([^/]*)/", 1)
+    return cells.withColumn("file", named), failed.withColumn("file", named)
+
+
+_LISTS = f"WITH contacts_raw AS ({contacts_sql()})"
+
+
+@_query(_LISTS + " SELECT source_file AS file, true AS readable, 1::BIGINT AS n_sheets, count(*) + 2 AS n_rows, NULL::VARCHAR AS error FROM contacts_raw GROUP BY source_file")
+def files_verify(spark, sf):
+    return files.verify(*_files(spark, sf))
+
+
+@_query(_LISTS + f" SELECT DISTINCT source_file AS file, 1::BIGINT AS header_row, {_q('|'.join(h for h, _ in _MESSY))} AS names FROM contacts_raw")
+def files_headers(spark, sf):
+    heads = columns.headers(_files(spark, sf)[0].withColumn("sheet", F.col("file")))
+    return heads.select(F.col("sheet").alias("file"), "header_row", F.array_join("names", "|").alias("names"))
+
+
+@_query(
+    _LISTS + ", n AS (SELECT *, coalesce(first_name || ' ' || last_name, '') AS fn FROM contacts_raw) " + _S.replace("SELECT row_id,", "SELECT source_file AS file, row_number() OVER (PARTITION BY source_file ORDER BY row_id) - 1 AS row_id,").replace("coalesce(geo, '') AS geo", "'' AS geo") + " FROM n"
+)  # the nations' names have digits, so the rules map City to nothing
+def files_standardized(spark, sf):
+    grid = _files(spark, sf)[0].withColumn("sheet", F.col("file"))
+    heads = columns.headers(grid)
+    cells, by = columns.table_cells(grid, heads), ("sheet",)
+    chosen = columns.best_columns(columns.column_quality(cells, columns.valid_mapping(columns.map_columns(cells, by)), by), by)
+    return columns.standardize_sheets(grid, heads, chosen).withColumnRenamed("sheet", "file")
+
+
 # deduplication
 
 _DIGITS = "regexp_replace(coalesce(phone, ''), '[^0-9]', '', 'g')"
