@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, in DataFrame operations only.
 
 Both steps are joins of the edges with the least neighbour of each node, so no node's neighbours are ever gathered in one row or task:
-the minimum is pre-aggregated before its shuffle and the join may be split where a node has very many edges.
+the minimum is pre-aggregated before its shuffle and the join may be split where a node has very many edges. Up to FEW edges the least neighbours are broadcast, and edges aren't dealt by node at all.
 """
 
 from __future__ import annotations
@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage, unstage
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Edges up to which there are few enough nodes (two longs each) to broadcast.
+FEW = 250_000
+
+
+def _large_star(e: DataFrame, hint) -> DataFrame:
     both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.where(F.col("b") > F.col("a")).join(hint(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, hint) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(hint(least), "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -38,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(e)
     while before[0]:
-        old, e = e, stage(_small_star(_large_star(e)))
+        hint = F.broadcast if before[0] <= FEW else lambda x: x
+        old, e = e, stage(_small_star(_large_star(e, hint), hint))
         unstage(old)
         after = _mark(e)
         if after == before:
