@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolomill.plans.staging import shared_dir, stage, unstage
 
-__all__ = ["pieces", "shared_dir", "small", "stage", "text_of", "unstage"]
+__all__ = ["batches_of", "pieces", "shared_dir", "small", "stage", "text_of", "unstage"]
 
 #: A side of a join is broadcast only up to this many rows of one or two longs (about 16 MB); beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -19,12 +21,24 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """So many rows at most in the Arrow batches of what is run meanwhile: for rows that may be large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def text_of(docs: DataFrame, text: str = "text"):
     """The text as a string, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
-def pieces(texts: list, most_bytes: int = 2_000_000):
+def pieces(texts: list, most_bytes: int = 250_000):
     """(from, to) ranges of texts with about most_bytes characters each; a single text may be longer."""
     at = total = 0
     for i, t in enumerate(texts):

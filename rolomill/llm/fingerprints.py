@@ -16,11 +16,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stage, text_of, unstage
+from .common import stage, text_of, unstage
 from .minhash_dedup import linked_classes, shape
 from .shingles import MinHash, shingles, short
 
 PERMUTATIONS, BANDS, ROWS, SIMILARITY = 128, 32, 4, 0.8
+#: Characters whose signatures are made at once; a single text may be longer.
+AT_ONCE = 250_000
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -52,24 +54,21 @@ def _follow(batches):
     of = None
     unzip = zstandard.ZstdDecompressor()
 
-    def rows(todo, kind):
-        for i, j in pieces([t[1] for t in todo]):
-            part = todo[i:j]
-            h, n = shingles([t[1] for t in part])
-            now = MinHash(PERMUTATIONS)(h, n)
-            ed = [edited(t[1], t[2]) for t in part]
-            then, nxt = signatures(ed), np.concatenate([now[1:], now[-1:]])
-            lone = [k for k, t in enumerate(part) if k + 1 == len(part) or t[2] is not part[k + 1][1]]
-            if lone:
-                nxt[lone] = signatures([part[k][2] for k in lone])
-            hexed = lambda s: [x.tobytes().hex() for x in short(s)]
-            own = [t[3].get(xxhash.xxh3_128_digest(np.unique(x).tobytes()), (t[0], 0)) if t[3] else (t[0], 0) for t, x in zip(part, np.split(h, np.cumsum(n)[:-1]), strict=True)]
-            cols = {"doc_id": pa.array([t[0] for t in part], kind), "n_chars": pa.array([len(t[1]) for t in part], pa.int64()), "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in ed], "fingerprint": hexed(now), "edited_fingerprint": hexed(then), "near_edited": likeness(now, then), "near_next": likeness(now, nxt)}
-            cols |= {"group_id": pa.array([g[0] for g in own], kind), "n_links": pa.array([g[1] for g in own], pa.int64())}
-            yield pa.RecordBatch.from_pydict(cols)
+    def rows(part, kind):
+        h, n = shingles([t[1] for t in part])
+        now = MinHash(PERMUTATIONS)(h, n)
+        ed = [edited(t[1], t[2]) for t in part]
+        then, nxt = signatures(ed), np.concatenate([now[1:], now[-1:]])
+        lone = [k for k, t in enumerate(part) if k + 1 == len(part) or t[2] is not part[k + 1][1]]
+        nxt[lone] = signatures([part[k][2] for k in lone])
+        hexed = lambda s: [x.tobytes().hex() for x in short(s)]
+        own = [t[3].get(xxhash.xxh3_128_digest(np.unique(x).tobytes()), (t[0], 0)) if t[3] else (t[0], 0) for t, x in zip(part, np.split(h, np.cumsum(n)[:-1]), strict=True)]
+        cols = {"doc_id": pa.array([t[0] for t in part], kind), "n_chars": pa.array([len(t[1]) for t in part], pa.int64()), "edited_sha256": [hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest() for e in ed], "fingerprint": hexed(now), "edited_fingerprint": hexed(then), "near_edited": likeness(now, then), "near_next": likeness(now, nxt)}
+        cols |= {"group_id": pa.array([g[0] for g in own], kind), "n_links": pa.array([g[1] for g in own], pa.int64())}
+        return pa.RecordBatch.from_pydict(cols)
 
     for b in batches:
-        todo = []
+        todo, total, kind = [], 0, b.schema.field("doc_id").type
         for slot, key, own, z, set_hash, group, links in zip(*(b.column(c).to_pylist() for c in ("slot", "doc_id", "own", "z", "set_hash", "group_id", "n_links")), strict=True):
             if key != of:
                 groups, of = {}, key
@@ -79,9 +78,13 @@ def _follow(batches):
             text = unzip.decompress(z).decode("utf-8", "surrogatepass")
             if held and held[0] == slot and held[2]:
                 todo.append((held[1], held[3], text, held[4]))
+                total += len(text)
             held = (slot, key, own, text, groups)
+            if total >= AT_ONCE:
+                yield rows(todo, kind)
+                todo, total = [], 0
         if todo:
-            yield from rows(todo, b.schema.field("doc_id").type)
+            yield rows(todo, kind)
 
 
 def _routes(spark, n: int) -> list[int]:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, small, stage, text_of, unstage
+from .common import batches_of, pieces, small, stage, text_of, unstage
 from .graph import components
 from .shingles import MinHash, sets, shingles, short
 
@@ -76,7 +76,7 @@ def _unfold(batches):
         ids = b.column(0).to_numpy()
         blobs = b.column(1).to_pylist()
         n = np.array([len(x) // 8 for x in blobs], np.int64)
-        for i, j in pieces(blobs, 4_000_000):
+        for i, j in pieces(blobs, 1_000_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs[i:j]), np.int64)), pa.array(np.repeat(ids[i:j], n[i:j]))], ["s", "rep"])
 
 
@@ -112,7 +112,8 @@ def _met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
 def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame, percent: float, least: int) -> DataFrame:
     kind = f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}"
     near = stage(_met(pairs, sigs, "sig").mapInPandas(lambda x: _alike(x, least), kind))
-    out = stage(_met(near, blobs, "blob").mapInPandas(lambda x: _linked(x, percent), kind))
+    with batches_of(pairs.sparkSession, 500):  # two sets in each row
+        out = stage(_met(near, blobs, "blob").mapInPandas(lambda x: _linked(x, percent), kind))
     unstage(near)
     return out
 
