@@ -5,9 +5,10 @@ A suffix array of the whole corpus can't be built in one task, so suffixes are d
 1. Anchors. Of every SPAN - GRAM + 1 neighbouring GRAM-byte strings the one with the least hash is an anchor. Equal SPAN-byte strings have equal anchors at equal
    places, so a repeated string is found through an anchor that repeats, with its context: all bytes a SPAN-byte string over the anchor may reach.
 2. Keys (anchor hashes) that occur once are dropped. A context that occurs more than once (equal by 128 bits of hash besides the key's 64) is repeated as a whole; its bytes are sorted once.
-3. The distinct contexts of a key form a shard. Shards of more than HOT contexts are split: a string that starts s bytes before its anchor lies within the s bytes before and
+3. The distinct contexts of a key form a shard. All have the anchor's bytes, so these count as one symbol, and a context is cut to what it has in common with any other of its shard on
+   either side of the anchor (its neighbours when sorted by that side show how much). Shards of more than HOT contexts are split: a string that starts s bytes before its anchor lies within the s bytes before and
    the SPAN - GRAM - s bytes after it, so the range of s is halved again and again, and contexts go on with those that agree in all bytes that every string of their half has.
-   No string is lost; a group whose range is a single s agrees in the whole string, so that it repeats.
+   Of contexts that have the same bytes in all strings of their half, which thus repeat, only one goes on. No string is lost; a range of a single s leaves one string to a group.
 4. In every shard a suffix array is built by induced sorting: suffixes are classified, leftmost-smaller substrings are sorted, recursively where they are not all different, and
    all suffixes are induced from them. The shards of a task are worked through side by side, each step of the induction for all of them at once. Permuted common prefixes then tell which suffixes share SPAN
    bytes with a neighbour that stands at another place of the corpus.
@@ -35,7 +36,7 @@ from .shingles import mix, powers, span_hashes
 SPAN, GRAM = 200, 100
 REACH = SPAN - GRAM
 #: Bytes of contexts that a task works on, about; contexts of a shard that are split over tasks, and those that are split within one.
-TASK_BYTES, HOT, MOST = 3_000_000, 1024, 48
+TASK_BYTES, HOT, MOST = 3_000_000, 8192, 64
 
 
 def _slide(v: np.ndarray, width: int, best) -> np.ndarray:
@@ -172,31 +173,30 @@ def suffix_arrays(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.nda
     return _induce(b, starts, size, kind, order)
 
 
-def common_prefixes(raw: np.ndarray, before: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(symbol: np.ndarray, before: np.ndarray, room: np.ndarray, most: int) -> np.ndarray:
     """Permuted common prefixes: for each position in text order how many symbols its suffix shares with the one before it in the suffix array, most at most.
 
     before: that suffix, or -1; room: symbols up to the context's end. A position's value is at least that of d positions earlier less d, so every other position is
-    worked out first, then those between from what is known; symbols are compared eight at a time, many positions side by side.
+    worked out first, then those between from what is known; symbols (16 bits) are compared four at a time, many positions side by side.
     """
-    n = len(raw)
+    n = len(symbol)
     cap = np.where(before >= 0, np.minimum(np.minimum(room, room[before]), most), 0)
-    wide = np.concatenate([raw, np.zeros(most + 16, np.uint8)])
-    words = np.zeros(n + most + 8, np.uint64)
-    for k in range(8):
-        words |= wide[k : k + len(words)].astype(np.uint64) << np.uint64(8 * k)
+    wide = np.concatenate([symbol.astype(np.uint64), np.zeros(most + 8, np.uint64)])
+    words = wide[: n + most + 4].copy()
+    for k in range(1, 4):
+        words |= wide[k : k + len(words)] << np.uint64(16 * k)
     shared = np.zeros(n, np.int64)
     d = 128
     at = np.arange(0, n, d)
     while True:
         todo = at[shared[at] < cap[at]]
         while len(todo):
-            x = words[todo + shared[todo]] ^ words[before[todo] + shared[todo]]
+            have = shared[todo]
+            x = words[todo + have] ^ words[before[todo] + have]
             low = x & (~x + np.uint64(1))  # the lowest bit that differs
-            same = np.where(x == 0, 8, np.frexp(low.astype(np.float64))[1] - 1 >> 3)
-            shared[todo] += same
-            todo = todo[(same == 8) & (shared[todo] < cap[todo])]
-        np.minimum(shared[at], cap[at], out=(now := np.empty(len(at), np.int64)))
-        shared[at] = now
+            same = np.where(x == 0, 4, np.frexp(low.astype(np.float64))[1] - 1 >> 4)
+            shared[todo] = have = np.minimum(have + same, cap[todo])
+            todo = todo[(same == 4) & (have < cap[todo])]
         if d == 1:
             return shared
         d //= 2
@@ -204,33 +204,37 @@ def common_prefixes(raw: np.ndarray, before: np.ndarray, room: np.ndarray, most:
         shared[at] = np.minimum(np.maximum(shared[at - d] - d, 0), cap[at])
 
 
-def repeated_windows(contexts: list[bytes], shard: np.ndarray, place: np.ndarray, many: np.ndarray, span: int = SPAN) -> list[np.ndarray]:
-    """For each context the offsets of its span-byte strings that its shard also has at another place of the corpus.
+#: Symbols: 0 ends a shard, 1 a context; bytes follow from 2 on; the anchor.
+ANCHOR = 258
 
-    shard: the shards' numbers, rising; place: a number for each context's first byte, such that equal sums place + offset mean the same place; many: whether the context itself stands in several places.
+
+def repeated_windows(strings: list[bytes], anchor: np.ndarray, shard: np.ndarray, place: np.ndarray, many: np.ndarray, reach: int) -> list[np.ndarray]:
+    """For each string the offsets from which reach + 1 symbols over its anchor also stand at another place of the corpus, among the strings of its shard.
+
+    strings: contexts with one byte for the anchor, at the offset that anchor has; shard: the shards' numbers, rising; place: a number for each string's first byte, such that equal sums
+    place + offset mean the same place; many: whether the whole context stands in several places.
     """
-    if not contexts:
+    if not strings:
         return []
-    n = len(contexts)
-    size = np.fromiter(map(len, contexts), np.int64, n)
-    raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+    n = len(strings)
+    size = np.fromiter(map(len, strings), np.int64, n)
+    symbol = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 2
     start = np.cumsum(size + 1) - size - 1
     owner = np.repeat(np.arange(n), size + 1)
-    room = (start + size)[owner] - np.arange(len(raw))
+    room = (start + size)[owner] - np.arange(len(symbol))
     new = np.append(True, shard[1:] != shard[:-1])
-    symbol = raw.astype(np.int64) + 2
-    symbol[start + size] = np.append(new[1:], True) ^ 1  # 1 ends a context, 0 a shard
-    number = np.cumsum(new) - 1
-    key = symbol + 258 * number[owner]
+    symbol[start + size] = np.append(new[1:], True) ^ 1
+    symbol[start + anchor] = ANCHOR
+    key = symbol + (ANCHOR + 1) * (np.cumsum(new) - 1)[owner]
     used = np.bincount(key) > 0
     starts = start[new]
-    sa = suffix_arrays((np.cumsum(used) - 1)[key], starts, np.diff(starts, append=len(raw)))
-    before = np.full(len(raw), -1, np.int64)
+    sa = suffix_arrays((np.cumsum(used) - 1)[key], starts, np.diff(starts, append=len(symbol)))
+    before = np.full(len(symbol), -1, np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[starts]] = -1
-    joined = common_prefixes(raw, before, room, span)[sa] >= span
-    # runs of ranks that share span bytes are equal strings; only those within one context count
-    inside = room[sa] >= span
+    joined = common_prefixes(symbol, before, room, reach + 1)[sa] > reach
+    # runs of ranks that share so many symbols are equal; only those within one string count
+    inside = room[sa] > reach
     run, pos = np.cumsum(~joined)[inside], sa[inside]
     if not len(pos):
         return [np.empty(0, np.int64)] * n
@@ -244,21 +248,34 @@ def repeated_windows(contexts: list[bytes], shard: np.ndarray, place: np.ndarray
     return [hit[i:j] - start[k] for k, (i, j) in enumerate(zip(cut, cut[1:]))]
 
 
+def _agreement(group: np.ndarray, parts: list[bytes], reach: int) -> np.ndarray:
+    """The longest common prefix of each part with any other of its group: its neighbours' when sorted."""
+    n, wide = len(parts), -(-reach // 8) * 8
+    size = np.fromiter(map(len, parts), np.int64, n)
+    m = np.frombuffer(b"".join([x.ljust(wide, b"\0") for x in parts]), np.uint8).reshape(n, wide)
+    order = np.lexsort((*m.view(">u8").T[::-1].astype(np.uint64), group))
+    x, y = order[:-1], order[1:]
+    x, y = x[group[x] == group[y]], y[group[x] == group[y]]
+    differ = m[x] != m[y]
+    common = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), wide), np.minimum(size[x], size[y]))
+    most = np.full(n, -1, np.int64)
+    np.maximum.at(most, x, common)
+    np.maximum.at(most, y, common)
+    return most
+
+
 def halves(lo: int, hi: int) -> tuple[tuple[int, int], tuple[int, int]]:
     mid = (lo + hi) // 2
     return (lo, mid), (mid + 1, hi)
 
 
-def agreed(context: bytes, before: int, lo: int, hi: int, reach: int, gram: int) -> bytes | None:
-    """The bytes of every string over the anchor that starts lo to hi bytes before it; None if the context has no such string. before: the context's bytes before the anchor."""
-    after = len(context) - before - gram
-    if max(lo, reach - after) > min(hi, before):
-        return None
+def agreed(context: bytes, before: int, lo: int, hi: int, reach: int, gram: int) -> bytes:
+    """The bytes of every string over the anchor that starts lo to hi bytes before it, as far as the context has them. before: the context's bytes before the anchor."""
     return context[max(0, before - lo) : before + gram + max(0, reach - hi)]
 
 
-def small_shards(rows: list[int], lo: int, hi: int, contexts: list[bytes], before: np.ndarray, reach: int, gram: int):
-    """(rows, lo, hi) of shards with MOST contexts at most, or with a single start lo = hi: those agree in their whole string."""
+def small_shards(rows: list[int], lo: int, hi: int, contexts: list[bytes], before: np.ndarray, least: np.ndarray, most: np.ndarray, reach: int, gram: int):
+    """(rows, lo, hi) of shards with MOST contexts at most, or with a single start lo = hi: those agree in their whole string. A row's strings start least to most bytes before its anchor."""
     if len(rows) <= MOST or lo == hi:
         if len(rows) > 1:
             yield rows, lo, hi
@@ -266,51 +283,66 @@ def small_shards(rows: list[int], lo: int, hi: int, contexts: list[bytes], befor
     for a, b in halves(lo, hi):
         groups: dict[bytes, list[int]] = {}
         for i in rows:
-            if (x := agreed(contexts[i], before[i], a, b, reach, gram)) is not None:
-                # a context at a text's edge has fewer strings, and what all of its strings have may be less than others agree in
-                groups.setdefault(x, []).append(i)
+            if least[i] <= b and most[i] >= a:
+                groups.setdefault(agreed(contexts[i], before[i], a, b, reach, gram), []).append(i)
         for own in groups.values():
-            yield from small_shards(own, a, b, contexts, before, reach, gram)
+            yield from small_shards(own, a, b, contexts, before, least, most, reach, gram)
 
 
 def repeated_spans(groups: list, counts: np.ndarray, rids: np.ndarray, ats: np.ndarray, contexts: list[bytes], span: int = SPAN, gram: int = GRAM, stats: list | None = None) -> list[tuple[int, int, int]]:
     """(rid, from, to) of what repeats in contexts that stand once (counts 1); others only serve as partners.
 
-    groups: (key, lo, hi) of each context; contexts of a group are distinct and share strings that start lo to hi bytes before the anchor. stats gets the bytes that were sorted.
+    groups: (key, lo, hi) of each context; contexts of a group are distinct and share strings that start lo to hi bytes before the anchor. stats gets the symbols that were sorted.
     """
-    reach = span - gram
+    reach, n = span - gram, len(contexts)
     before = np.minimum(ats, reach)
-    members: dict[tuple, list[int]] = {}
-    for i, g in enumerate(groups):
-        members.setdefault(tuple(g), []).append(i)
+    members: dict[tuple, int] = {}
+    group = np.fromiter((members.setdefault(g, len(members)) for g in groups), np.int64, n)
+    lo, hi = (np.fromiter((g[k] for g in groups), np.int64, n) for k in (1, 2))
+    if not n:
+        return []
+    least = np.maximum(lo, reach - _agreement(group, [c[b + gram :] for c, b in zip(contexts, before, strict=True)], reach))
+    most = np.minimum(hi, _agreement(group, [c[:b][::-1] for c, b in zip(contexts, before, strict=True)], reach))
+    able = np.flatnonzero(least <= most)
+    able = able[np.argsort(group[able], kind="stable")]
     out: list[tuple[int, int, int]] = []
-    todo: list[tuple[int, int, int, bytes]] = []  # shard, row, place of the first byte, bytes
+    todo: list[tuple[int, list[int], int, bytes]] = []  # shard, rows with this string, the anchor's offset, bytes
     total = number = 0
 
     def flush():
         nonlocal total
-        if not todo:
-            return
-        shard, row, at = (np.array([t[k] for t in todo], np.int64) for k in range(3))
-        place = mix(rids[row].view(np.uint64)).view(np.int64) + at
-        for t, w in zip(todo, repeated_windows([t[3] for t in todo], shard, place, counts[row] > 1, span), strict=True):
-            if len(w) and counts[t[1]] == 1:
-                out.extend((rids[t[1]], a, b) for a, b in zip(*_joined(w + t[2], w + t[2] + span), strict=True))
-        if stats is not None:
-            stats.append(total)
+        if todo:
+            shard, anchor = (np.array([t[k] for t in todo], np.int64) for k in (0, 2))
+            row = np.array([t[1][0] for t in todo], np.int64)
+            many = np.array([len(t[1]) > 1 for t in todo]) | (counts[row] > 1)
+            place = mix(rids[row].view(np.uint64)).view(np.int64) + ats[row] - anchor
+            found = repeated_windows([t[3] for t in todo], anchor, shard, place, many, reach)
+            for (_, rows, left, _), w in zip(todo, found, strict=True):
+                if len(w):
+                    cuts = np.flatnonzero(np.diff(w) > span) + 1
+                    runs = [(x[0], x[-1] + span) for x in (np.split(w, cuts) if len(cuts) else [w])]
+                    out.extend((rids[i], ats[i] - left + x, ats[i] - left + y) for i in rows if counts[i] == 1 for x, y in runs)
+            if stats is not None:
+                stats.append(total)
         todo.clear()
         total = 0
 
-    for (_, lo, hi), rows in members.items():
-        for own, a, b in small_shards(rows, lo, hi, contexts, before, reach, gram):
+    for rows in np.split(able, np.flatnonzero(np.diff(group[able])) + 1):
+        for own, a, b in small_shards(rows.tolist(), int(lo[rows[0]]), int(hi[rows[0]]), contexts, before, least, most, reach, gram) if len(rows) else ():
             if a == b and len(own) > MOST:
                 out += [(rids[i], ats[i] - a, ats[i] - a + span) for i in own if counts[i] == 1]
                 continue
-            number += 1
+            alike: dict[tuple[int, bytes], list[int]] = {}
             for i in own:
-                left = max(0, before[i] - b)
-                x = contexts[i][left : before[i] + gram + reach - a]
-                todo.append((number, i, ats[i] - before[i] + left, x))
+                left, right, at = min(b, most[i]), reach - max(a, least[i]), before[i]
+                alike.setdefault((left, contexts[i][at - left : at] + b"\0" + contexts[i][at + gram : at + gram + right]), []).append(i)
+            if len(alike) == 1:  # nothing to compare with: all of it repeats
+                (left, x), _ = alike.popitem()
+                out += [(rids[i], ats[i] - left, ats[i] - left + len(x) - 1 + gram) for i in own if counts[i] == 1]
+                continue
+            number += 1
+            for (left, x), same in alike.items():
+                todo.append((number, same, left, x))
                 total += len(x)
             if total >= TASK_BYTES:
                 flush()
@@ -341,7 +373,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     def mark(batches):
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in pieces(texts):
+            for i, j in pieces(texts, 100_000):  # arrays that fit a CPU's cache
                 data = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
                 own, at, k, ctx, other = anchors(data, span, gram)
                 ids = np.array([rid(a, t) for a, t in zip(keys[i:j], data, strict=True)], np.int64)
@@ -373,10 +405,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
         for b in batches:
             rows = []
             for key, lo, hi, c, r, at, x in b[names].itertuples(index=False, name=None):
+                before = min(at, reach)
+                after = len(x) - before - gram
                 for i, j in halves(lo, hi):
-                    if (same := agreed(x, min(at, reach), i, j, reach, gram)) is not None:
-                        rows.append((xxhash.xxh3_128_digest(key + b"%d:%d:" % (i, j) + same), i, j, c, r, at, x))
-            yield pd.DataFrame(rows, columns=names)
+                    if max(i, reach - after) <= min(j, before):  # it has such a string
+                        left, right = min(j, before), min(after, reach - i)
+                        own = xxhash.xxh3_128_digest(key + b"%d:%d:" % (i, j) + agreed(x, before, i, j, reach, gram))
+                        rows.append((own, i, j, c, r, at, x, xxhash.xxh3_128_digest(b"%d:" % left + x[before - left : before + gram + right]), at - left, at + gram + right))
+            yield pd.DataFrame(rows, columns=[*names, "part", "start", "end"])
 
     def remove(batches):
         z = zstandard.ZstdDecompressor()
@@ -410,20 +446,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
         return cuts.select(F.hex("key").cast("binary").alias("key"), F.lit(0).alias("lo"), F.lit(reach).alias("hi"), "c", "rid", "at", "context")
 
     hot = stage(contexts.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
-    ready, single = [bytes_of(contexts.join(small(hot), "key", "left_anti"))], []
+    ready, alike_spans = [bytes_of(contexts.join(small(hot), "key", "left_anti"))], []  # what is sorted; spans of contexts that agree in all strings of a half
     if hot.take(1):
         some = stage(bytes_of(contexts.join(small(hot), "key", "left_semi")))
         while some is not None:
-            parts = stage(some.mapInPandas(split, shards_of))
+            parts = stage(some.mapInPandas(split, shards_of + ", part binary, start int, end int"))
             unstage(some)
-            n = stage(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-            sized = parts.join(small(n), "key")
-            single.append(sized.where("lo = hi and c = 1").select("rid", (F.col("at") - F.col("lo")).alias("lo"), (F.col("at") - F.col("lo") + span).alias("hi")))
-            ready.append(sized.where((F.col("lo") < F.col("hi")) & (F.col("n") <= HOT)).drop("n"))
-            some = sized.where((F.col("lo") < F.col("hi")) & (F.col("n") > HOT)).drop("n")
+            alike = stage(parts.groupBy("key", "part").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("one")).where("n > 1"))
+            parts = parts.join(small(alike), ["key", "part"], "left")
+            alike_spans.append(stage(parts.where("n > 1 and c = 1").select("rid", F.col("start").alias("lo"), F.col("end").alias("hi"))))
+            one = parts.where("n is null or (one.rid = rid and one.at = at)").withColumn("c", F.coalesce("n", "c")).select(names)
+            n = stage(one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+            one = one.join(small(n), "key")
+            ready.append(stage(one.where(F.col("n") <= HOT).drop("n")))
+            some = one.where(F.col("n") > HOT).drop("n")
             some = stage(some) if some.take(1) else None
     cuts = reduce(DataFrame.unionAll, ready)
     tasks = max(1, contexts.count() * (2 * span - gram) // TASK_BYTES)
     sorted_ = cuts.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task")).applyInPandas(lambda s: sort(s), "rid long, lo int, hi int")
-    spans = reduce(DataFrame.unionAll, [same, sorted_, *single]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by a text's length
+    spans = reduce(DataFrame.unionAll, [same, sorted_, *alike_spans]).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by a text's length
     return texts.join(spans, "rid", "left").select("doc_id", "z", "spans").mapInPandas(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
