@@ -245,14 +245,28 @@ def enrich_coalesce(spark, sf):
     return enrich.update_emails(d, found).select("row_id", "email")
 
 
-@_query(
-    _page_sql().replace("FROM b) ", "FROM b), ", 1) + "g AS (SELECT *, floor(page_id / 5)::BIGINT AS grp, row_number() OVER (PARTITION BY floor(page_id / 5) ORDER BY page_id) AS rn FROM p) "
-    "SELECT grp, array_to_string(list(chr(10) || 'PAGE ' || rn || ':' || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || 'TITLE: ' || title || chr(10) || 'CONTENT: ' || substr(text, 1, 5000) || chr(10) || '---' || chr(10) ORDER BY page_id), chr(10)) AS content FROM g GROUP BY grp"
-)
-def page_combine(spark, sf):
+def _combined_sql(content: str) -> str:
+    return (
+        _page_sql().replace("FROM b) ", "FROM b), ", 1) + "g AS (SELECT *, floor(page_id / 5)::BIGINT AS grp, row_number() OVER (PARTITION BY floor(page_id / 5) ORDER BY page_id) AS rn FROM p), "
+        "t AS (SELECT grp, array_to_string(list(chr(10) || 'PAGE ' || rn || ':' || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || 'TITLE: ' || title || chr(10) || 'CONTENT: ' || substr(text, 1, 5000) || chr(10) || '---' || chr(10) ORDER BY page_id), chr(10)) AS content FROM g GROUP BY grp) "
+        f"SELECT grp, {content} AS content FROM t"
+    )
+
+
+def _combined(spark, sf, limit=None) -> DataFrame:
     # addresses are left out here, as page_emails has no SQL
     p = enrich.pages(_table(spark, sf, "pages")).withColumn("emails", F.array().cast("array<string>")).withColumn("grp", F.floor(F.col("page_id") / 5))
-    return enrich.combined(p, "grp")
+    return enrich.combined(p, "grp", limit)
+
+
+@_query(_combined_sql("content"))
+def page_combine(spark, sf):
+    return _combined(spark, sf)
+
+
+@_query(_combined_sql(f"substr(content, 1, {enrich.CONTENT_LIMIT})"))
+def page_combine_limited(spark, sf):
+    return _combined(spark, sf, enrich.CONTENT_LIMIT)
 
 
 _TOLD = "'<body><article>News of ' || lower(first_name) || '  ' || upper(last_name) || ', <b>' || current_company || '</b></article></body>'"
