@@ -337,7 +337,7 @@ def identify(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text
 
 
 def keep_identified(docs: DataFrame, model: Crf, least: float, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs, in their own columns, less the rows whose text has no letter or whose likeliest language has a share under least; lang is set to that language."""
+    """docs, in their own columns, less the rows whose text has no letter or whose likeliest language has a share under least; lang is set to that language. Null texts go; repeated rows, shared and null ids are each judged; an empty table stays empty, a model without labels keeps nothing."""
     bare = model.copy()
 
     def run(batches):

@@ -137,3 +137,15 @@ def test_pipeline_on_odd_tables(spark, tmp_path):
         assert out.where("piece = 0").count() == docs.count()
         if name == "odd":
             assert {600, 601, 602} & {k for k, _ in kept} == {601, 602}
+
+
+def test_url_hubs_and_long_urls(spark):
+    """Very many aliases of one blocked page, chains, long URLs, empty and repeated tags."""
+    link = '<link rel="canonical" href="{}">'.format
+    far = "http://long.org/" + "x/" * 50_000
+    pages = [(0, "http://hub.net/es/", ""), (1, far + "a", link(far + "b")), (2, far + "b", link("http://hub.net/es/")), (3, far + "c", ""), (4, "http://free.org/", link("") + link(" ") + "<link rel=canonical>")]
+    pages += [(10 + i, f"http://s{i}.org/p", link("http://hub.net/es/") * (1 + i % 3)) for i in range(400)]
+    pages += [(1000 + i, f"http://chain.org/{i}", link(f"http://chain.org/{i + 1}" if i < 30 else "http://s7.org/p")) for i in range(31)]
+    pages += [(5000 + i, f"http://ok.com/{i}", link("http://hub.net/es/")) for i in range(3)]  # their own rule allows them
+    got = dict(tup(url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "verdict"))
+    assert got == {k: "allow" if k in (3, 4) or k >= 5000 else "block" for k, _, _ in pages}
