@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, exact dedup, MinHash near-dedup, secret scan, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's docs. All but the last
-return the columns of documents.
+return the columns of documents. Empty tables give empty results; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ NEAR_PERCENT = 80
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters or without a main language and sets lang to the predicted language."""
+    """Rejects documents without letters (null texts too) or without a main language and sets lang to the predicted language; each row is judged, whatever ids repeat.
+
+    A table without any labelled text gives a model that knows no language: then all documents are rejected.
+    """
     model = language_id.train(docs.where(~language_id.held_out()))
     return language_id.keep_identified(docs, model, LEAST_SHARE)
 
@@ -53,12 +56,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; documents stay."""
+    """Replaces secrets in the texts by their kinds and sets n_chars anew; all rows stay, null texts as they are."""
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens; null texts count as empty, rows with shared or null ids are packed like others."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
