@@ -9,9 +9,10 @@ from ..functions import emails
 from ..functions.pages import page_parts
 from ..functions.text import collapse, trim_all
 
-#: Parts of URLs that are left out; addresses of nobody in particular; longest text of a page, and of the pages of a contact; pages of a contact.
+#: Parts of URLs that are left out; addresses of nobody in particular; what a search term doesn't say; longest text of a page, and of the pages of a contact; pages of a contact.
 SKIPPED_URLS = ["javascript:", "mailto:", "tel:", "ftp:", "youtube.com", "facebook.com", "twitter.com", "instagram.com", "pinterest.com", "tiktok.com", "reddit.com", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".tar", ".gz"]
 GENERIC = ["info", "support", "hello", "contact", "admin", "sales"]
+INSTRUCTIONS = ["create", "generate", "find", "search for", "looking for"]
 TEXT_LIMIT, CONTENT_LIMIT, PAGES_LIMIT = 5000, 6000, 5
 
 
@@ -62,10 +63,16 @@ def distinct_urls(df: DataFrame) -> DataFrame:
     return df.where(url_ok(F.col("url"))).groupBy("url").agg(F.min("page_id").alias("page_id"))
 
 
-def search_term(first: Column, last: Column, company: Column) -> Column:
-    """name company email; unfit lengths fall back to name email."""
+def search_term(first: Column, last: Column, company: Column, proposed: Column | None = None) -> Column:
+    """A model's proposal without quotes around it, if it is short and no instruction; else name company email. Unfit lengths fall back to name email."""
     name = collapse(F.concat_ws(" ", first, last))
     q = F.concat_ws(" ", F.when(name != "", name), F.when(F.coalesce(company, F.lit("")) != "", company), F.lit("email"))
+    if proposed is not None:
+        p = F.regexp_replace(F.coalesce(proposed, F.lit("")), r"^[\"'\-\s]+|[\"'\-\s]+$", "")
+        told = F.size(F.filter(F.split(p, r"\s+"), lambda w: w != "")) > 12
+        for phrase in INSTRUCTIONS:
+            told = told | F.lower(p).contains(phrase)
+        q = F.when((p == "") | told, q).otherwise(p)
     return F.when(F.length(q).between(3, 100), q).when(name != "", F.concat(name, F.lit(" email"))).otherwise("email address")
 
 

@@ -83,13 +83,13 @@ def contacts_preservation_stats(spark, sf):
 @_query(
     f"WITH contacts_raw AS ({contacts_sql()}), u AS (SELECT first_name, last_name, current_company, role, linkedin, email, phone, '' AS geo, 'customers.csv' AS source_file FROM contacts_raw "
     "UNION ALL SELECT '', '', s_name, '', '', '', '', n_name, 'suppliers.csv' FROM supplier JOIN nation ON s_nationkey = n_nationkey) "
-    "SELECT *, 'column_mapper' AS source_agent, 2 AS total_source_files, 'data_consolidator' AS consolidation_agent FROM u"
+    f"SELECT *, 'column_mapper' AS source_agent, '2025-08-03 10:00:00' AS consolidation_date, 2 AS total_source_files, 'data_consolidator' AS consolidation_agent, (({' + '.join(f"(trim(coalesce({f}, '')) <> '')::INT" for f in FIELDS)}) * 100 / 8.0)::DOUBLE AS data_completeness_percentage FROM u"
 )
 def union_aligned(spark, sf):
     s = _table(spark, sf, "supplier").join(F.broadcast(_table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.select(F.col("s_name").alias("current_company"), F.col("n_name").alias("geo"))
     u = consolidate.union_aligned([("customers.csv", contacts_raw(spark, sf).drop("geo")), ("suppliers.csv", s)])
-    return consolidate.with_metadata(u, 2).drop("consolidation_date", "data_completeness_percentage")
+    return consolidate.with_metadata(u, 2, at=F.lit("2025-08-03 10:00:00"))
 
 
 # emails
@@ -231,6 +231,18 @@ def search_query_build(spark, sf):
     return _contacts(spark, sf).select("row_id", enrich.search_term(F.col("first_name"), F.col("last_name"), F.col("current_company")).alias("query"))
 
 
+_PROPOSED = "CASE row_id % 5 WHEN 0 THEN '\"' || first_name || ' at ' || current_company || ' mail\" -' WHEN 1 THEN 'Find the address of ' || first_name WHEN 2 THEN 'a b c d e f g h i j k l ' || last_name WHEN 3 THEN 'x' || repeat('y', 100) END"
+_CLEAN_PROPOSED = f"regexp_replace(coalesce({_PROPOSED}, ''), '^[\"''\\-\\s]+|[\"''\\-\\s]+$', '', 'g')"
+
+
+@_query(
+    _WITH + f", p AS (SELECT *, {_CLEAN_PROPOSED} AS p FROM contacts), q AS (SELECT *, CASE WHEN p = '' OR len(string_split_regex(p, '\\s+')) > 12 OR {_has('lower(p)', enrich.INSTRUCTIONS)} THEN {_SEARCH} ELSE p END AS q FROM p) "
+    f"SELECT row_id, CASE WHEN length(q) BETWEEN 3 AND 100 THEN q WHEN {_NAME} <> '' THEN {_NAME} || ' email' ELSE 'email address' END AS query FROM q"
+)
+def search_query_proposed(spark, sf):
+    return _contacts(spark, sf).select("row_id", enrich.search_term(F.col("first_name"), F.col("last_name"), F.col("current_company"), F.expr(_PROPOSED)).alias("query"))
+
+
 _PAGE_OF = "'<body><p>Team: info@acme.io, ' || lower(first_name) || '.' || lower(last_name) || '@acme.io or zz' || row_id || '@acme.io</p></body>'"
 
 
