@@ -1,47 +1,7 @@
-"""Connected components by alternating large-star and small-star steps, in DataFrame operations only.
-
-Both steps are joins of the edges with the least neighbour of each node, so no node's neighbours are ever gathered in one row or task:
-the minimum is pre-aggregated before its shuffle and the join may be split where a node has very many edges.
-"""
+"""Connected components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stage, unstage
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that has an edge; component is the smallest node reachable.
+from rolomill.operators.graph import components
 
-    edges: columns a and b of one orderable type. Nulls, loops and repeated edges are ignored; no edge gives no row.
-    """
-    e = edges.where("a is not null and b is not null and a != b").select("a", "b")
-    e = stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _mark(e)
-    while before[0]:
-        old, e = e, stage(_small_star(_large_star(e)))
-        unstage(old)
-        after = _mark(e)
-        if after == before:
-            break
-        before = after
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(e.select("b", "b")).distinct()
+__all__ = ["components"]
