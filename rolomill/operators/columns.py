@@ -22,6 +22,8 @@ METADATA = ["event link", "https://", "http://", "www.", ".com", ".org", "unname
 FULL_NAME_WORDS = ["speaker", "name", "full name", "contact name", "primary contact", "person", "attendee", "participant", "lead", "contact", "user", "member", "guest", "presenter", "client", "customer"]
 BUSINESS = ["inc", "llc", "corp", "ltd", "company", "corporation", "incorporated", "technologies", "solutions", "services", "systems", "group", "holdings", "university", "hospital", "government", "agency", "department"]
 HEADER_ROWS, SAMPLES = 6, 5
+#: Sheets up to which their headers and places of fields are broadcast, so that cells are not shuffled by sheet.
+FEW_SHEETS = 20_000
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -98,9 +100,9 @@ def headers(grid: DataFrame) -> DataFrame:
     return every.select("sheet", "header_row", "first", "rows").mapInPandas(choose, "sheet string, header_row long, names array<string>")
 
 
-def table_cells(grid: DataFrame, heads: DataFrame) -> DataFrame:
-    """(sheet, row_id, pos, col_name, value) of all sheets, row_id from 0 below the header; heads as headers() gives it, broadcast by Spark if small."""
-    j = grid.join(heads, "sheet").where(F.col("row_idx") > F.col("header_row"))
+def table_cells(grid: DataFrame, heads: DataFrame, sheets: int) -> DataFrame:
+    """(sheet, row_id, pos, col_name, value) of all sheets, row_id from 0 below the header; heads as headers() gives it, with sheets rows."""
+    j = grid.join(F.broadcast(heads) if sheets <= FEW_SHEETS else heads, "sheet").where(F.col("row_idx") > F.col("header_row"))
     named = F.transform("names", lambda n, i: F.struct(i.alias("pos"), n.alias("col_name"), F.get("cells", i).alias("value")))
     return j.select("sheet", (F.col("row_idx") - F.col("header_row") - 1).alias("row_id"), F.explode(named).alias("c")).select("sheet", "row_id", "c.*")
 
@@ -199,11 +201,11 @@ def standardize(df: DataFrame, mapping: dict[str, str], keep: tuple[str, ...] =
     return df.select(*keep, *(c.alias(f) for f, c in out.items()))
 
 
-def standardize_sheets(grid: DataFrame, heads: DataFrame, chosen: DataFrame) -> DataFrame:
+def standardize_sheets(grid: DataFrame, heads: DataFrame, chosen: DataFrame, sheets: int) -> DataFrame:
     """(sheet, row_id, the eight fields) of all sheets at once. chosen: (sheet, col_name, target), a column for each target at most; of a full name and a first or last name the later column wins."""
     at = heads.select("sheet", "header_row", F.posexplode("names").alias("pos", "col_name")).join(chosen.select("sheet", "col_name", "target"), ["sheet", "col_name"])
     places = at.groupBy("sheet", "header_row").agg(*(F.max(F.when(F.col("target") == t, F.col("pos"))).alias(f"at_{t}") for t in [*FIELDS, FULL_NAME]))
-    rows = grid.join(places, "sheet").where(F.col("row_idx") > F.col("header_row"))
+    rows = grid.join(F.broadcast(places) if sheets <= FEW_SHEETS else places, "sheet").where(F.col("row_idx") > F.col("header_row"))
     value = lambda t: F.coalesce(F.get("cells", F.col(f"at_{t}")), F.lit(""))
     whole = dict(zip(("first_name", "last_name"), split_name(value(FULL_NAME)), strict=True))
     out = {f: F.when(F.col(f"at_{FULL_NAME}") > F.coalesce(f"at_{f}", F.lit(-1)), whole[f]).otherwise(value(f)) if f in whole else value(f) for f in FIELDS}

@@ -135,7 +135,8 @@ def _map_sheets(ctx: Context) -> DataFrame:
     """(sheet, row_id, eight fields) of all sheets. Headers, profiles and mappings of all sheets are found together; only a mapping hook works sheet by sheet."""
     grid = ctx["convert"].select(F.concat_ws("#", "file", F.when(F.col("sheet") != "", F.col("sheet"))).alias("sheet"), "row_idx", "cells")
     heads = stage(columns.headers(grid))
-    cells = columns.table_cells(grid, heads)
+    n = heads.count()
+    cells = columns.table_cells(grid, heads, n)
     by, scores = ("sheet",), []
     mapping = columns.map_columns(cells, by)
     if ctx.config.map_hook:
@@ -144,10 +145,9 @@ def _map_sheets(ctx: Context) -> DataFrame:
         mapping = told.unionByName(mapping.join(told.select("sheet").distinct(), "sheet", "left_anti"))
     mapping = stage(columns.valid_mapping(mapping))
     chosen = stage(columns.best_columns(columns.column_quality(cells, mapping, by), by))
-    n = heads.count()
     # a sheet that the rules map counts RULES
     ctx.counts |= {"sheets": n, "data_quality_score": (sum(scores) + RULES * (n - len(scores))) / max(1, n)}
-    return columns.standardize_sheets(grid, heads, chosen)
+    return columns.standardize_sheets(grid, heads, chosen, n)
 
 
 def _consolidate(ctx: Context) -> DataFrame:

@@ -454,9 +454,10 @@ def files_headers(spark, sf):
 def files_standardized(spark, sf):
     grid = _files(spark, sf)[0].withColumn("sheet", F.col("file"))
     heads = columns.headers(grid)
-    cells, by = columns.table_cells(grid, heads), ("sheet",)
+    n = heads.count()
+    cells, by = columns.table_cells(grid, heads, n), ("sheet",)
     chosen = columns.best_columns(columns.column_quality(cells, columns.valid_mapping(columns.map_columns(cells, by)), by), by)
-    return columns.standardize_sheets(grid, heads, chosen).withColumnRenamed("sheet", "file")
+    return columns.standardize_sheets(grid, heads, chosen, n).withColumnRenamed("sheet", "file")
 
 
 # deduplication

@@ -188,7 +188,7 @@ def test_header_fallback(spark):
     grid = spark.createDataFrame(rows, "sheet string, row_idx long, cells array<string>")
     heads = columns.headers(grid)
     assert {r.sheet: (r.header_row, r.names) for r in heads.collect()} == {"a": (1, []), "b": (-1, ["column_0"]), "c": (-1, ["column_0", "column_1"]), "d": (0, ["First Name", "Last Name", "Email"])}
-    assert [tuple(r) for r in columns.table_cells(grid, heads).where("sheet = 'd'").orderBy("pos").collect()] == [("d", 0, 0, "First Name", "Ann"), ("d", 0, 1, "Last Name", "Lee"), ("d", 0, 2, "Email", "ann@x.io")]
+    assert [tuple(r) for r in columns.table_cells(grid, heads, 4).where("sheet = 'd'").orderBy("pos").collect()] == [("d", 0, 0, "First Name", "Ann"), ("d", 0, 1, "Last Name", "Lee"), ("d", 0, 2, "Email", "ann@x.io")]
 
 
 def test_mapping_hook(spark, tmp_path):
