@@ -173,19 +173,22 @@ class Crf:
         rng, k = np.random.default_rng(seed), len(self.labels)
         vocab: dict[str, int] = {}
         runs, half, gold_of, docs = [], [], [], []
-        for d, (text, lang) in enumerate(zip(texts, langs, strict=True)):
+        many = Counter()
+        for text, lang in zip(texts, langs, strict=True):
             y = self.labels.index(lang)
+            h = many[y] % 2  # each label's documents are halved
+            many[y] += 1
             ids = np.array([vocab.setdefault(w, len(vocab)) for w in words_of(text)], np.int32)
-            docs.append((np.unique(ids), y))
+            docs.append((np.unique(ids), y, h))
             for i in range(0, len(ids), RUN):
                 runs.append(ids[i : i + RUN])
-                half.append(d % 2)
+                half.append(h)
                 gold_of.append(y)
         if not runs:
             return self
         seen = np.zeros((2, len(vocab), k), np.int64)
-        for d, (ids, y) in enumerate(docs):
-            seen[d % 2, ids, y] += 1
+        for ids, y, h in docs:
+            seen[h, ids, y] += 1
         words, none = list(vocab), len(self.l) - 1
         self.lexicon = self._classes(seen.sum(axis=0), words)
         # a word in a document of one half is looked up among the other half's documents

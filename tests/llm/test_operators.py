@@ -559,6 +559,18 @@ def test_lexicon():
     assert m.l[m.lexicon["zon"]].argmax() == 0 and m.l[m.lexicon["niz"]].argmax() == 1
 
 
+def test_lexicon_speaks_for_its_label(spark):
+    """In whatever order documents come, a sure lexicon class has its own label's largest weight, and clean documents get large shares."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(df.where(~language_id.held_out()))
+    for y in range(len(model.labels)):
+        assert model.l[y * len(language_id.LEVELS) + len(language_id.LEVELS) - 1].argmax() == y
+    test = df.where(language_id.held_out()).select("text", "lang").collect()
+    got = model.predict([r.text for r in test])
+    clean = [g for g, r in zip(got, test, strict=True) if r.text and len(language_id.words_of(r.text)) >= 50]
+    assert sum(s >= 0.8 for _, s in clean) >= 0.97 * len(clean)
+
+
 def test_forward_backward():
     import numpy as np
 
