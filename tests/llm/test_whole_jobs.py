@@ -86,7 +86,9 @@ def test_near_documents_led_by_strangers(spark):
     same(tup(got, "doc_id", "group_id"), want.items())
     links = dict(tup(got, "doc_id", "n_links"))
     assert all((links[k] > 0) == (k >= 100) for k in links) and sum(links.values()) >= 2 * 9
-    assert "op10_near_documents" in queries.QUERIES
+    # op10's query has the same groups
+    same(tup(queries.fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "group_id"), want.items())
+    assert [n for n in queries.QUERIES if n.startswith("op10_")] == ["op10_fingerprints"]
 
 
 def test_url_aliases_are_resolved(spark):
