@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolomill.plans.staging import shared_dir, stage, unstage
 
-__all__ = ["batches_of", "pieces", "shared_dir", "small", "stage", "text_of", "unstage"]
+__all__ = ["batches_of", "give_back", "pieces", "shared_dir", "slices", "small", "stage", "text_of", "unstage"]
 
 #: A side of a join is broadcast only up to this many rows of one or two longs (about 16 MB); beyond it, the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -38,6 +39,20 @@ def text_of(docs: DataFrame, text: str = "text"):
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system where the C library can (glibc keeps it otherwise): after work on the driver that is large for a while."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batches, rows: int = 1000):
+    """The Arrow batches in slices of so many rows, so that only as many texts at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def pieces(texts: list, most_bytes: int = 250_000):
     """(from, to) ranges of texts with about most_bytes characters each; a single text may be longer."""
     at = total = 0

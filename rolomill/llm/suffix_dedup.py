@@ -30,13 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small, stage, text_of, unstage
+from .common import pieces, slices, small, stage, text_of, unstage
 from .shingles import mix, powers, span_hashes
 
 SPAN, GRAM = 200, 100
 REACH = SPAN - GRAM
 #: Bytes of contexts that a task works on, about; contexts of a shard that are split over tasks, and those that are split within one.
-TASK_BYTES, HOT, MOST = 3_000_000, 8192, 64
+TASK_BYTES, HOT, MOST = 4_000_000, 8192, 32
 
 
 def _slide(v: np.ndarray, width: int, best) -> np.ndarray:
@@ -347,7 +347,21 @@ def repeated_spans(groups: list, counts: np.ndarray, rids: np.ndarray, ats: np.n
             if total >= TASK_BYTES:
                 flush()
     flush()
-    return out
+    return _union(out)
+
+
+def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans (rid, from, to) of each rid as maximal runs."""
+    if not spans:
+        return spans
+    rid, lo, hi = np.array(spans, np.int64).T
+    order = np.lexsort((lo, rid))
+    rid, lo, hi = rid[order], lo[order], hi[order]
+    text = np.cumsum(np.append(0, rid[1:] != rid[:-1]))
+    far = np.maximum.accumulate(text * (1 << 40) + hi)  # the largest end so far, of the text or one before it
+    first = np.flatnonzero(np.append(True, text[1:] * (1 << 40) + lo[1:] > far[:-1]))
+    ends = far[np.append(first[1:], len(far)) - 1] - text[first] * (1 << 40)
+    return list(zip(rid[first].tolist(), lo[first].tolist(), ends.tolist(), strict=True))
 
 
 def _joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -371,7 +385,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     reach = span - gram
 
     def mark(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for i, j in pieces(texts, 100_000):  # arrays that fit a CPU's cache
                 data = [t.encode("utf-8", "surrogatepass") for t in texts[i:j]]
@@ -381,7 +395,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
 
     def shrink(batches):
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             data = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             ids = [rid(a, t) for a, t in zip(b.column(0).to_pylist(), data, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array([z.compress(t) for t in data], pa.binary())], ["doc_id", "rid", "z"])
@@ -392,10 +406,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
             rows = []
             for z_text, want in zip(b["z"], b["want"], strict=True):
                 t = z.decompress(z_text)
-                rows.append([(w["key"], w["c"], w["rid"], w["at"], t[max(0, w["at"] - reach) : w["at"] + span]) for w in want])
-            flat = [x for r in rows for x in r]
-            if flat:
-                yield pd.DataFrame(flat, columns=["key", "c", "rid", "at", "context"])
+                rows += [(w["key"], w["c"], w["rid"], w["at"], t[max(0, w["at"] - reach) : w["at"] + span]) for w in want]
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["key", "c", "rid", "at", "context"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "c", "rid", "at", "context"])
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
         c, rid, at = (part[x].to_numpy(np.int64) for x in ("c", "rid", "at"))
