@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 #: Steps remembered by each worker (in two halves, the older of which goes when the younger is full).
 REMEMBER = 1 << 18
@@ -338,7 +338,7 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         e = encoder(path, _Digest(path))
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             counts, ids_sha, text_sha = [], [], []
             for t in texts:

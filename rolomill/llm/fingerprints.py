@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, unstage
+from .common import slices, stage, text_of, unstage
 from .minhash_dedup import linked_classes, shape
 from .shingles import MinHash, shingles, short
 
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
 
     def shrunk(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             packed = pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([slots(b.column(0)), b.column(0), b.column(1), packed], ["slot", "doc_id", "h", "z"])
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import odd
-from .common import pieces, text_of
+from .common import give_back, pieces, slices, text_of
 from .shingles import powers
 
 #: Bound of the training sample: so many documents of each label, those whose ids hash lowest; their whole texts are used.
@@ -196,7 +196,9 @@ class Crf:
         for h in (0, 1):
             for w, c in self._classes(seen[1 - h], words, 1).items():
                 other[h, vocab[w]] = c
-        flat, count = features(words)
+        some = [features(words[i : i + 4096]) for i in range(0, len(words), 4096)]
+        flat, count = np.concatenate([x.astype(np.uint16) for x, _ in some]), np.concatenate([n for _, n in some])
+        del some
         at = np.cumsum(count) - count
         seen_w, seen_t, seen_l = np.full(self.w.shape, 1e-6), np.full(self.t.shape, 1e-6), np.full(self.l.shape, 1e-6)
         for _ in range(EPOCHS):
@@ -316,7 +318,10 @@ def train(docs: DataFrame, each: int = TRAIN_EACH) -> Crf:
         found += [r for r in got if r.lang in done]
         share = {lang: min(1.0, 4 * s) for lang, s in share.items() if lang not in done}
     found.sort(key=lambda r: (r.nth, r.lang))
-    return Crf(sorted(n)).fit([r.text for r in found], [r.lang for r in found])
+    model = Crf(sorted(n)).fit([r.text for r in found], [r.lang for r in found])
+    del found
+    give_back()
+    return model
 
 
 def held_out(key: str = "doc_id"):
@@ -329,7 +334,7 @@ def identify(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text
 
     def run(batches):
         m = bare.copy()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             for i, j in pieces(texts, PIECE):
                 got = m.predict(texts[i:j])
@@ -345,7 +350,7 @@ def keep_identified(docs: DataFrame, model: Crf, least: float, text: str = "text
 
     def run(batches):
         m = bare.copy()
-        for b in batches:
+        for b in slices(batches):
             at, to = b.schema.get_field_index(text), b.schema.get_field_index(lang)
             texts = [x or "" for x in b.column(at).to_pylist()]
             got = [g for i, j in pieces(texts, PIECE) for g in m.predict(texts[i:j])]

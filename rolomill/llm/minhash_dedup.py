@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, pieces, small, stage, text_of, unstage
+from .common import batches_of, pieces, slices, small, stage, text_of, unstage
 from .graph import components
 from .shingles import MinHash, sets, shingles, short
 
@@ -55,7 +55,7 @@ def band_keys(sig, n_bands: int, rows: int):
 
 def _fingerprint(batches, minima):
     mh = MinHash(minima)
-    for b in batches:
+    for b in slices(batches):
         ids, texts = b.column(0), b.column(1).to_pylist()
         for i, j in pieces(texts):
             h, n = shingles(texts[i:j])
@@ -65,7 +65,7 @@ def _fingerprint(batches, minima):
 
 
 def _blobs(batches):
-    for b in batches:
+    for b in slices(batches):
         ids, texts = b.column(0), b.column(1).to_pylist()
         for i, j in pieces(texts):
             yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([x.tobytes() for x in sets(texts[i:j])], pa.binary())], ["rep", "blob"])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import slices, text_of
 
 #: Base kinds as listed by the contract, then the kinds that embed a checksum.
 KINDS = ["assign", "access", "hex", "github", "npm"]
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             for t in b.column(1).to_pylist():
                 s = find(t)
@@ -126,7 +126,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> Dat
     """docs with secrets in the text replaced by [kind] and n_chars, if there is such a column, set anew; null texts and all other columns stay as they are."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             i = b.schema.get_field_index(text)
             out = [t if t is None else redacted(t, find(t)) for t in b.column(i).to_pylist()]
             b = b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
