@@ -3,7 +3,7 @@
 1. Each document becomes ids plus an end id; one longer than the capacity is cut into full pieces behind a first one that takes the remainder.
 2. Pieces are range-sorted by length (longest first; ties by a hash), which gives every piece its rank among pieces of its length. Lengths are integers up to the
    capacity, so pieces of a length with neighbouring ranks, and gaps of a size in neighbouring sequences, form runs: a DataFrame with a row for each run.
-3. A superstep deals the runs out by ranges of size (from one power of two to the next). Each range is swept from small to large: a gap run is matched with the longest pieces that fit, so that a piece gets the smallest gap
+3. A superstep deals the runs out by ranges of size with about as many sizes each. Each range is swept from small to large: a gap run is matched with the longest pieces that fit, so that a piece gets the smallest gap
    among those that longer pieces leave; what finds no partner within its range meets in a last sweep. Conflicts are resolved by rank: of pieces
    that seek the same gaps the longest go first, then those of lower rank, and a gap run takes ranks one after another, so no two pieces claim one place. Matched gaps shrink (are
    updated), unmatched pieces and gaps are swept again in the next superstep, until no piece is left.
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, unstage
+from .common import slices, stage, text_of, unstage
 
 CAPACITY, END = 2048, 0
-#: A class has the lengths down to FALL of the class before; the lengths up to SHORT are one class.
-FALL, SHORT = 0.8, 12
+#: A class has the lengths down to FALL of the class before; the lengths up to SHORT are one class. Ranges of a superstep.
+FALL, SHORT, RANGES = 0.8, 12, 16
 PIECE, GAP, MATCH = 0, 1, 2
 #: Rows of runs: of pieces (length, first rank, how many), of gaps (size, first sequence, how many) and of matches (length, first rank, how many sequences; first sequence, pieces in each, offset).
 RUNS = "kind int, size int, first long, n long, sequence long, each long, offset long"
@@ -56,7 +56,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key:
 
     def run(batches):
         enc = _encoding(path)
-        for b in batches:
+        for b in slices(batches):
             keys, texts = b.column(0), b.column(1).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, t in enumerate(texts):
@@ -102,14 +102,15 @@ def sweep(runs: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out + [(PIECE, *w, 0, 0, 0) for w in waiting]
 
 
-def superstep(runs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Sweeps within ranges of size, then of what these leave; runs and result as in RUNS. Some thousand rows at most, whatever the input."""
+def superstep(runs: DataFrame, sizes: list[int], capacity: int = CAPACITY) -> DataFrame:
+    """Sweeps within ranges of size, then of what these leave; runs and result as in RUNS. Some thousand rows at most, whatever the input. sizes: those of the runs, sorted."""
 
     def swept(x: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(sweep(list(x[names].itertuples(index=False, name=None)), capacity), columns=names)
 
     names = runs.columns
-    local = runs.groupBy(F.floor(F.log2("size")).alias("range")).applyInPandas(swept, RUNS)
+    bounds = sizes[:: -(-len(sizes) // RANGES)]
+    local = runs.groupBy(sum((F.col("size") >= b).cast("int") for b in bounds).alias("range")).applyInPandas(swept, RUNS)
     return local.groupBy().applyInPandas(swept, RUNS)
 
 
@@ -132,7 +133,7 @@ def best_fit(pieces: DataFrame, counts: dict[int, int], capacity: int = CAPACITY
             runs.append(spark.createDataFrame([(GAP, capacity, opened, more, 0, 0, 0)], RUNS))
             opened += more
         if runs:
-            state = stage(superstep(reduce(DataFrame.unionAll, runs), capacity))
+            state = stage(superstep(reduce(DataFrame.unionAll, runs), sorted({*waiting, *gaps, capacity}), capacity))
             matches.append(state.where(F.col("kind") == MATCH))
             sums = state.where(F.col("kind") != MATCH).groupBy("kind", "size").agg(F.sum("n").alias("n")).collect()  # 2 * capacity rows at most
             gaps, waiting = ({r["size"]: r["n"] for r in sums if r["kind"] == kind} for kind in (GAP, PIECE))
