@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, language_id, licenses, minhash_dedup, packing, secret_scan, suffix_dedup, url_filter
+from . import bpe, exact_dedup, fingerprints, importance, language_id, licenses, minhash_dedup, packing, quality, secret_scan, suffix_dedup, url_filter, variants
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -63,13 +63,27 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_read(spark, sf_dir))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir)
+    model = quality.train(docs.where(~language_id.held_out()), _read(spark, sf_dir, "labels"), statistics=docs)
+    return quality.classify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_groups(_read(spark, sf_dir), every=97)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_license_scan, op4_packing, op5_secret_scan, op6_minhash_dedup, op7_exact_dedup, op8_suffix_dedup, op9_url_filter, op10_fingerprints, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_bpe, op3_license_scan, op4_packing, op5_secret_scan, op6_minhash_dedup, op7_exact_dedup, op8_suffix_dedup, op9_url_filter, op10_fingerprints, op11_importance, op12_quality, op13_variants, pipeline)}
 
 
 def _licenses_sql() -> str:
@@ -99,8 +113,70 @@ def _licenses_sql() -> str:
     """
 
 
+#: Of a recursive WITH: the table of crc32, one list in one row.
+_CRC_TABLE = """
+        step(i, k, c) as (select i, 0, i from range(256) r(i) union all select i, k + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from step where k < 8),
+        crc(t) as (select list(c order by i) from step where k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of a text's UTF-8 bytes, where crc is joined."""
+    octets = f"list_transform(range(0, length(hex(encode({text}))), 2), lambda i: ('0x' || substr(hex(encode({text})), i + 1, 2))::bigint)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295::bigint), 4294967295)"
+
+
+def _importance_sql() -> str:
+    words = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    return f"""
+        with recursive {_CRC_TABLE},
+        d as (select row_number() over () as r, doc_id, {words} as w from documents),
+        f as (select r, unnest(w) as w from d),
+        g as (select unnest({words}) as w from benchmark),
+        vocabulary as (select w from f union select w from g),
+        bucket as (select w, {_crc("w")} % {importance.BUCKETS} as b from vocabulary, crc),
+        s as (select b, count(*) as s from f join bucket using (w) group by b),
+        t as (select b, count(*) as t from g join bucket using (w) group by b),
+        sums as (select (select count(*) from f)::double as sum_s, (select count(*) from g)::double as sum_t),
+        gain as (select b, floor(1000 * ln((coalesce(t, 0) + 1) * (sum_s + {importance.BUCKETS}) / ((coalesce(s, 0) + 1) * (sum_t + {importance.BUCKETS}))))::bigint as gain
+            from s full join t using (b), sums),
+        weight as (select r, floor(sum(gain) / count(*)::double)::bigint as weight from f join bucket using (w) join gain using (b) group by r),
+        scored as (
+            select r, doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+                coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('{importance.SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+            from d left join weight using (r)),
+        ranked as (select r, row_number() over (order by score desc, doc_id nulls last) as rank, count(*) over () as n from scored where n_features >= {importance.LEAST_WORDS})
+        select doc_id, n_features, weight, score, case when rank <= {importance.PERCENT} * n // 100 then rank end as rank
+        from scored left join ranked using (r)
+    """
+
+
+def _variants_sql() -> str:
+    return f"""
+        with recursive {_CRC_TABLE},
+        runs as (select coalesce(doc_id::varchar, '') as k, translate(unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents),
+        counted as (select k, w, count(*) as n from runs group by all),
+        hashed as (select w, n, {_crc("k || ':' || w")} as h from counted, crc),
+        told as (select case when h % 97 = 0 then left(w, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from hashed),
+        words as (select word, sum(n)::bigint as n from told where length(word) >= {variants.LEAST_LENGTH} group by word having sum(n) >= {variants.LEAST_COUNT}),
+        less as (select word, i, left(word, i) || substr(word, i + 2) as d from (select word, unnest(range(length(word))) as i from words)),
+        near as (
+            select a.word, b.word as near from less a join less b on a.i = b.i and a.d = b.d and a.word <> b.word
+            union select less.word, words.word from less join words on words.word = d
+            union select words.word, less.word from less join words on words.word = d),
+        ranked as (select near.word, near, n, row_number() over (partition by near.word order by n desc, near) as nth, count(*) over (partition by near.word) as n_near from near join words on words.word = near),
+        formed as (
+            select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when r.n >= {variants.TIMES} * w.n then near end as form, case when r.n >= {variants.TIMES} * w.n then r.n end as form_n
+            from words w left join ranked r on r.word = w.word and nth = 1),
+        chain(word, top) as (select word, word from formed union all select chain.word, form from chain join formed on formed.word = top where form is not null)
+        select f.word, f.form, top as root, f.n, f.n_near, f.form_n
+        from formed f join chain c on c.word = f.word join formed l on l.word = top where l.form is null
+    """
+
+
 ORACLE_SQL = {
     "op3_license_scan": _licenses_sql(),
+    "op11_importance": _importance_sql(),
+    "op13_variants": _variants_sql(),
     "op7_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
