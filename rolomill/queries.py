@@ -534,10 +534,21 @@ def dedup_merged(spark, sf):
 
 @_query(_WITH + _pairs_sql() + _MIS.format(cand="cand") + " SELECT (SELECT count(*) FROM contacts) AS initial_count, (SELECT count(*) FROM cand) AS duplicate_candidates, (SELECT count(*) FROM ok) AS confirmed_duplicates, (SELECT count(*) FROM contacts) - (SELECT count(*) FROM gone) AS final_count")
 def dedup_stats(spark, sf):
-    df = _contacts(spark, sf)
-    pairs = dedup.stage(dedup.candidates(df))
-    ok = dedup.confirmed(pairs)
-    return dedup.stats(df, pairs, ok, dedup.merges(ok))
+    return dedup.stats(_contacts(spark, sf))
+
+
+def _groups_sql(table: str, score: float, reason: str, least: int = 1) -> str:
+    return f"SELECT '{reason}' AS reason, {score}::DOUBLE AS score, k AS value, min(row_id) AS representative, count(*) AS members, (count(*) * (count(*) - 1) // 2)::BIGINT AS links FROM {table} WHERE length(k) >= {least} GROUP BY k HAVING count(*) > 1"
+
+
+@_query(_WITH + _pairs_sql() + " " + " UNION ALL ".join(_groups_sql(*x) for x in (("e", 95.0, "email_match"), ("h", 90.0, "phone_match", 10), ("nm", 100.0, "name_match"))))
+def dedup_value_groups(spark, sf):
+    return dedup.value_groups(_contacts(spark, sf))
+
+
+@_query(_WITH + _pairs_sql() + ", c AS (SELECT k, min(row_id) AS r, count(*) AS n FROM nm GROUP BY k) SELECT a, b, score, x.r AS representative_a, y.r AS representative_b, x.n * y.n AS links FROM sim JOIN c x ON x.k = a JOIN c y ON y.k = b WHERE a < b AND score >= 75")
+def dedup_name_links(spark, sf):
+    return dedup.name_links(_contacts(spark, sf))
 
 
 # export and quality

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rolomill import queries
 from rolomill.functions import emails, pages, people
-from rolomill.operators import columns, dedup, enrich
+from rolomill.operators import columns, dedup, enrich, names
 from rolomill.plans.pipeline import Pipeline, PipelineConfig, standard_pipeline
 from rolomill.sources import files
 from rolomill.streaming import incremental
@@ -109,13 +109,101 @@ def test_lcs_lengths():
     assert people.lcs_lengths(a, b).tolist() == [people.lcs_length(x, y) for x, y in zip(a, b)]
 
 
-def test_similar_names_is_exact(spark):
-    rnd = random.Random(2)
-    names = ["".join(rnd.choices("abc d", k=rnd.randint(1, 12))) for _ in range(120)]
-    names = sorted(set(names))
-    want = {(a, b) for a in names for b in names if a < b and 200 * people.lcs_length(a, b) / (len(a) + len(b)) >= 75}
-    got = {(r.a, r.b) for r in dedup.similar_names(spark.createDataFrame([(i, x) for i, x in enumerate(names)], "row_id long, name string")).collect()}
-    assert got == want
+@pytest.mark.parametrize("least", [75, 90, 50])
+def test_similar_names_is_exact(spark, monkeypatch, least):
+    """All lengths from one letter on, repeated letters, letters beyond the Basic Plane, a NUL, long names by bands of lengths, and keys cut into tiles."""
+    rnd = random.Random(least)
+    near = lambda names: {(a, b, 200 * people.lcs_length(a, b) / (len(a) + len(b))) for a in names for b in names if a < b and 200 * people.lcs_length(a, b) >= least * (len(a) + len(b))}
+    for most, long, tiles in ((12, 60, 4_000_000), (12, 60, 20), (30, 8, 4_000_000)):
+        monkeypatch.setattr(names, "MOST", tiles)
+        monkeypatch.setattr(names, "TILE", 3)
+        some = {"".join(rnd.choices("abc d\u00e9\U0001f600\0", [9, 9, 9, 3, 9, 1, 1, 0.2], k=rnd.randint(1, most))) for _ in range(110)}
+        some |= {x[: rnd.randint(1, len(x))] + rnd.choice("abq") + x[rnd.randint(1, len(x)) :] for x in sorted(some)}
+        if most > 12:  # some names longer than LONG and than a machine word
+            some |= {(x * 9)[: rnd.randint(61, 90)] for x in sorted(some)[:20]}
+        got = [tuple(r) for r in names.similar(spark.createDataFrame([(x,) for x in [*some, *some, None, ""]], "name string"), least).select("a", "b", "score").collect()]
+        assert len(got) == len(set(got)) and {(a, b, round(s, 6)) for a, b, s in got} == {(a, b, round(s, 6)) for a, b, s in near(some)}
+    assert names.similar(spark.createDataFrame([], "name string"), least).count() == 0
+
+
+def test_bands_of_lengths(monkeypatch):
+    """Each length is in one band, and names that can be similar meet in some pair of bands."""
+    monkeypatch.setattr(names, "LONG", 10)
+    bands = sorted({names.band(n) for n in range(1, 200)})
+    assert all(b <= n <= names._last(b) for n in range(1, 200) for b in [names.band(n)])
+    for n in range(1, 200):
+        for m in range(n, 200):
+            if 200 * n >= 75 * (n + m):
+                x = {(s, t) for s, t, side, _ in names.meetings(n, bands, 75) if not side} & {(s, t) for s, t, side, _ in names.meetings(m, bands, 75) if side}
+                assert (names.band(n), names.band(m)) in x
+
+
+CONTACT = "row_id long, first_name string, last_name string, email string, phone string"
+
+
+def odd_contacts(n, rnd):
+    pick = lambda words, k: rnd.choice([None, "", *words[:k]])
+    return [(i, pick(["Ann", "Anne", "Bob", "Anna"], 4), pick(["Lee", "Lees", "Lea", "Stone"], 4), pick(["a@b.io", "A@b.io ", "c@d.io", "e@f.io"], 4), pick(["555-123-4567", "(555) 123 4567", "12"], 3)) for i in range(n)]
+
+
+def test_factorised_candidates_stand_for_all_pairs(spark):
+    """Counts from shared values and similar names equal those of the expanded pairs."""
+    rnd = random.Random(8)
+    for n in (0, 1, 12, 70):
+        df = spark.createDataFrame(odd_contacts(n, rnd), CONTACT)
+        pairs = dedup.candidates(df).collect()
+        ok = [r for r in pairs if r.score >= 90]
+        got = dedup.stats(df).first()
+        assert (got.initial_count, got.duplicate_candidates, got.confirmed_duplicates) == (n, len(pairs), len(ok))
+        parent = {}
+        for i, j in sorted((r.i, r.j) for r in ok):
+            if i not in parent and j not in parent:
+                parent[j] = i
+        assert got.final_count == n - len(parent)
+        assert {r.row_id: r.parent for r in dedup.removed(df).collect()} == parent
+        links = sum(r.links for r in dedup.value_groups(df).collect()) + sum(r.links for r in dedup.name_links(df).collect())
+        assert links == dedup.email_pairs(df).count() + dedup.phone_pairs(df).count() + dedup.name_pairs(df).count()
+
+
+def test_a_value_that_very_many_rows_share(spark):
+    """One email on 1,000,000 rows: one group, counts by formula, one survivor; the cap's first pairs without the others."""
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.lit("").alias("first_name"), F.lit("").alias("last_name"), F.lit("info@acme.io").alias("email"), F.lit(None).cast("string").alias("phone"))
+    assert [tuple(r) for r in dedup.value_groups(df).collect()] == [("email_match", 95.0, "info@acme.io", 0, n, n * (n - 1) // 2)]
+    assert tuple(dedup.stats(df).first()) == (n, n * (n - 1) // 2, n * (n - 1) // 2, 1)
+    assert [(r.i, r.j) for r in dedup.candidates(df, cap=50).orderBy("i", "j").collect()] == [(0, j) for j in range(1, 51)]
+
+
+def test_cap_keeps_the_first_pairs(spark):
+    rnd = random.Random(9)
+    df = spark.createDataFrame(odd_contacts(60, rnd), CONTACT)
+    every = sorted(tuple(r) for r in dedup.candidates(df, compat_nan=True).collect())
+    for cap in (1, 7, 100, 10_000):
+        assert sorted(tuple(r) for r in dedup.candidates(df, compat_nan=True, cap=cap).collect()) == every[:cap]
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 300,000 rows is contracted by pointer doubling in one round; others equal the greedy result."""
+    n, calls, forced = 300_000, [], dedup._forced
+    monkeypatch.setattr(dedup, "_forced", lambda *x: calls.append(1) or forced(*x))
+    chain = spark.range(n).select(F.col("id").alias("row_id"), F.explode(F.array(F.col("id"), F.col("id") + 1)).alias("grp")).withColumn("grp", F.col("grp").cast("string"))
+    got = dedup.resolve(chain)
+    assert got.agg(F.count("*"), F.min(F.col("row_id") % 2), F.min(F.col("row_id") - F.col("parent")), F.max(F.col("row_id") - F.col("parent"))).first() == (n // 2, 1, 1, 1)
+    assert len(calls) == 1
+    monkeypatch.setattr(dedup, "COMPONENT", 0)
+    rnd = random.Random(12)
+    for k in range(6):  # chains with branches, shared values and similar groups, ids in any order
+        ids = rnd.sample(range(1000), 60)
+        members = {(ids[i], f"g{i}") for i in range(60)} | {(ids[i + 1], f"g{i}") for i in range(59) if rnd.random() < 0.9} | {(rnd.choice(ids), f"g{rnd.randrange(60)}") for _ in range(k)}
+        near = [(f"g{rnd.randrange(60)}", f"g{rnd.randrange(60)}") for _ in range(k)]
+        rows = {g: [r for r, x in members if x == g] for _, g in members}
+        pairs = {(i, j) for g in rows.values() for i in g for j in g if i < j} | {(min(i, j), max(i, j)) for a, b in near for i in rows.get(a, ()) for j in rows.get(b, ()) if i != j}
+        parent = {}
+        for i, j in sorted(pairs):
+            if i not in parent and j not in parent:
+                parent[j] = i
+        got = dedup.resolve(spark.createDataFrame(sorted(members), "row_id long, grp string"), spark.createDataFrame(near, "a string, b string"))
+        assert {r.row_id: r.parent for r in got.collect()} == parent
 
 
 def test_masked_and_cloudflare(spark):
