@@ -15,6 +15,7 @@ The number of supersteps follows from the capacity (some 30 for 2048), that of r
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import reduce
 
@@ -34,6 +35,9 @@ PIECE, GAP, MATCH = 0, 1, 2
 RUNS = "kind int, size int, first long, n long, sequence long, each long, offset long"
 #: Fixed value: the public pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: Unicode's white space. The pattern's look-ahead can't take runs of some 600,000; longer texts are cut at runs of that many.
+_WHITE, _RUN, _LONG = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000, 100_000
+_LONG_RUN = re.compile(f"[{_WHITE}]{{{_RUN},}}")
 _encodings: dict = {}
 
 
@@ -51,6 +55,20 @@ def _encoding(path: str):
     return _encodings[path]
 
 
+def token_ids(enc, text: str) -> np.ndarray:
+    """The text's ids; special tokens in it count as such. Long runs of white space become the pre-tokens that the pattern makes of them: all of the run, less its last one if a word follows."""
+    if len(text) < _LONG:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    parts, at = [], 0
+    for m in _LONG_RUN.finditer(text):
+        start, end = m.span()
+        if end < len(text) and not any(text.startswith(x, end) for x in enc.special_tokens_set):
+            end -= 1
+        parts += enc.encode_to_numpy(text[at:start], allowed_special="all"), np.array(enc._encode_single_piece(text[start:end]), np.uint32)
+        at = end
+    return np.concatenate([*parts, enc.encode_to_numpy(text[at:], allowed_special="all")])
+
+
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece; the ids themselves are not kept."""
 
@@ -60,7 +78,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key:
             keys, texts = b.column(0), b.column(1).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [])
             for i, t in enumerate(texts):
-                ids = np.append(enc.encode_to_numpy(t, allowed_special="all"), np.uint32(END)).astype("<u4")
+                ids = np.append(token_ids(enc, t), np.uint32(END)).astype("<u4")
                 n = len(ids)
                 first = (n - 1) % capacity + 1
                 for k, at in enumerate([0, *range(first, n, capacity)]):
