@@ -2,7 +2,8 @@
 
 A rule is (host, path, verdict). It fits its host and all subdomains if the path starts with the rule's; of the fitting rules the one with
 the longest host + path wins. Pages are aliases if connected by edges url -> target, where the target stands in the page's
-<link rel="canonical" href=...> or <meta http-equiv="refresh" content="...url=...">, in any number of such tags, resolved against the page's URL. A page without a rule is blocked if a page or target of its
+<link rel="... canonical ..." href=...> or <meta http-equiv="refresh" content="...url=...">, in any number of such tags, resolved against the page's <base href=...> or URL. Comments, scripts,
+styles and other raw text hold no tags, attributes are read by their whole names, and the first of equal ones counts. A page without a rule is blocked if a page or target of its
 component is blocked by a rule; a page's own allow rule takes precedence over whatever its aliases have.
 """
 
@@ -92,19 +93,42 @@ def resolved(url: Column, target: Column) -> Column:
     return _let(F.regexp_replace(target, "(?s)#.*$", ""), full)
 
 
+#: What a page consists of besides text: comments, elements whose content is no markup, tags. A > ends a tag unless it stands in a quoted value (one of the first 200: deeper loops could exhaust the stack).
+_MARKUP = (
+    r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style|title|textarea|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\z)"
+    r"|<[a-z/!?][^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')?+[^>=]*+){0,200}+[^>]*+>"
+)
+#: An attribute, each directly behind the one before: the matches end where the tag does.
+_ATTRIBUTE = r"(?s)\G[\s/]*+([^\s=>/][^\s=>/]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute of that name of a tag without its <name, null if there is none."""
+    names, values = (F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(k)) for k in (1, 2))
+    own = F.filter(F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("n"), v.alias("v"))), lambda x: x["n"] == name)
+    return F.regexp_replace(F.get(own, F.lit(0))["v"], r"(?s)^[\"']?\s*(.*?)\s*[\"']?$", "$1")
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): nodes of url and of what the page's HTML declares as its canonical or redirect targets, by all such tags."""
     html = F.coalesce(F.col("html"), F.lit(""))
-
-    def targets(tag, attribute):
-        return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda x: F.regexp_extract(x, attribute, 1))
-
-    links = targets(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
-    metas = targets(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     some = F.lower(html).rlike("canonical|refresh")
-    e = pages.where(some & F.col("url").contains("://")).select("url", F.explode(F.concat(links, metas)).alias("t")).where("t != ''")
-    e = stage(e.select("url", decoded(F.col("t")).alias("t")))  # staged, as the optimizer would put each step into every condition on its result
-    e = e.select("url", resolved(F.col("url"), F.col("t")).alias("t")).where("t is not null")
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_MARKUP), F.lit(0)), lambda x: x.rlike(r"(?i)^<(link|meta|base)[\s/>]"))
+    # staged twice, as the optimizer would put each step into every condition on its result
+    p = stage(pages.where(some & F.col("url").contains("://")).select("url", tags.alias("tags")).where("size(tags) > 0"))
+
+    def target(tag):
+        kind, rest = F.lower(F.regexp_extract(tag, r"^<([A-Za-z]+)", 1)), F.regexp_replace(tag, r"^<[A-Za-z]+", "")
+        link = F.when(F.array_contains(F.split(F.lower(_attribute(rest, "rel")), r"\s+"), "canonical"), _attribute(rest, "href"))
+        goes = F.regexp_extract(_attribute(rest, "content"), r"(?is)^(?:[0-9.]*\s*[;,]?\s*url\s*=|[0-9.]+\s*[;,])\s*(?:\"([^\"]*)|'([^']*)|([^\"'].*))", 0)
+        goes = F.regexp_replace(goes, r"(?is)^[0-9.]*\s*[;,]?\s*(?:url\s*=)?\s*[\"']?\s*|\s+$", "")
+        return F.when(kind == "link", link).when((kind == "meta") & (F.lower(_attribute(rest, "http-equiv")) == "refresh"), goes)
+
+    bases = F.filter(F.transform(F.filter("tags", lambda x: x.rlike("(?i)^<base")), lambda x: _attribute(F.regexp_replace(x, r"^<[A-Za-z]+", ""), "href")), lambda x: x.isNotNull())
+    e = p.select("url", decoded(F.get(bases, F.lit(0))).alias("base"), F.explode(F.transform("tags", target)).alias("t")).where("t != ''")
+    e = stage(e.select("url", "base", decoded(F.col("t")).alias("t")))
+    e = stage(e.select("url", F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url")).alias("base"), "t"))
+    e = e.select("url", resolved(F.col("base"), F.col("t")).alias("t")).where("t is not null")
     return stage(e.select(node_of(F.col("url")).alias("a"), node_of(F.col("t")).alias("b")))
 
 
