@@ -100,7 +100,13 @@ def _linked(batches, percent):
 
 
 def _met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """pairs (a, b) with the column of table (rep, column) for both, as ba and bb. a may have very many pairs: then it is there once for each PARTNERS of them."""
+    """pairs (a, b), in either order, with the column of table (rep, column) for both, as ba and bb. The one with more pairs becomes a, which is there once for each PARTNERS of its pairs."""
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS)
+    degree = stage(degree)
+    if degree.take(1):
+        of = lambda c: small(degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")))
+        turn = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS)
     many = stage(many.select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")))
     cut = pairs.join(small(many), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts")
@@ -124,7 +130,7 @@ def _bound(m1, n1, m2, n2, percent):
     return 100 * m >= percent * (n1 + n2 - m)
 
 
-def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) -> tuple[DataFrame, DataFrame]:
+def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) -> tuple[DataFrame, tuple[DataFrame, ...]]:
     """(rep, rep2), and what to unstage after use, of different components that may be links; rest: rep, n, comp. No link between components is left out.
 
     Shingles are put in one order, those of the fewest documents first. A link shares a shingle within the first n - ceil(n percent / 100) + 1 of both sets, and
@@ -137,9 +143,13 @@ def _rare_pairs(rest: DataFrame, blobs: DataFrame, kind: str, percent: float) ->
     s = s.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy("c", "s")) - 1)
     s = stage(s.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100))).select("s", "rep", "n", "comp", "at"))
     unstage(every)
-    other = s.select("s", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "comp", "at")))
+    # whether two rows may link by size and place depends on their (n, at) alone: these meet first, so a shingle that very many rows share at places that can't link makes no pairs
+    kinds = stage(s.groupBy("s", "n", "at").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    other = kinds.select("s", *(F.col(c).alias(f"{c}2") for c in ("n", "at", "lo", "hi")))
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
-    return s.join(other, "s").where((F.col("comp") < F.col("comp2")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))), s
+    may = kinds.join(other, "s").where(((100 + percent) * most >= percent * (F.col("n") + F.col("n2"))) & ~((F.col("lo") == F.col("hi2")) & (F.col("lo2") == F.col("hi")))).select("s", "n", "at", "n2", "at2")
+    second = s.select("s", F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("rep").alias("rep2"), F.col("comp").alias("comp2"))
+    return s.join(may, ["s", "n", "at"]).join(second, ["s", "n2", "at2"]).where("comp < comp2"), (s, kinds)
 
 
 def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: tuple[int, int]) -> tuple[DataFrame, ...]:
@@ -176,7 +186,7 @@ def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: t
     rest = stage(mc.join(split, "key").select("rep", "n", "comp").distinct())
     more, rare = _rare_pairs(rest, blobs, kind, percent)
     more = stage(more.select(*pair("rep", "rep2")).distinct().join(tried.select(*pair("a", "b")), ["a", "b"], "left_anti"))
-    unstage(rare)
+    unstage(*rare)
     links = stage(links.unionAll(_confirm(more, sigs, blobs, percent, least)).select(*pair("a", "b")).distinct())
     unstage(reps, members, cands, blobs, live, tried, comp, rest, more)
     out = meta.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
