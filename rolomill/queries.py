@@ -13,7 +13,7 @@ from .operators import columns, consolidate, dedup, enrich, export, quality
 from .operators.enrich import SKIPPED_URLS
 from .plans.staging import shared_dir
 from .schema import APOLLO, FIELDS, HEADERS, HUBSPOT, QUALITY, VALUABLE
-from .sources import files
+from .sources import files, workbooks
 from .sources.contacts import contacts_raw, contacts_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -413,6 +413,36 @@ def header_pick(spark, sf):
     return columns.header_pick(_grid(spark))
 
 
+# workbooks: the contacts in books of up to 20,000 rows, a sheet for each source, read again sheet by sheet
+
+_BOOK = 20_000
+
+
+def _write_books(spark, sf, folder: str) -> None:
+    def write(part):
+        out, at = workbooks.opened(folder)
+        out.create_dir(at)
+        sheets = {f"s{k}": [["id", "name", None, "email"], *([str(r.row_id), r.name, None, r.email] for r in rows.itertuples())] for k, rows in part.sort_values("row_id").groupby("sheet")}
+        with out.open_output_stream(f"{at}/book{part['book'].iloc[0]}.xlsx") as f:
+            f.write(workbooks.workbook(sheets))
+        return part[["book"]].head(1)
+
+    c = contacts_raw(spark, sf).selectExpr("row_id", "first_name || ' & ' || last_name AS name", "email", "row_id % 3 AS sheet", f"row_id div {_BOOK} AS book")
+    c.groupBy("book").applyInPandas(lambda x: write(x.astype(object).where(x.notna(), None)), "book long").count()
+
+
+@_query(
+    f"WITH c AS (SELECT row_id, first_name || ' & ' || last_name AS name, email, row_id % 3 AS s, row_id // {_BOOK} AS book FROM ({contacts_sql()})), "
+    "r AS (SELECT book, 's' || s AS sheet, row_number() OVER (PARTITION BY book, s ORDER BY row_id) AS row_idx, row_id::VARCHAR AS id, name, email FROM c UNION ALL SELECT DISTINCT book, 's' || s, 0, 'id', 'name', 'email' FROM c) SELECT * FROM r"
+)
+def workbook_cells(spark, sf):
+    folder = f"{shared_dir(spark)}/books-{uuid.uuid4().hex}"
+    _write_books(spark, sf, folder)
+    spark.dataSource.register(workbooks.WorkbookSource)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return spark.read.format("workbook").load(folder).select(F.regexp_extract("file", r"book(\d+)\.xlsx$", 1).cast("long").alias("book"), "sheet", "row_idx", cell(0).alias("id"), cell(1).alias("name"), cell(3).alias("email"))
+
+
 # files: the contacts, written as one CSV file for each source with a line above the header, and read again
 
 

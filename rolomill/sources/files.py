@@ -1,7 +1,7 @@
 """File sources and sinks: discovery, CSV and workbook cells of unknown headers, CSV and JSON output.
 
-Cells are read as text, (file, sheet, row_idx, cells); files are read where they are, by the executors: workbooks and CSV files of up to SPLIT bytes one file at a time, larger CSV files
-in splits, line by line. A file that can't be read is listed with its error.
+Cells are read as text, (file, sheet, row_idx, cells); files are read where they are, by the executors: workbooks sheet by sheet (see workbooks), CSV files of up to SPLIT bytes one file at a
+time, larger CSV files in splits, line by line. A file that can't be read is listed with its error.
 """
 
 from __future__ import annotations
@@ -9,23 +9,17 @@ from __future__ import annotations
 import csv
 import io
 import json
-import re
-import zipfile
-from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.columns import read_names
 from ..plans.staging import stage
+from . import workbooks
 
-SUFFIXES = (".csv", ".xlsx", ".xls")
-CELLS = "file string, sheet string, row_idx long, cells array<string>"
 #: CSV files of more bytes are read in splits, unless a line of theirs has an open quote or isn't UTF-8.
 SPLIT = 64 << 20
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,50 +28,11 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return f.where(F.lower("path").rlike(r"\.(csv|xlsx|xls)$")).select("path", "length").orderBy("path")
 
 
-def sheet_name(name: str) -> str:
-    """Letters, digits, space, - and _ stay."""
-    return "".join(c for c in name if c.isalnum() or c in " -_").rstrip()
-
-
 def csv_cells(content: bytes) -> list[list[str | None]]:
     """Rows of a UTF-8 file, blank lines skipped; not UTF-8 raises."""
     return [[c if c != "" else None for c in row] for row in csv.reader(io.StringIO(content.decode("utf-8-sig"))) if row]
 
 
-def xlsx_sheets(content: bytes) -> list[tuple[str, list[list[str | None]]]]:
-    """(sheet, rows) of a workbook, read with the standard library."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        text = lambda e: "".join(t.text or "" for t in e.iter(f"{{{_NS['m']}}}t"))
-        shared = [text(s) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)] if "xl/sharedStrings.xml" in z.namelist() else []
-        to = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", _NS):
-            target = to[s.get(_REL)].lstrip("/")
-            rows = []
-            for r in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iterfind("m:sheetData/m:row", _NS):
-                row: list[str | None] = []
-                for c in r.iterfind("m:c", _NS):
-                    at = 0
-                    for ch in re.match("[A-Z]*", c.get("r", ""))[0]:
-                        at = at * 26 + ord(ch) - 64
-                    row += [None] * (at - 1 - len(row))
-                    v = c.find("m:v", _NS)
-                    kind = c.get("t")
-                    row.append(text(c) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text)
-                if any(x is not None for x in row):
-                    rows.append(row)
-            out.append((s.get("name"), rows))
-        return out
-
-
-def _read(path: str, content: bytes) -> list[tuple[str, str, int, list]]:
-    low = path.lower()
-    if low.endswith(".xls"):
-        raise ValueError(f"{path}: the old workbook format isn't supported; save it as .xlsx or .csv")
-    sheets = [("", csv_cells(content))] if low.endswith(".csv") else xlsx_sheets(content)
-    return [(path, sheet_name(s), i, row) for s, rows in sheets for i, row in enumerate(rows)]
-
-
 def _lines(spark: SparkSession, folder: str, over: int) -> DataFrame:
     """(file, block, nth, cells, odd) of the lines of CSV files of more than over bytes; nth counts a split's lines, odd marks those that tell that the file can't be read in splits."""
     f = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder)
@@ -100,28 +55,40 @@ def _lines(spark: SparkSession, folder: str, over: int) -> DataFrame:
     return f.mapInPandas(run, "file string, block long, nth long, cells array<string>, odd boolean")
 
 
-def load(spark: SparkSession, folder: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
-    """(cells, failed) of all files below folder, read once and staged. failed: (file, error). Empty sheets have no rows."""
+def _whole(batches):
+    """Rows of ROWS from whole files: CSV, and workbooks of stores that only Spark reads, in batches."""
+    for b in batches:
+        for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            low = path.lower()
+            try:
+                if low.endswith(".xls"):
+                    raise ValueError(f"{path}: the old workbook format isn't supported; save it as .xlsx or .csv")
+                stream = pa.BufferReader(content.as_buffer())
+                yield from workbooks.workbook_batches(path, stream) if low.endswith(".xlsx") else workbooks.batches(path, "", iter(csv_cells(stream.read())))
+            except Exception as e:  # whatever is wrong with the file, it is listed
+                yield workbooks.batch(path, "", 0, [None], f"{type(e).__name__}: {e}")
 
-    def run(batches):
-        for b in batches:
-            for path, content in zip(b["path"], b["content"], strict=True):
-                try:
-                    rows = [(*r, None) for r in _read(path, content)]
-                except Exception as e:  # whatever is wrong with the file, it is listed
-                    rows = [(path, "", 0, None, f"{type(e).__name__}: {e}")]
-                yield pd.DataFrame(rows, columns=["file", "sheet", "row_idx", "cells", "error"])
-
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(r"\.(csv|xlsx|xls)$"))
+
+def load(spark: SparkSession, folder: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """(cells, failed) of all files below folder, read once and staged. failed: (file, error). Empty sheets have no rows; of a file that fails none counts."""
+    try:
+        books = workbooks.listed(folder)
+        spark.dataSource.register(workbooks.WorkbookSource)
+        sheets = spark.read.format("workbook").load(folder) if books else None
+        suffixes = r"\.(csv|xls)$"
+    except (pa.ArrowInvalid, OSError):  # no file system that Arrow opens
+        sheets, suffixes = None, r"\.(csv|xlsx|xls)$"
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.lower("path").rlike(suffixes))
     lines = _lines(spark, folder, split)
     parts = stage(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.max("odd").alias("odd")))  # a row for each split
     whole = parts.groupBy("file").agg(F.max("odd").alias("odd"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offset = parts.withColumn("before", before).join(whole.where("not odd").select("file"), "file").select("file", "block", "before")
     cut = lines.join(offset, ["file", "block"]).select("file", F.lit("").alias("sheet"), (F.col("before") + F.col("nth")).alias("row_idx"), "cells", F.lit(None).cast("string").alias("error"))
-    entire = f.join(whole.where("not odd").select(F.col("file").alias("path")), "path", "left_anti").select("path", "content").mapInPandas(run, CELLS + ", error string")
-    every = stage(entire.unionAll(cut))
-    return every.where("error is null").drop("error"), every.where("error is not null").select("file", "error")
+    entire = f.join(whole.where("not odd").select(F.col("file").alias("path")), "path", "left_anti").select("path", "content").mapInArrow(_whole, workbooks.ROWS)
+    every = stage(entire.unionAll(cut) if sheets is None else entire.unionAll(cut).unionAll(sheets))
+    failed = stage(every.where("error is not null").groupBy("file").agg(F.min("error").alias("error")))
+    return every.join(failed, "file", "left_anti").select("file", "sheet", "row_idx", "cells"), failed
 
 
 def read_cells(spark: SparkSession, folder: str, failed: str = "skip") -> DataFrame:
@@ -132,15 +99,9 @@ def read_cells(spark: SparkSession, folder: str, failed: str = "skip") -> DataFr
     return cells
 
 
-def with_header(cells: DataFrame, header: list[str], header_row: int) -> DataFrame:
-    """A table of text columns from the rows after header_row, with row_id; repeated names get .1, .2, blank ones Unnamed: k."""
-    rows = cells.where(F.col("row_idx") > header_row)
-    return rows.select((F.col("row_idx") - header_row - 1).alias("row_id"), *(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(read_names(header))))
-
-
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """UTF-8 with header; one_file only for the final hand-over to another system."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """UTF-8 with header, a file for each task. one_file only for the hand-over to a system that asks for it: rows are shuffled into one writer, what makes them stays parallel."""
+    (df.repartition(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

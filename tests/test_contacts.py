@@ -14,7 +14,7 @@ from rolomill import queries
 from rolomill.functions import emails, pages, people
 from rolomill.operators import columns, dedup, enrich, names
 from rolomill.plans.pipeline import Pipeline, PipelineConfig, standard_pipeline
-from rolomill.sources import files
+from rolomill.sources import files, workbooks
 from rolomill.streaming import incremental
 
 
@@ -223,6 +223,53 @@ def workbook() -> bytes:
     return out.getvalue()
 
 
+def test_workbook_source(spark, tmp_path, monkeypatch):
+    """A partition a sheet; empty cells, sheets and rows, many columns, formatted runs, a broken file, a broken sheet and a folder without workbooks."""
+    wide = [None] * 30 + ["last"]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.XLSX").write_bytes(workbooks.workbook({"P/1 <é>": [["a", None, " b & <c> "], [None, None], wide], "none": [], "two": [[str(i), "x"] for i in range(12_000)]}))
+    (tmp_path / "shared.xlsx").write_bytes(workbook())
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    broken = io.BytesIO(workbooks.workbook({"good": [["1"]], "cut": [["2"]]}))
+    with zipfile.ZipFile(broken, "a") as z:
+        z.writestr("xl/worksheets/sheet2.xml", "<worksheet><sheetData>")
+    (tmp_path / "broken.xlsx").write_bytes(broken.getvalue())
+    spark.dataSource.register(workbooks.WorkbookSource)
+    for folder in (str(tmp_path), "file://" + str(tmp_path)):
+        df = spark.read.format("workbook").load(folder)
+        rows = [(r.file.rsplit("/")[-1], r.sheet, r.row_idx, r.cells) for r in df.where("error is null").orderBy("file", "sheet", "row_idx").collect()]
+        assert [r for r in rows if r[1] != "two" and r[1] != "good"] == [("one.XLSX", "P1 é", 0, ["a", None, " b & <c> "]), ("one.XLSX", "P1 é", 1, wide), ("shared.xlsx", "P1", 0, ["First Name", None, "Email"]), ("shared.xlsx", "P1", 1, ["Ann", None, "7"])]
+        assert [r[2:] for r in rows if r[1] == "two"] == [(i, [str(i), "x"]) for i in range(12_000)]
+        assert {r.file.rsplit("/")[-1] for r in df.where("error is not null").collect()} == {"bad.xlsx", "broken.xlsx"}
+        assert df.rdd.getNumPartitions() >= 6
+    cells, failed = files.load(spark, str(tmp_path))
+    assert {r.file.rsplit("/")[-1] for r in failed.collect()} == {"bad.xlsx", "broken.xlsx"} and cells.where("file like '%broken%'").count() == 0
+    by_source = sorted(map(repr, cells.collect()))
+
+    def unknown(folder):
+        raise workbooks.pa.ArrowInvalid("no file system")
+
+    monkeypatch.setattr(workbooks, "listed", unknown)  # a store that only Spark reads
+    assert sorted(map(repr, files.load(spark, str(tmp_path))[0].collect())) == by_source
+    (tmp_path / "empty").mkdir()
+    monkeypatch.undo()
+    assert spark.read.format("workbook").load(str(tmp_path / "empty")).count() == 0
+
+
+def test_a_long_sheet_in_little_memory(tmp_path):
+    """Rows come one after another: 50,000 of them need no more memory than a batch."""
+    import tracemalloc
+
+    (tmp_path / "long.xlsx").write_bytes(workbooks.workbook({"s": [[str(i), "some text", "more text " * 3] for i in range(50_000)]}))
+    reader = workbooks.WorkbookReader(str(tmp_path))
+    (sheet,) = reader.partitions()
+    tracemalloc.start()
+    n = sum(b.num_rows for b in reader.read(sheet))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 50_000 and peak < 20e6
+
+
 def test_files_and_pipeline(spark, tmp_path):
     src = tmp_path / "in" / "deep"
     src.mkdir(parents=True)
