@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import emails
 from ..functions.pages import page_parts
 from ..functions.text import collapse, trim_all
+from .search import words
 
 #: Parts of URLs that are left out; addresses of nobody in particular; what a search term doesn't say; longest text of a page, and of the pages of a contact; pages of a contact.
 SKIPPED_URLS = ["javascript:", "mailto:", "tel:", "ftp:", "youtube.com", "facebook.com", "twitter.com", "instagram.com", "pinterest.com", "tiktok.com", "reddit.com", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".rar", ".tar", ".gz"]
@@ -27,27 +28,27 @@ def page_emails(html: Column) -> Column:
     return page_parts(html)["emails"]
 
 
-def pages(df: DataFrame) -> DataFrame:
-    """page_id, url, title, text (its first TEXT_LIMIT characters), emails; each page is parsed once."""
+def pages(df: DataFrame, limit: int | None = TEXT_LIMIT) -> DataFrame:
+    """page_id, url, title, text (its first limit characters, or all), emails; each page is parsed once."""
     p = df.select("page_id", "url", page_parts(F.col("html")).alias("p"))
-    return p.select("page_id", "url", "p.title", F.substring("p.text", 1, TEXT_LIMIT).alias("text"), "p.emails")
+    return p.select("page_id", "url", "p.title", (F.col("p.text") if limit is None else F.substring("p.text", 1, limit)).alias("text"), "p.emails")
 
 
-def linked_pages(contacts: DataFrame, pages_: DataFrame, most: int = PAGES_LIMIT) -> DataFrame:
-    """(row_id, page_id, url, html): for each contact the first most pages, by page_id, whose main text has the contact's first and last name as neighbouring words.
+def linked_pages(contacts: DataFrame, parsed: DataFrame, most: int = PAGES_LIMIT) -> DataFrame:
+    """(row_id, page_id): for each contact the first most pages, by page_id, whose main text has the contact's first and last name as neighbouring words. parsed: page_id, text, as pages() gives them.
 
     Word pairs of all pages meet the names that contacts have; a name keeps its first pages before they meet its contacts, so a common name multiplies nothing. Names of more than two words
     count with their first and last word; contacts without both names are linked with nothing.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    w = lambda c: words(F.coalesce(F.col(c), F.lit("")))
-    key = F.concat_ws(" ", F.get(w("first_name"), F.lit(0)), F.try_element_at(w("last_name"), F.lit(-1)))
-    named = contacts.select("row_id", F.when((F.size(w("first_name")) > 0) & (F.size(w("last_name")) > 0), key).alias("name")).where("name is not null")
-    t = pages_.select("page_id", words(page_text(F.col("html"))).alias("w"))
-    pairs = t.select("page_id", F.explode(F.array_distinct(F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))).alias("name"))
+    f, l = words(F.col("first_name")), words(F.col("last_name"))
+    key = F.concat_ws(" ", F.get(f, F.lit(0)), F.try_element_at(l, F.lit(-1)))
+    named = contacts.select("row_id", F.when((F.size(f) > 0) & (F.size(l) > 0), key).alias("name")).where("name is not null")
+    w = F.col("w")
+    beside = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = parsed.select("page_id", words(F.col("text")).alias("w")).select("page_id", F.explode(F.array_distinct(beside)).alias("name"))
     met = pairs.join(named.select("name").distinct(), "name", "left_semi")
     first = met.withColumn("nth", F.row_number().over(Window.partitionBy("name").orderBy("page_id"))).where(F.col("nth") <= most).select("name", "page_id")
-    return named.join(first, "name").join(pages_.select("page_id", "url", "html"), "page_id").select("row_id", "page_id", "url", "html")
+    return named.join(first, "name").select("row_id", "page_id")
 
 
 def url_ok(c: Column) -> Column:

@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import columns, consolidate, dedup, enrich, export
-from ..sources import files
+from ..operators import columns, consolidate, dedup, enrich, export, search
+from ..sources import files, manifest
 from .staging import stage
 
 
@@ -27,8 +28,12 @@ class PipelineConfig:
     max_candidates: int | None = None
     #: Optional hook: (headers, first rows) -> column mapping, or a text with it (columns.parse_reply); None or an empty answer means the deterministic rules.
     map_hook: Callable[[list[str], list[list[str | None]]], dict[str, str] | str | None] | None = None
-    #: (row_id, html), or (page_id, url, html) to be linked with contacts by their names.
+    #: (row_id, html), or (page_id, url, html) to be linked with contacts.
     pages: DataFrame | None = None
+    #: How pages are linked: by names (first and last name as neighbours), or by search (names and company, best pages first).
+    find: str = "names"
+    #: Whether each export is one file.
+    one_file: bool = False
 
 
 @dataclass
@@ -117,36 +122,49 @@ def _convert(ctx: Context) -> DataFrame:
     return cells
 
 
-def _hooked(heads: DataFrame, cells: DataFrame, hook) -> tuple[DataFrame, list[float]]:
-    """(sheet, col_name, target) where the hook has an answer, and its quality scores. The hook sees names and first rows of each sheet on the driver."""
-    names = {r.sheet: list(r.names) for r in heads.collect()}  # a row for each sheet
-    rows: dict[str, dict[int, list]] = {}
-    for r in cells.where(F.col("row_id") < columns.SAMPLES).collect():
-        rows.setdefault(r.sheet, {}).setdefault(r.row_id, [None] * len(names[r.sheet]))[r.pos] = r.value
-    out, scores = [], []
-    for sheet, cols in names.items():
-        mapping, score = columns.parse_reply(hook(cols, [x for _, x in sorted(rows.get(sheet, {}).items())]))
-        out += [(sheet, c, t) for c, t in mapping.items() if c in cols]
-        scores += [score] if score is not None else []
-    return cells.sparkSession.createDataFrame(out, "sheet string, col_name string, target string"), scores
+def _hooked(heads: DataFrame, cells: DataFrame, hook) -> tuple[DataFrame, DataFrame]:
+    """(sheet, col_name, target) where the hook has an answer, and (sheet, score) where it gives one.
+
+    Sheets with equal names of columns are asked for once, with the first rows of the first of them; tasks call the hook, so it must be serialisable.
+    """
+    marked = stage(heads.select("sheet", "names", F.sha2(F.to_json(F.struct("names")), 256).alias("mark")))
+    first = marked.groupBy("mark").agg(F.min_by("names", "sheet").alias("names"), F.min("sheet").alias("sheet"))
+    rows = cells.where(F.col("row_id") < columns.SAMPLES).groupBy("sheet", "row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("cells"))
+    rows = rows.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row_id", "cells"))).alias("rows"))  # SAMPLES rows of a sheet
+
+    def ask(batches):
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [])
+            for mark, names, first_rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                mapping, score = columns.parse_reply(hook(names, [[c["value"] for c in r["cells"]] for r in first_rows or []]))
+                for x, v in zip(out, (mark, [(c, t) for c, t in mapping.items() if c in names], score), strict=True):
+                    x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.map_(pa.string(), pa.string())), pa.array(out[2], pa.float64())], ["mark", "mapping", "score"])
+
+    asked = first.join(rows, "sheet", "left").select("mark", "names", "rows")
+    answers = stage(asked.mapInArrow(ask, "mark string, mapping map<string,string>, score double"))
+    told = marked.select("sheet", "mark").join(answers, "mark")
+    return told.select("sheet", F.explode("mapping").alias("col_name", "target")), told.where("score is not null").select("sheet", "score")
 
 
 def _map_sheets(ctx: Context) -> DataFrame:
-    """(sheet, row_id, eight fields) of all sheets. Headers, profiles and mappings of all sheets are found together; only a mapping hook works sheet by sheet."""
+    """(sheet, row_id, eight fields) of all sheets. Headers, profiles and mappings of all sheets are found together."""
     grid = ctx["convert"].select(F.concat_ws("#", "file", F.when(F.col("sheet") != "", F.col("sheet"))).alias("sheet"), "row_idx", "cells")
     heads = stage(columns.headers(grid))
     n = heads.count()
     cells = columns.table_cells(grid, heads, n)
-    by, scores = ("sheet",), []
+    by, scored = ("sheet",), None
     mapping = columns.map_columns(cells, by)
     if ctx.config.map_hook:
         told, scores = _hooked(heads, cells, ctx.config.map_hook)
+        scored = scores.agg(F.count("*").alias("n"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("total")).first()
         told = columns.valid_mapping(told)
         mapping = told.unionByName(mapping.join(told.select("sheet").distinct(), "sheet", "left_anti"))
     mapping = stage(columns.valid_mapping(mapping))
     chosen = stage(columns.best_columns(columns.column_quality(cells, mapping, by), by))
     # a sheet that the rules map counts RULES
-    ctx.counts |= {"sheets": n, "data_quality_score": (sum(scores) + RULES * (n - len(scores))) / max(1, n)}
+    told_n, total = (scored.n, scored.total) if scored else (0, 0.0)
+    ctx.counts |= {"sheets": n, "data_quality_score": (total + RULES * (n - told_n)) / max(1, n)}
     return columns.standardize_sheets(grid, heads, chosen, n)
 
 
@@ -170,21 +188,30 @@ def _dedup(ctx: Context) -> DataFrame:
 
 
 def _enrich(ctx: Context) -> DataFrame:
-    df, pages = ctx["dedup"], ctx.config.pages
+    """Each page is parsed once, before it meets contacts: text and addresses move, not HTML. Staged, as every export reads it."""
+    df, pages, c = ctx["dedup"], ctx.config.pages, ctx.config
     if pages is None:
         return df
-    pages = pages if "row_id" in pages.columns else enrich.linked_pages(df, pages)
-    found = pages.select("row_id", F.explode_outer(enrich.page_emails(F.col("html"))).alias("e")).groupBy("row_id").agg(F.array_sort(F.collect_set("e")).alias("emails"))
+    if "row_id" in pages.columns:
+        found = pages.select("row_id", enrich.page_emails(F.col("html")).alias("emails"))
+    else:
+        parsed = stage(enrich.pages(pages, limit=None))
+        linked = search.search(df, parsed) if c.find == "search" else enrich.linked_pages(df, parsed)
+        found = linked.select("row_id", "page_id").join(parsed.where("size(emails) > 0").select("page_id", "emails"), "page_id")
+    found = found.select("row_id", F.explode("emails").alias("e")).groupBy("row_id").agg(F.array_sort(F.collect_set("e")).alias("emails"))
     found = found.join(df.select("row_id", "first_name", "last_name"), "row_id").select("row_id", enrich.best_email(F.col("emails"), F.col("first_name"), F.col("last_name")).alias("new_email"))
-    return enrich.update_emails(df, found)
+    return stage(enrich.update_emails(df, found))
 
 
 def _export(ctx: Context) -> dict[str, DataFrame]:
+    """Files are written in parallel, and read again: rows that aren't as they were written are counted for the report."""
     out = {"standard": export.standard(ctx["enrich"]), "apollo": export.apollo(ctx["enrich"]), "hubspot": export.hubspot(ctx["enrich"])}
     if ctx.config.output:
+        n = manifest.buckets_for(ctx["enrich"].count())
         for name, df in out.items():
             ctx.outputs[name] = f"{ctx.config.output}/{name}"
-            files.write_csv(df, ctx.outputs[name], one_file=True)
+            files.write_csv(df, ctx.outputs[name], ctx.config.one_file)
+            ctx.counts[f"{name}_differences"] = manifest.differing(manifest.manifest(df, n), manifest.manifest(files.read_csv(ctx.spark, ctx.outputs[name]), n)).count()
     return out
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import emails, pages, people
-from .operators import columns, consolidate, dedup, enrich, export, quality
+from .operators import cache, columns, consolidate, dedup, enrich, export, quality, search
 from .operators.enrich import SKIPPED_URLS
 from .plans.staging import shared_dir
 from .schema import APOLLO, FIELDS, HEADERS, HUBSPOT, QUALITY, VALUABLE
-from .sources import files, workbooks
+from .sources import files, manifest, workbooks
 from .sources.contacts import contacts_raw, contacts_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,14 +260,15 @@ def enrich_coalesce(spark, sf):
 def _combined_sql(content: str) -> str:
     return (
         _page_sql().replace("FROM b) ", "FROM b), ", 1) + "g AS (SELECT *, floor(page_id / 5)::BIGINT AS grp, row_number() OVER (PARTITION BY floor(page_id / 5) ORDER BY page_id) AS rn FROM p), "
-        "t AS (SELECT grp, array_to_string(list(chr(10) || 'PAGE ' || rn || ':' || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || 'TITLE: ' || title || chr(10) || 'CONTENT: ' || substr(text, 1, 5000) || chr(10) || '---' || chr(10) ORDER BY page_id), chr(10)) AS content FROM g GROUP BY grp) "
+        "t AS (SELECT grp, array_to_string(list(chr(10) || 'PAGE ' || rn || ':' || chr(10) || 'URL: ' || coalesce(url, '') || chr(10) || 'TITLE: ' || title || chr(10) || 'CONTENT: ' || substr(text, 1, 5000) || CASE WHEN page_id % 2 = 0 THEN ' [EMAILS_FOUND: info@' || regexp_extract(url, '://([^/?#]*)', 1) || ', sales@' || page_id || '.org]' ELSE '' END || chr(10) || '---' || chr(10) ORDER BY page_id), chr(10)) AS content FROM g GROUP BY grp) "
         f"SELECT grp, {content} AS content FROM t"
     )
 
 
 def _combined(spark, sf, limit=None) -> DataFrame:
-    # addresses are left out here, as page_emails has no SQL
-    p = enrich.pages(_table(spark, sf, "pages")).withColumn("emails", F.array().cast("array<string>")).withColumn("grp", F.floor(F.col("page_id") / 5))
+    # addresses made of the page's host, on every second page
+    mails = F.expr("CASE WHEN page_id % 2 = 0 THEN array('info@' || regexp_extract(url, '://([^/?#]*)', 1), 'sales@' || page_id || '.org') ELSE array() END")
+    p = enrich.pages(_table(spark, sf, "pages")).withColumn("emails", mails).withColumn("grp", F.floor(F.col("page_id") / 5))
     return enrich.combined(p, "grp", limit)
 
 
@@ -292,7 +293,60 @@ def page_link(spark, sf):
     c = _contacts(spark, sf)
     told = c.where("first_name <> '' and last_name <> ''").withColumn("name", F.expr("lower(first_name) || ' ' || lower(last_name)"))
     told = told.groupBy(F.expr("row_id % 700").alias("page_id")).agg(F.min_by(F.expr(_TOLD), "name").alias("html")).withColumn("url", F.lit("http://a.org/"))
-    return enrich.linked_pages(c, told).select("row_id", "page_id")
+    return enrich.linked_pages(c, enrich.pages(told, limit=None))
+
+
+_WORDS = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+
+
+@_query(
+    _page_sql().replace("FROM b) ", "FROM b), ", 1) + f"d AS (SELECT doc_id AS row_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL), "
+    "asked AS (SELECT row_id, list_distinct(list_filter([w[1], w[2], w[5], w[6], w[1] || ' ' || w[2]], lambda x: x IS NOT NULL)) AS terms FROM d), terms AS (SELECT row_id, unnest(terms) AS term FROM asked), "
+    f"t AS (SELECT page_id, {_WORDS.format(chr(39).join(['title || ', ' ', ' || text']))} AS w FROM p), postings AS (SELECT DISTINCT page_id, term FROM (SELECT page_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM t) WHERE term IN (SELECT term FROM terms)), "
+    f"df AS (SELECT term, count(*) > {search.MOST_PAGES} AS hub, floor(1000 * ln((SELECT count(*) FROM pages)::DOUBLE / count(*)))::BIGINT AS gain FROM postings GROUP BY term), "
+    "found AS (SELECT DISTINCT row_id, page_id FROM terms JOIN df ON df.term = terms.term AND NOT hub JOIN postings ON postings.term = terms.term), "
+    "scored AS (SELECT f.row_id, f.page_id, sum(gain)::BIGINT AS score FROM found f JOIN terms ON terms.row_id = f.row_id JOIN postings q ON q.page_id = f.page_id AND q.term = terms.term JOIN df ON df.term = q.term GROUP BY ALL) "
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, page_id)::INT AS nth FROM scored) WHERE nth <= {search.TOP}"
+)
+def page_search(spark, sf):
+    w = search.words(F.col("text"))
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    asked = _table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), at(0).alias("first_name"), at(1).alias("last_name"), F.concat_ws(" ", at(4), at(5)).alias("current_company"))
+    return search.search(asked, enrich.pages(_table(spark, sf, "pages"), limit=None))
+
+
+@_query(_page_sql() + "SELECT url, title, substr(text, 1, 5000) AS text FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS nth FROM p) WHERE nth = 1")
+def url_cache_two_runs(spark, sf):
+    """All URLs through a cache that a first run over half of the pages has filled."""
+    every = _table(spark, sf, "pages")
+    first = every.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    own = every.join(first, ["url", "page_id"])
+    fetch = lambda urls: enrich.pages(own.join(urls, "url")).select("url", "title", "text")
+    known = cache.UrlCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}", "title string, text string")
+    known.through(every.where("page_id % 2 = 0").select("url"), fetch)
+    return known.through(every.select("url"), fetch)
+
+
+# what was written, read again
+
+
+@_query(
+    _WITH + ", e AS (SELECT row_id, email, 1::BIGINT AS expected, CASE row_id % 100 WHEN 7 THEN 0 WHEN 8 THEN 0 ELSE 2 END::BIGINT AS found FROM contacts WHERE row_id % 100 IN (7, 8, 9)) "
+    "SELECT * FROM e UNION ALL SELECT row_id, 'x' || email, 0, 1 FROM contacts WHERE row_id % 100 = 7"
+)
+def export_differences(spark, sf):
+    """A copy of an export with changed, missing and repeated rows, compared with the manifest of what was written."""
+    at = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    c = _contacts(spark, sf).select(F.col("row_id").cast("string").alias("row_id"), *FIELDS)
+    files.write_csv(c, f"{at}/good")
+    n = 64
+    kept = manifest.manifest(c, n)
+    good, turn = files.read_csv(spark, f"{at}/good"), F.col("row_id").cast("long") % 100
+    spoilt = good.where(turn != 8).withColumn("email", F.when(turn == 7, F.concat(F.lit("x"), F.coalesce("email", F.lit("")))).otherwise(F.col("email")))
+    files.write_csv(spoilt.unionAll(good.where(turn == 9)), f"{at}/spoilt")
+    same = manifest.differing(kept, manifest.manifest(good, n))  # no bucket differs
+    found = manifest.differences(c, files.read_csv(spark, f"{at}/spoilt"), n, kept).select(F.col("row_id").cast("long").alias("row_id"), "email", "expected", "found")
+    return found.unionAll(same.select(F.lit(-1).cast("long"), F.lit("bucket"), "expected", "found"))
 
 
 # names
@@ -392,25 +446,36 @@ _GRID = [
 ]
 
 
+_TITLE = ["Export of the list"] + [None] * (len(_MESSY) - 1)
+
+
 def _grid_sql() -> str:
     rows = ", ".join("(" + f"{_q(s)}, {i}, [" + ", ".join("NULL" if c is None else _q(c) for c in cells) + "])" for s, i, cells in _GRID)
     text = "array_to_string(list_transform(filled, lambda c: lower(substr(c, 1, 100))), ' ')"
     score = " + ".join(f"3 * contains(text, {_q(w)})::INT" for w in columns.HEADER_WORDS) + f" + 2 * {_has('text', ['id', 'number', 'no', '#'])}::INT + 2 * {_has('text', ['profile', 'url', 'link'])}::INT + (len(list_filter(filled, lambda c: length(trim(c)) < 20)) >= 3)::INT - " + " - ".join(f"5 * contains(text, {_q(w)})::INT" for w in columns.METADATA)
-    return f"WITH g(sheet, row_idx, cells) AS (VALUES {rows}), s AS (SELECT sheet, row_idx::BIGINT AS row_idx, list_filter(cells, lambda c: c IS NOT NULL) AS filled FROM g WHERE row_idx < 6), t AS (SELECT *, {text} AS text FROM s), scores AS (SELECT sheet, row_idx, ({score} - 10 * (len(list_filter(filled, lambda c: trim(c) <> '')) < 3)::INT)::INT AS score FROM t) "
+    own = ", ".join(f"({_MESSY_COLS[c]})::VARCHAR" for _, c in _MESSY)
+    line = lambda cells: "[" + ", ".join("NULL" if c is None else _q(c) for c in cells) + "]"
+    heads = f"SELECT DISTINCT source_file, 0, {line(_TITLE)} FROM contacts_raw UNION ALL SELECT DISTINCT source_file, 1, {line([h for h, _ in _MESSY])} FROM contacts_raw"
+    return f"WITH contacts_raw AS ({contacts_sql()}), g(sheet, row_idx, cells) AS (VALUES {rows} UNION ALL SELECT source_file, 2 + row_id // 3, [{own}] FROM contacts_raw UNION ALL {heads}), s AS (SELECT sheet, row_idx::BIGINT AS row_idx, list_filter(cells, lambda c: c IS NOT NULL) AS filled FROM g WHERE row_idx < 6), t AS (SELECT *, {text} AS text FROM s), scores AS (SELECT sheet, row_idx, ({score} - 10 * (len(list_filter(filled, lambda c: trim(c) <> '')) < 3)::INT)::INT AS score FROM t) "
 
 
-def _grid(spark) -> DataFrame:
-    return spark.createDataFrame(_GRID, "sheet string, row_idx long, cells array<string>")
+def _grid(spark, sf) -> DataFrame:
+    """Hand-made sheets, and a sheet of each contact source with a title and a header above its rows."""
+    made = spark.createDataFrame(_GRID, "sheet string, row_idx long, cells array<string>")
+    raw = contacts_raw(spark, sf)
+    rows = raw.select(F.col("source_file").alias("sheet"), F.expr("2 + row_id div 3").alias("row_idx"), F.array(*(F.expr(_MESSY_COLS[c]).cast("string") for _, c in _MESSY)).alias("cells"))
+    line = lambda i, cells: raw.select("source_file").distinct().select("source_file", F.lit(i).cast("long"), F.array(*(F.lit(c).cast("string") for c in cells)))
+    return made.unionAll(rows).unionAll(line(0, _TITLE)).unionAll(line(1, [h for h, _ in _MESSY]))
 
 
 @_query(_grid_sql() + "SELECT * FROM scores")
 def header_scores(spark, sf):
-    return columns.header_scores(_grid(spark))
+    return columns.header_scores(_grid(spark, sf))
 
 
 @_query(_grid_sql() + "SELECT sheet, CASE WHEN max(score) > 0 THEN arg_max(row_idx, score * 100 - row_idx) END AS header_row FROM scores GROUP BY sheet")
 def header_pick(spark, sf):
-    return columns.header_pick(_grid(spark))
+    return columns.header_pick(_grid(spark, sf))
 
 
 # workbooks: the contacts in books of up to 20,000 rows, a sheet for each source, read again sheet by sheet
@@ -464,6 +529,26 @@ def _files(spark, sf) -> tuple[DataFrame, DataFrame]:
     return cells.withColumn("file", named), failed.withColumn("file", named)
 
 
+_TOLD_MAP = {"Contact Person": "FULL_NAME_TO_SPLIT", "Work Email": "email", "Organization": "current_company", "Empty": "no such field"}
+
+
+def told_mapping(names: list[str], rows: list[list[str | None]]) -> dict:
+    """A stand-in for a mapping model: looks names up, and answers for whole sheets only."""
+    return {"field_mappings": {n: _TOLD_MAP[n] for n in names if n in _TOLD_MAP}, "quality_score": 100 if len(rows) == columns.SAMPLES else 0}
+
+
+@_query(f"SELECT file, c AS col_name, t AS target, 100.0::DOUBLE AS score FROM (SELECT DISTINCT source_file AS file FROM ({contacts_sql()})), (VALUES " + ", ".join(f"({_q(c)}, {_q(t)})" for c, t in _TOLD_MAP.items()) + ") v(c, t)")
+def hook_mapping(spark, sf):
+    """What a mapping hook says of each file's columns; files of equal headers are asked for once."""
+    from .plans.pipeline import _hooked
+
+    cells, _ = _files(spark, sf)
+    grid = cells.select(F.col("file").alias("sheet"), "row_idx", "cells")
+    heads = columns.headers(grid)
+    told, scores = _hooked(heads, columns.table_cells(grid, heads, 3), told_mapping)
+    return told.join(scores, "sheet").select(F.col("sheet").alias("file"), "col_name", "target", "score")
+
+
 _LISTS = f"WITH contacts_raw AS ({contacts_sql()})"
 
 

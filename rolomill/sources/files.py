@@ -104,6 +104,11 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.repartition(1) if one_file else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv() wrote, as text."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A few aggregate rows as JSON."""
     df.coalesce(1).write.mode("overwrite").json(path)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from rolomill import queries
 from rolomill.functions import emails, pages, people
-from rolomill.operators import columns, dedup, enrich, names
+from rolomill.operators import cache, columns, dedup, enrich, names, search
 from rolomill.plans.pipeline import Pipeline, PipelineConfig, standard_pipeline
-from rolomill.sources import files, workbooks
+from rolomill.sources import files, manifest, workbooks
 from rolomill.streaming import incremental
 
 
@@ -270,6 +270,101 @@ def test_a_long_sheet_in_little_memory(tmp_path):
     assert n == 50_000 and peak < 20e6
 
 
+def test_search(spark):
+    """Hubs find nothing by themselves but count for pages that rarer terms find; ties go to the smaller page, odd fields find nothing."""
+    pages_ = [(i, "Team", "we all work at acme on things") for i in range(12)] + [(20, "About Ann Lee", "ann lee of acme"), (21, None, "lee, ann"), (22, "Ann", "lee jr ann lee"), (23, "x", None), (24, "lee", ""), (25, "lee", ""), (26, "lee", ""), (27, "lee", "")]
+    df = spark.createDataFrame(pages_, "page_id long, title string, text string")
+    people_ = [(1, "Ann", "Lee", "Acme"), (2, "Ann Maria", "van der Lee", None), (3, None, "", "ACME"), (4, "", "", ""), (5, "Zed", "Nobody", "none"), (6, "Ann", "Lee", "Acme"), (7, None, "Lee", None)]
+    contacts = spark.createDataFrame(people_, "row_id long, first_name string, last_name string, current_company string")
+    found = {}
+    for r in search.search(contacts, df, top=3, most_pages=8).orderBy("row_id", "nth").collect():
+        found.setdefault(r.row_id, []).append(r.page_id)
+    # acme stands on 13 pages and is a hub: 3 finds nothing; 20 has the pair, and acme besides
+    assert found == {1: [20, 22, 21], 2: [20, 22, 21], 6: [20, 22, 21], 7: [20, 21, 22]}
+    assert search.search(contacts, df, most_pages=100).where("row_id = 3").count() == 5
+    assert search.search(contacts.limit(0), df).count() == 0 and search.search(contacts, df.limit(0)).count() == 0
+
+
+def test_manifest_and_differences(spark):
+    """Digests don't depend on order or tasks; changed, lost, repeated rows and swapped columns are named."""
+    rows = [(str(i), None if i % 7 == 0 else f"v{i % 5}", "a,\"b\nc") for i in range(500)]
+    df = spark.createDataFrame(rows, "id string, v string, t string")
+    for n in (1, 16):
+        kept = manifest.manifest(df, n)
+        assert manifest.differing(kept, manifest.manifest(df.repartition(7).orderBy("v"), n)).count() == 0
+        spoilt = spark.createDataFrame([r if r[0] != "3" else ("3", "other", r[2]) for r in rows if r[0] != "4"] + [rows[5], rows[5]], df.schema)
+        got = {(r.id, r.v, r.expected, r.found) for r in manifest.differences(df, spoilt, n, kept).collect()}
+        assert got == {("3", "v3", 1, 0), ("3", "other", 0, 1), ("4", "v4", 1, 0), ("5", "v0", 1, 3)}
+        swapped = df.select("id", F.col("t").alias("v"), F.col("v").alias("t"))
+        assert manifest.differences(df, swapped, n).count() == 1000
+        assert manifest.differences(df.limit(0), df.limit(0), n).count() == 0 and manifest.differences(df.limit(0), df, n).count() == 500
+
+
+def test_url_cache(spark, tmp_path):
+    rnd = random.Random(3)
+    urls = [f"http://site{rnd.randrange(10**9)}.org/{'x' * rnd.randrange(90)}" for _ in range(4000)]
+    f = cache.bloom(urls[:2000])
+    assert cache.may_have([f], urls[:2000]).all() and cache.may_have([f], urls[2000:]).mean() < 0.03 and not cache.may_have([], urls).any() and not cache.may_have([cache.bloom([])], urls[:9]).any()
+    asked = []
+
+    def fetch(new):
+        asked.append(sorted(r.url for r in new.collect()))
+        return new.select("url", F.length("url").alias("n"), F.lit(len(asked)).alias("run"))
+
+    c = cache.UrlCache(spark, str(tmp_path / "cache"), "n int, run int")
+    table = lambda names: spark.createDataFrame([(u,) for u in names], "url string")
+    one = c.through(table([*urls[:50], urls[0], None]), fetch).collect()
+    two = c.through(table(urls[30:80]), fetch).collect()
+    assert asked == [sorted(urls[:50]), sorted(urls[50:80])]
+    assert sorted(r.url for r in one) == sorted(urls[:50]) and {r.url: r.run for r in two} == {u: 1 if u in urls[:50] else 2 for u in urls[30:80]} and all(r.n == len(r.url) for r in two)
+    assert c.through(table([]), fetch).count() == 0 and asked[2] == []
+    c.store(spark.createDataFrame([(urls[0], 1, 9)], "url string, n int, run int"))  # a run that didn't look up
+    assert c.through(table(urls[:1]), fetch).count() == 1 and asked[3] == []
+
+
+def test_hook_is_asked_once_for_equal_headers(spark, tmp_path):
+    src, log = tmp_path / "in", tmp_path / "asked"
+    src.mkdir()
+    log.mkdir()
+    for i in range(6):
+        head = "First Name,Last Name,Email,Phone" if i < 5 else "First Name,Last Name,Email,Town"
+        (src / f"f{i}.csv").write_text(head + "\n" + f"Ann{i},Lee,ann{i}@acme.io,x\n" * 3)
+
+    def hook(names, rows):
+        import uuid as own
+
+        (log / own.uuid4().hex).write_text(json.dumps([names, rows]))
+        return {"First Name": "first_name", "Email": "email", "Gone": "geo"}
+
+    ctx, report = standard_pipeline().run(spark, PipelineConfig(source=str(src), map_hook=hook))
+    assert len(list(log.iterdir())) == 2 and report["status"] == "success"
+    assert {r["Email"] for r in ctx["export"]["standard"].collect()} == {f"ann{i}@acme.io" for i in range(6)}
+
+
+@pytest.mark.parametrize("find", ["names", "search"])
+def test_pages_are_parsed_once(spark, tmp_path, find):
+    src, log = tmp_path / "in", tmp_path / "read"
+    src.mkdir()
+    log.mkdir()
+    (src / "a.csv").write_text("First Name,Last Name,Company,Email\n" + "".join(f"Ann,Lee{chr(97 + i)},Acme,none\n" for i in range(20)))
+    text = " ".join(f"Ann Lee{chr(97 + i)}" for i in range(20))
+
+    @F.udf("string")
+    def html(i):
+        import uuid as own
+
+        (log / f"{i}-{own.uuid4().hex}").write_text("")
+        return f"<body><p>{text} of Acme: team{i}@acme.io</p></body>"
+
+    pages_ = spark.range(3).select(F.col("id").alias("page_id"), F.lit("http://a.org/").alias("url"), html.asNondeterministic()("id").alias("html"))
+    ctx, report = standard_pipeline().run(spark, PipelineConfig(source=str(src), output=str(tmp_path / "out"), pages=pages_, find=find, one_file=find == "names"))
+    assert report["status"] == "success" and len(list(log.iterdir())) == 3
+    assert {r["Email"] for r in ctx["export"]["standard"].collect()} == {"team0@acme.io"}
+    assert [report["statistics"][f"{x}_differences"] for x in ("standard", "apollo", "hubspot")] == [0, 0, 0]
+    if find == "names":
+        assert len(list((tmp_path / "out" / "standard").glob("*.csv"))) == 1
+
+
 def test_files_and_pipeline(spark, tmp_path):
     src = tmp_path / "in" / "deep"
     src.mkdir(parents=True)
