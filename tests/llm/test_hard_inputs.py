@@ -1,5 +1,8 @@
 """Inputs that once broke operators or made them slow: white space without end, markup that only looks like a link, families of texts just below the threshold."""
 
+import base64
+import hashlib
+import json
 import random
 import re
 import time
@@ -12,7 +15,7 @@ import zlib
 from test_operators import TOKENIZER, reach, shingle_set, tup
 
 import corpus_pipeline
-from rolomill.llm import minhash_dedup, packing, url_filter
+from rolomill.llm import minhash_dedup, packing, secret_scan, url_filter
 
 LONG = [" " * 1_000_000, "\n" * 3_000_000, "a" + " \n\t" * 400_000 + "b", "x" + " " * 200_000, " " * 150_000 + "<|endoftext|>" + "　" * 120_000 + "y z", "one " * 30 + " " * 120_000 + "12\x1c" + "\t" * 100_001 + "!"]
 
@@ -176,3 +179,30 @@ def test_near_hub_with_the_largest_id(spark, monkeypatch):
     table = spark.createDataFrame([(i, str(i)) for i in range(100)], "rep long, sig string")
     got = {(*sorted((r.a, r.b)),) for r in minhash_dedup._met(pairs, table, "sig").collect() if r.ba == str(r.a) and r.bb == str(r.b)}
     assert got == {(*sorted((r.a, r.b)),) for r in pairs.collect()}
+
+
+def test_secrets_with_embedded_checks():
+    """Card numbers, account numbers, extended keys and web tokens count if their checks hold, by plain arithmetic, and one changed character is enough to drop them."""
+    kinds = lambda t: [(secret_scan.KINDS[k], t[a:b]) for a, b, k in secret_scan.find(t)]
+    assert kinds("Visa 4111 1111 1111 1111, é card no. 5500-0000-0000-0004; amex: 378282246310005.") == [("card", "4111 1111 1111 1111"), ("card", "5500-0000-0000-0004"), ("card", "378282246310005")]
+    assert kinds("card 4111111111111112 visa 41111111111111111111 card 4111 discard card x4111111111111111") == []
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NO9386011117947"]
+    for x in ibans:
+        digits = "".join(str(ord(c) - 55) if c.isalpha() else c for c in x[4:] + x[:4])
+        rest = 0
+        for d in digits:
+            rest = (rest * 10 + int(d)) % 97
+        assert rest == 1
+        spaced = " ".join(x[i : i + 4] for i in range(0, len(x), 4))
+        assert kinds(f"ü IBAN: {x}.") == [("iban", x)] and kinds(f"my iban {spaced} and more words") == [("iban", spaced)]
+        assert kinds(f"IBAN: {x[:-1]}{(int(x[-1]) + 1) % 10}.") == []
+    alphabet, body = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", bytes.fromhex("0488ade4") + bytes(range(74))
+    n, key = int.from_bytes(body + hashlib.sha256(hashlib.sha256(body).digest()).digest()[:4], "big"), ""
+    while n:
+        n, d = divmod(n, 58)
+        key = alphabet[d] + key
+    assert len(key) == 111 and kinds(f"seed={key}!") == [("xprv", key)] and kinds(f"x{key}") == [] and kinds(key[:-1] + ("2" if key[-1] != "2" else "3")) == []
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 'ann'})}.c2lnbmF0dXJl"
+    assert kinds(f"Bearer {token} x") == [("jwt", token)] and kinds(f"{part({'typ': 'x'})}.{part({})}.aa") == [] and kinds("eyJub3Q.eyJqc29u.aa") == []
+    assert secret_scan.redacted(f"a {token} b", secret_scan.find(f"a {token} b")) == "a [jwt] b"
