@@ -1,7 +1,7 @@
 """Connected components by alternating large-star and small-star steps, in DataFrame operations only.
 
 Both steps are joins of the edges with the least neighbour of each node, so no node's neighbours are ever gathered in one row or task:
-the minimum is pre-aggregated before its shuffle and the join may be split where a node has very many edges. Up to FEW edges the least neighbours are broadcast, and edges aren't dealt by node at all.
+the minimum is pre-aggregated before its shuffle and the join may be split where a node has very many edges. Up to FEW bytes of edges the least neighbours are broadcast, and edges aren't dealt by node at all.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage, unstage
 
 
-#: Edges up to which there are few enough nodes (two longs each) to broadcast.
-FEW = 250_000
+#: Bytes of all edges' nodes up to which the least neighbours are broadcast: those of 250,000 edges of two longs.
+FEW = 4_000_000
 
 
 def _large_star(e: DataFrame, hint) -> DataFrame:
@@ -30,7 +30,10 @@ def _small_star(e: DataFrame, hint) -> DataFrame:
 
 
 def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    """(edges, sum of their hashes, bytes of their nodes)."""
+    wide = e.schema["a"].dataType.typeName() in ("string", "binary")
+    size = F.octet_length("a") + F.octet_length("b") if wide else F.lit(16)
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.coalesce(F.sum(size), F.lit(0))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = stage(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _mark(e)
     while before[0]:
-        hint = F.broadcast if before[0] <= FEW else lambda x: x
+        hint = F.broadcast if before[2] <= FEW else lambda x: x
         old, e = e, stage(_small_star(_large_star(e, hint), hint))
         unstage(old)
         after = _mark(e)
