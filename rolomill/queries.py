@@ -203,7 +203,27 @@ def page_text(spark, sf):
     return enrich.pages(_table(spark, sf, "pages")).drop("emails")
 
 
-@_query()  # \b and letters with accents differ between the two regex dialects; tests cover it
+def _addresses_sql() -> str:
+    """A page's addresses. \\b is spelt out by classes of characters, as the dialect's knows ASCII only: before an address, and behind its last letter, stands no letter, digit or _. Characters that no
+    address has are doubled first, so that two neighbours needn't share one."""
+    local, host = "[A-Za-z0-9_][A-Za-z0-9._%+-]*", "[A-Za-z0-9.-]"
+    cores = [
+        ("@", f"{local}@{host}+[.][A-Z|a-z]+[A-Za-z]", None),
+        (".", f"{local}\\s*(?:at|AT)\\s*{host}+[.][a-zA-Z]{{2,}}", ("\\s*(?:at|AT)\\s*", "@")),
+        ("@", f"(?i:{local}@{host}*(?:\\[dot\\]|\\(dot\\)|[.]){host}*[a-zA-Z]{{2,}})", ("(?i)\\[dot\\]|\\(dot\\)", ".")),
+        ("@", f"{local}\\s*@\\s*{host}+\\s*[.]\\s*[a-zA-Z]{{2,}}", ("\\s+", "")),
+    ]
+    lists = []
+    for needs, core, fix in cores:
+        found = f"regexp_extract_all(d, '(?:\\A|[^\\p{{L}}\\p{{N}}_])({core})(?:\\z|[^\\p{{L}}\\p{{N}}_])', 1)"
+        if fix:
+            found = f"list_filter(list_transform({found}, lambda e: regexp_replace(e, {_q(fix[0])}, {_q(fix[1])}, 'g')), lambda e: regexp_matches(e, '^(?:' || {_q(emails.STANDARD)} || ')'))"
+        lists.append(f"CASE WHEN contains(d, {_q(needs)}) THEN {found} ELSE [] END")
+    doubled = "regexp_replace(text, '([^A-Za-z0-9._%+@|()\\[\\]-])', '\\1\\1', 'g')"
+    return _page_sql().replace("FROM b) ", "FROM b), ", 1) + f"d AS (SELECT page_id, {doubled} AS d FROM p) SELECT page_id, array_to_string(list_sort(list_distinct(list_concat({', '.join(lists)}))), ',') AS emails FROM d"
+
+
+@_query(_addresses_sql())
 def page_emails(spark, sf):
     return _table(spark, sf, "pages").select("page_id", F.array_join(enrich.page_emails(F.col("html")), ",").alias("emails"))
 
