@@ -1,7 +1,7 @@
 """File sources and sinks: discovery, CSV and workbook cells of unknown headers, CSV and JSON output.
 
-Cells are read as text, (file, sheet, row_idx, cells); files are read where they are, by the executors: workbooks sheet by sheet (see workbooks), CSV files of up to SPLIT bytes one file at a
-time, larger CSV files in splits, line by line. A file that can't be read is listed with its error.
+Cells are read as text, (file, sheet, row_idx, cells); files are read where they are, by the executors: workbooks sheet by sheet (see workbooks), old workbooks and CSV files of up to SPLIT
+bytes one file at a time, larger CSV files in splits, line by line. A file that can't be read is listed with its error.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage
-from . import workbooks
+from . import workbooks, xls
 
 #: CSV files of more bytes are read in splits, unless a line of theirs has an open quote or isn't UTF-8.
 SPLIT = 64 << 20
@@ -56,15 +56,19 @@ def _lines(spark: SparkSession, folder: str, over: int) -> DataFrame:
 
 
 def _whole(batches):
-    """Rows of ROWS from whole files: CSV, and workbooks of stores that only Spark reads, in batches."""
+    """Rows of ROWS from whole files: CSV, old workbooks, and workbooks of stores that only Spark reads, in batches."""
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             low = path.lower()
             try:
-                if low.endswith(".xls"):
-                    raise ValueError(f"{path}: the old workbook format isn't supported; save it as .xlsx or .csv")
                 stream = pa.BufferReader(content.as_buffer())
-                yield from workbooks.workbook_batches(path, stream) if low.endswith(".xlsx") else workbooks.batches(path, "", iter(csv_cells(stream.read())))
+                if low.endswith(".xls"):
+                    for name, rows in xls.sheets(stream.read()):
+                        yield from workbooks.batches(path, name, iter(rows))
+                elif low.endswith(".xlsx"):
+                    yield from workbooks.workbook_batches(path, stream)
+                else:
+                    yield from workbooks.batches(path, "", iter(csv_cells(stream.read())))
             except Exception as e:  # whatever is wrong with the file, it is listed
                 yield workbooks.batch(path, "", 0, [None], f"{type(e).__name__}: {e}")
 

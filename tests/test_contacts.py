@@ -3,6 +3,7 @@
 import io
 import json
 import random
+import struct
 import zipfile
 from pathlib import Path
 
@@ -14,7 +15,7 @@ from rolomill import queries
 from rolomill.functions import emails, pages, people
 from rolomill.operators import cache, columns, dedup, enrich, names, search
 from rolomill.plans.pipeline import Pipeline, PipelineConfig, standard_pipeline
-from rolomill.sources import files, manifest, workbooks
+from rolomill.sources import files, manifest, workbooks, xls
 from rolomill.streaming import incremental
 
 
@@ -256,6 +257,64 @@ def test_workbook_source(spark, tmp_path, monkeypatch):
     assert spark.read.format("workbook").load(str(tmp_path / "empty")).count() == 0
 
 
+def old_workbook(sheets, strings, small=False, split=None) -> bytes:
+    """A compound file with a BIFF8 workbook: sheets are (name, records), strings the shared ones, cut into records of split characters."""
+    rec = lambda kind, d=b"": struct.pack("<HH", kind, len(d)) + d
+    bof = lambda kind: rec(0x809, struct.pack("<HHHHII", 0x600, kind, 0, 0, 0, 0))
+    parts, own = [], struct.pack("<II", len(strings), len(strings))
+    for x in strings:
+        wide = any(ord(c) > 255 for c in x)
+        rich = x.startswith("rich")
+        own += struct.pack("<HB", len(x), wide | (8 if rich else 0)) + (struct.pack("<H", 2) if rich else b"")
+        raw = x.encode("utf-16-le" if wide else "latin-1")
+        if split and len(raw) > split:
+            parts.append(own + raw[:split])
+            own, raw = bytes([wide]), raw[split:]
+        own += raw + (b"\1\0\2\0\3\0\4\0" if rich else b"")
+    parts.append(own)
+    sst = b"".join(rec(0x3C if i else 0xFC, p) for i, p in enumerate(parts))
+    bodies = [bof(0x10) + b"".join(rec(k, d) for k, d in records) + rec(0xA) for _, records in sheets]
+    head = lambda places: bof(5) + b"".join(rec(0x85, struct.pack("<IBBBB", at, 0, 0, len(n), 1) + n.encode("utf-16-le")) for at, (n, _) in zip(places, sheets)) + sst + rec(0xA)
+    at, places = len(head([0] * len(sheets))), []
+    for b in bodies:
+        places.append(at)
+        at += len(b)
+    book = head(places) + b"".join(bodies)
+    if not small:
+        book = book.ljust(4096, b"\0")
+    entry = lambda name, kind, first, n: (name.encode("utf-16-le") + b"\0\0").ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 0) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<III", first, n, 0)
+    sectors = lambda b: [b[i : i + 512].ljust(512, b"\0") for i in range(0, len(b), 512)]
+    body = sectors(book)
+    end, free = 0xFFFFFFFE, 0xFFFFFFFF
+    chain = lambda first, n: [*range(first + 1, first + n), end]
+    # sector 0: the table, 1: the folder, 2: the small table, then the book
+    fat = ([0xFFFFFFFD, end, end] + chain(3, len(body)))
+    minis = -(-len(book) // 64)
+    folder = entry("Root Entry", 5, 3 if small else end, len(book) if small else 0) + entry("Workbook", 2, 0 if small else 3, len(book))
+    table = lambda x: struct.pack("<128I", *(x + [free] * (128 - len(x))))
+    top = xls.MARK + b"\0" * 16 + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + b"\0" * 6 + struct.pack("<IIIIIIIIII", 0, 1, 1, 0, 4096, 2 if small else end, 1 if small else 0, end, 0, 0)
+    return top.ljust(512, b"\xff") + b"".join([table(fat), folder.ljust(512, b"\0"), table(chain(0, minis) if small else []), *body])
+
+
+def test_old_workbooks(spark, tmp_path):
+    strings = ["First Name", "Email", "Ann", "r\u00e9sum\u00e9", "\u65e5\u672c " * 30, "rich text", "x" * 300]
+    cell = lambda kind, row, col, d: (kind, struct.pack("<HHH", row, col, 0) + d)
+    shared = lambda row, col, i: cell(0xFD, row, col, struct.pack("<I", i))
+    one = [shared(0, 0, 0), shared(0, 2, 1), shared(3, 0, 2), cell(0x203, 3, 1, struct.pack("<d", 2.5)), cell(0x27E, 3, 2, struct.pack("<I", 7 << 2 | 2)), shared(4, 0, 3), shared(4, 1, 4), shared(4, 2, 5), shared(4, 3, 6)]
+    one += [cell(0xBD, 5, 1, struct.pack("<IHIH", (1234 << 2) | 3, 0, ((1 << 30) - 5) << 2 | 2, 2)), cell(0x6, 6, 0, struct.pack("<d", 8.0) + b"\0" * 8), cell(0x6, 6, 1, b"\0" * 6 + b"\xff\xff" + b"\0" * 8), (0x207, struct.pack("<HB", 2, 0) + b"ok"), cell(0x205, 6, 2, b"\1\0"), cell(0x205, 6, 3, b"\7\1"), cell(0x204, 7, 0, struct.pack("<HB", 3, 0) + b"old")]
+    want = [["First Name", None, "Email"], ["Ann", "2.5", "7"], strings[3:], [None, "12.34", "-5"], ["8", "ok", "1"], ["old"]]
+    for small in (False, True):
+        for split in (None, 40):
+            data = old_workbook([("P/1", one), ("none", []), ("\u65e5", [shared(0, 0, 2)])], strings, small, split)
+            assert xls.sheets(data) == [("P/1", want), ("none", []), ("\u65e5", [["Ann"]])]
+    (tmp_path / "a.XLS").write_bytes(old_workbook([("P/1", one)], strings))
+    (tmp_path / "bad.xls").write_bytes(xls.MARK + b"\0" * 600)
+    (tmp_path / "none.xls").write_bytes(b"no workbook")
+    cells, failed = files.load(spark, str(tmp_path))
+    assert [r.cells for r in cells.orderBy("row_idx").collect()] == want and {(r.sheet, r.file.rsplit("/")[-1]) for r in cells.collect()} == {("P1", "a.XLS")}
+    assert {r.file.rsplit("/")[-1] for r in failed.collect()} == {"bad.xls", "none.xls"}
+
+
 def test_a_long_sheet_in_little_memory(tmp_path):
     """Rows come one after another: 50,000 of them need no more memory than a batch."""
     import tracemalloc
