@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
     single document is its own next. Rows with a null key come last in that order. Null counts as the empty text. Other columns are not read.
 
     Keys are cut into slots of about equal row counts by a sketch. A row goes to its slot, and the first row of a slot also to the slot before, which
-    thus has every neighbour: texts are shuffled once, compressed, and no task sees more than a slot.
+    thus has every neighbour: texts are shuffled once, compressed, and no task sees more than a slot. Rows with a null key have slots by ranges of their hash; rows that share one other key share a slot.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -114,26 +114,30 @@ def fingerprints(docs: DataFrame, similarity: float = SIMILARITY, key: str = "do
     unstage(found)
     d = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text")).withColumn("h", F.xxhash64("text"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    cuts = sorted({c for c in cuts or [] if c is not None})
+    found = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("cuts"), F.count("*").alias("rows"), F.count("doc_id").alias("keyed")).first()
+    cuts = sorted({c for c in found.cuts or [] if c is not None}) if n > 1 else []
+    bare = max(1, -(-(found.rows - found.keyed) * n // max(1, found.rows)))  # slots of rows with a null key, by ranges of their hash
     routes = _routes(spark, n)
 
-    def slots(keys: pa.Array) -> pa.Array:
-        """Slot 0 has the largest keys; null keys are in the last one."""
+    def slots(keys: pa.Array, h: pa.Array) -> pa.Array:
+        """Slot 0 has the largest keys; null keys are in the last ones, by h."""
         some = np.array([cuts[0] if k is None else k for k in keys.to_pylist()]) if cuts else np.zeros(len(keys))
         at = len(cuts) - np.searchsorted(np.array(cuts), some, "right") if cuts else np.zeros(len(keys), int)
-        at = np.where(np.array(keys.is_null()), len(cuts), at)
+        if keys.null_count:
+            up = h.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)  # in order of h
+            sub = (up // np.uint64(-(-(1 << 64) // bare))).astype(int) if bare > 1 else 0
+            at = np.where(np.array(keys.is_null()), len(cuts) + 1 + sub, at)
         return pa.array(at.astype(np.int32))
 
     def placed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([slots(b.column(0)), *b.columns], ["slot", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([slots(b.column(0), b.column(1)), *b.columns], ["slot", *b.schema.names])
 
     def shrunk(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in slices(batches):
             packed = pa.array([z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(2).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([slots(b.column(0)), b.column(0), b.column(1), packed], ["slot", "doc_id", "h", "z"])
+            yield pa.RecordBatch.from_arrays([slots(b.column(0), b.column(1)), b.column(0), b.column(1), packed], ["slot", "doc_id", "h", "z"])
 
     order = lambda k, h: F.struct(F.coalesce(k.isNull(), F.lit(False)).alias("z"), (-k).alias("k"), h.alias("h"))
     place = order(F.col("doc_id"), F.col("h"))

@@ -35,7 +35,7 @@ PIECE, GAP, MATCH = 0, 1, 2
 RUNS = "kind int, size int, first long, n long, sequence long, each long, offset long"
 #: Fixed value: the public pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Fixed value: Unicode's white space. The pattern's look-ahead can't take runs of some 600,000; longer texts are cut at runs of that many.
+#: Fixed value: Unicode's white space. The pattern's look-ahead can't take runs of 1,000,000; texts of over 100,000 characters are cut at runs of 1,000 and more.
 _WHITE, _RUN, _LONG = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000", 1000, 100_000
 _LONG_RUN = re.compile(f"[{_WHITE}]{{{_RUN},}}")
 _encodings: dict = {}

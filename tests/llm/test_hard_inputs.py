@@ -12,10 +12,11 @@ from urllib.parse import urljoin, urlsplit
 
 import zlib
 
+import pytest
 from test_operators import TOKENIZER, reach, shingle_set, tup
 
 import corpus_pipeline
-from rolomill.llm import minhash_dedup, packing, secret_scan, url_filter
+from rolomill.llm import fingerprints, minhash_dedup, packing, secret_scan, url_filter
 
 LONG = [" " * 1_000_000, "\n" * 3_000_000, "a" + " \n\t" * 400_000 + "b", "x" + " " * 200_000, " " * 150_000 + "<|endoftext|>" + "　" * 120_000 + "y z", "one " * 30 + " " * 120_000 + "12\x1c" + "\t" * 100_001 + "!"]
 
@@ -206,3 +207,16 @@ def test_secrets_with_embedded_checks():
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 'ann'})}.c2lnbmF0dXJl"
     assert kinds(f"Bearer {token} x") == [("jwt", token)] and kinds(f"{part({'typ': 'x'})}.{part({})}.aa") == [] and kinds("eyJub3Q.eyJqc29u.aa") == []
     assert secret_scan.redacted(f"a {token} b", secret_scan.find(f"a {token} b")) == "a [jwt] b"
+
+
+@pytest.mark.parametrize("share", [0.3, 1.0])
+def test_fingerprints_of_many_null_ids(spark, share):
+    """Rows with a null id are dealt to several slots by their hash, and follow one another in its order across slots."""
+    rnd = random.Random(7)
+    rows = [(None if i < 60 * share else i, " ".join(rnd.choice("abcdefgh") * 3 for _ in range(rnd.randrange(4, 30)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    h = {r.text: r.h for r in df.select("text", fingerprints.F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), h[r[1]]))
+    want = [(k, hashlib.sha256(fingerprints.edited(t, n).encode()).hexdigest()) for (k, t), (_, n) in zip(order, order[1:] + order[:1])]
+    got = fingerprints.fingerprints(df)
+    assert sorted(map(repr, tup(got, "doc_id", "edited_sha256"))) == sorted(map(repr, want))
