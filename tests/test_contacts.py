@@ -401,7 +401,7 @@ def test_hook_is_asked_once_for_equal_headers(spark, tmp_path):
 
 
 @pytest.mark.parametrize("find", ["names", "search"])
-def test_pages_are_parsed_once(spark, tmp_path, find):
+def test_html_is_parsed_once(spark, tmp_path, find):
     src, log = tmp_path / "in", tmp_path / "read"
     src.mkdir()
     log.mkdir()
