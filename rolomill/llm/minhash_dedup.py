@@ -99,14 +99,20 @@ def _linked(batches, percent):
         yield b.loc[pd.Series(ok, index=b.index, dtype=bool), ["a", "b"]]
 
 
+def _turned(pairs: DataFrame) -> DataFrame:
+    """pairs (a, b), staged, with the one that has more pairs as a."""
+    degree = stage(pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS))
+    if not degree.take(1):
+        return pairs
+    of = lambda c: small(degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")))
+    turn = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
+    out = stage(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b")))
+    unstage(degree)
+    return out
+
+
 def _met(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """pairs (a, b), in either order, with the column of table (rep, column) for both, as ba and bb. The one with more pairs becomes a, which is there once for each PARTNERS of its pairs."""
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS)
-    degree = stage(degree)
-    if degree.take(1):
-        of = lambda c: small(degree.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")))
-        turn = F.coalesce("n_b", F.lit(0)) > F.coalesce("n_a", F.lit(0))
-        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+    """pairs (a, b) with the column of table (rep, column) for both, as ba and bb. a may have very many pairs: then it is there once for each PARTNERS of them."""
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > PARTNERS)
     many = stage(many.select("a", F.ceil(F.col("n") / PARTNERS).cast("int").alias("parts")))
     cut = pairs.join(small(many), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).drop("parts")
@@ -187,7 +193,7 @@ def linked_classes(docs: DataFrame, key: str, text: str, percent: float, form: t
     more, rare = _rare_pairs(rest, blobs, kind, percent)
     more = stage(more.select(*pair("rep", "rep2")).distinct().join(tried.select(*pair("a", "b")), ["a", "b"], "left_anti"))
     unstage(*rare)
-    links = stage(links.unionAll(_confirm(more, sigs, blobs, percent, least)).select(*pair("a", "b")).distinct())
+    links = stage(links.unionAll(_confirm(_turned(more), sigs, blobs, percent, least)).select(*pair("a", "b")).distinct())
     unstage(reps, members, cands, blobs, live, tried, comp, rest, more)
     out = meta.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash"))
     return out, classes, links, stage(components(links))
