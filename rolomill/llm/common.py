@@ -22,16 +22,25 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+#: Bytes of an Arrow batch of rows that may be large, beside the limit on its rows; a single row may be larger.
+BATCH_BYTES = 16_000_000
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
-    """So many rows at most in the Arrow batches of what is run meanwhile: for rows that may be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    """So many rows and BATCH_BYTES at most in the Arrow batches of what is run meanwhile: for rows that may be large."""
+    now = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in now}
+    for name, value in now.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def text_of(docs: DataFrame, text: str = "text"):

@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -89,14 +88,14 @@ def _alike(batches, least):
 
 
 def _linked(batches, percent):
-    """Keep pairs whose full sets are similar enough."""
+    """Keep pairs whose full sets are similar enough. The sets are read where Arrow has them, without copies."""
     for b in batches:
         ok = []
-        for x, y in zip(b["ba"], b["bb"], strict=True):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+        for x, y in zip(b.column("ba"), b.column("bb"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * both >= percent * (len(x) + len(y) - both))
-        yield b.loc[pd.Series(ok, index=b.index, dtype=bool), ["a", "b"]]
+        yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _turned(pairs: DataFrame) -> DataFrame:
@@ -125,7 +124,7 @@ def _confirm(pairs: DataFrame, sigs: DataFrame, blobs: DataFrame, percent: float
     kind = f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}"
     near = stage(_met(pairs, sigs, "sig").mapInPandas(lambda x: _alike(x, least), kind))
     with batches_of(pairs.sparkSession, 500):  # two sets in each row
-        out = stage(_met(near, blobs, "blob").mapInPandas(lambda x: _linked(x, percent), kind))
+        out = stage(_met(near, blobs, "blob").mapInArrow(lambda x: _linked(x, percent), kind))
     unstage(near)
     return out
 
