@@ -47,6 +47,17 @@ def test_page_emails(spark):
     assert got == [["a.b@acme.io", "bob@acme.io", "eve@acme.io", "kim@acme.io"], []]
 
 
+def test_addresses_begin_and_end_as_in_their_sql(tmp_path):
+    """Beside letters outside ASCII too: a boundary of words within a run of letters and dots begins no address."""
+    texts = ["Enbachbe \u00fcaekf.25@mail6.example.com St", "\u00c9pa.mfe.11@mail2.example.com, \u00e9ve@acme.io", "\u00e9.bob at acme.io \u00e9.eve@acme[dot]io \u00e9.kim @ acme . io", "a.b@acme.io a@b.cd|9", ".x@acme.io %y@acme.io", "z@acme.io\u00e9"]
+    c = duckdb.connect()
+    c.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    c.executemany("insert into pages values (?, '', ?)", [(i, f"<body><main>{t}</main></body>") for i, t in enumerate(texts)])
+    want = dict(c.execute(queries.ORACLE_SQL["page_emails"]).fetchall())
+    assert want[0] == "25@mail6.example.com"
+    assert {i: ",".join(pages.parse(f"<body><main>{t}</main></body>")[2]) for i, t in enumerate(texts)} == want
+
+
 def test_pages():
     """Selectors in their order, all matches, nested ones again; text nodes; dropped elements; broken markup; coded addresses."""
     code = "".join(f"{b:02x}" for b in [7, *(ord(c) ^ 7 for c in "ann@acme.io")])
