@@ -186,6 +186,45 @@ def test_a_value_that_very_many_rows_share(spark):
     assert [(r.i, r.j) for r in dedup.candidates(df, cap=50).orderBy("i", "j").collect()] == [(0, j) for j in range(1, 51)]
 
 
+def _few_contacts(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["Ann", "Anna", "Bob"]), rng.choice(["Lee", "Leen", "Kowalski"]), rng.choice(["n/a", None, "a@b.io", f"u{i % 9}@b.io"]), rng.choice([None, "5550001111", f"555000{i % 7:04d}"])) for i in range(90)]
+    return spark.createDataFrame(rows, "row_id long, first_name string, last_name string, email string, phone string").repartition(3)
+
+
+def test_pairs_of_a_common_value_are_made_by_many_tasks(spark, monkeypatch):
+    """In tiles of two blocks; all pairs are there, once."""
+    monkeypatch.setattr(dedup, "SIDE", 4)
+    df = _few_contacts(spark)
+    same = df.withColumn("email", F.expr("if(row_id < 90, 'x@y.io', first_name)"))
+    got = dedup.email_pairs(same).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.i, r.j) for r in got) == [(i, j) for i in range(90) for j in range(i + 1, 90)]
+    assert len({r.task for r in got}) > 4
+    one = normal(dedup.candidates(df).collect()), normal(dedup.name_pairs(df).collect())
+    monkeypatch.setattr(dedup, "SIDE", 4000)
+    assert one == (normal(dedup.candidates(df).collect()), normal(dedup.name_pairs(df).collect()))
+
+
+def test_candidates_are_never_grouped_by_pair(spark):
+    """Email goes before phone before name, told by the rows' own values: no pair is shuffled."""
+    df = _few_contacts(spark)
+    got = dedup.candidates(df)
+    best = {}
+    for pairs in (dedup.name_pairs(df), dedup.phone_pairs(df), dedup.email_pairs(df)):
+        best.update({(r.i, r.j): (r.score, r.reason) for r in pairs.collect()})
+    assert normal(got.collect()) == normal([(*ij, *v) for ij, v in best.items()])
+    assert "Aggregate [i#" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cap", [1, 40, 5000])
+def test_cap_makes_pairs_of_the_first_rows_only(spark, cap):
+    df = _few_contacts(spark)
+    want = sorted((tuple(r) for r in dedup.candidates(df, compat_nan=True).collect()), key=lambda r: r[:2])[:cap]
+    assert sorted(tuple(r) for r in dedup.candidates(df, compat_nan=True, cap=cap).collect()) == want
+    last = dedup._last_row(dedup._keys(df, True), cap)
+    assert last is None if cap == 5000 else max(i for i, *_ in want) <= last < 89
+
+
 def test_cap_keeps_the_first_pairs(spark):
     rnd = random.Random(9)
     df = spark.createDataFrame(odd_contacts(60, rnd), CONTACT)
@@ -218,6 +257,10 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
         assert {r.row_id: r.parent for r in got.collect()} == parent
 
 
+def test_a_code_is_made_once_for_all_its_bytes():
+    assert str(emails.decode_cloudflare(F.col("made_code"))).count("made_code") <= 2
+
+
 def test_masked_and_cloudflare(spark):
     df = spark.createDataFrame([("name(at)co(dot)io",)], "t string")
     r = df.select(emails.decode_masked(F.col("t")).alias("a"), emails.decode_masked(F.col("t"), strict=True).alias("b"), emails.decode_cloudflare(F.lit("zz")).alias("c")).first()
