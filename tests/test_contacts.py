@@ -47,6 +47,13 @@ def test_page_emails(spark):
     assert got == [["a.b@acme.io", "bob@acme.io", "eve@acme.io", "kim@acme.io"], []]
 
 
+def test_pages_come_to_python_by_the_hundred():
+    """Arrow's batches hold 10,000 pages, whatever their size."""
+    from pyspark.util import PythonEvalType
+
+    assert pages.page_parts.evalType == PythonEvalType.SQL_BATCHED_UDF
+
+
 def test_addresses_begin_and_end_as_in_their_sql(tmp_path):
     """Beside letters outside ASCII too: a boundary of words within a run of letters and dots begins no address."""
     texts = ["Enbachbe \u00fcaekf.25@mail6.example.com St", "\u00c9pa.mfe.11@mail2.example.com, \u00e9ve@acme.io", "\u00e9.bob at acme.io \u00e9.eve@acme[dot]io \u00e9.kim @ acme . io", "a.b@acme.io a@b.cd|9", ".x@acme.io %y@acme.io", "z@acme.io\u00e9"]
