@@ -405,6 +405,25 @@ def test_search(spark):
     assert search.search(contacts.limit(0), df).count() == 0 and search.search(contacts, df.limit(0)).count() == 0
 
 
+def test_search_blocks(spark, monkeypatch):
+    """A rare term of very many searches is asked in blocks, pages that several rare terms find count once, and the scores are those of plain Python."""
+    from math import floor, log
+
+    monkeypatch.setattr(search, "SEARCHES", 3)
+    pages_ = [(i, f"t{i % 5}", f"rare common w{i % 3} w{i % 7} x{i}" if i < 12 else f"common w{i % 7} y{i % 4}") for i in range(40)]
+    people_ = [(i, "rare", f"w{i % 7}", f"common x{i} y{i % 4}") for i in range(60)]
+    most, on = 12, {i: {*f"{t} {x}".split(), *map(" ".join, zip(f"{t} {x}".split(), f"{t} {x}".split()[1:], strict=False))} for i, t, x in pages_}
+    df = {w: sum(w in o for o in on.values()) for o in on.values() for w in o}
+    want = set()
+    for i, f, l, c in people_:
+        asked = {f, l, f"{f} {l}", *c.split()}
+        found = [(-sum(floor(1000 * log(40 / df[w])) for w in asked & on[p]), p) for p in on if any(df[w] <= most for w in asked & on[p])]
+        want |= {(i, p, -s, n) for n, (s, p) in enumerate(sorted(found)[:3], 1)}
+    found = search.search(spark.createDataFrame(people_, "row_id long, first_name string, last_name string, current_company string"), spark.createDataFrame(pages_, "page_id long, title string, text string"), top=3, most_pages=most)
+    assert len(want) == 180 and {tuple(r) for r in found.collect()} == want and found.count() == 180
+    assert spark.range(1).select(search.words(F.lit(" Ab,cd-eF g"), 3).alias("w")).first().w == ["ab", "cd", "ef"]
+
+
 def test_manifest_and_differences(spark):
     """Digests don't depend on order or tasks; changed, lost, repeated rows and swapped columns are named."""
     rows = [(str(i), None if i % 7 == 0 else f"v{i % 5}", "a,\"b\nc") for i in range(500)]
