@@ -114,6 +114,18 @@ def test_resolve_is_greedy(spark, monkeypatch):
             assert {r.row_id: r.parent for r in got.collect()} == parent
 
 
+def test_resolve_leaves_covered_rows_out(spark, monkeypatch):
+    """Of 3,000 rows with one email, 300 for each of ten names, a few are resolved; the others merge into their smallest survivors."""
+    sizes, components = [], dedup.components
+    monkeypatch.setattr(dedup, "components", lambda e: sizes.append(e.count()) or components(e))
+    rows = [(i, f"n{i % 10}") for i in range(3000)] + [(i, "mail") for i in range(3000) if i % 7 == 3]
+    got = dedup.resolve(spark.createDataFrame(rows, "row_id long, grp string"), spark.createDataFrame([("n1", "n2")], "a string, b string"))
+    # 2 goes with 1, 10 of n0 and 17 of n7 share the email with 3 but go with 0 and 7
+    survivors = {i for i in range(10) if i != 2}
+    want = {i: 1 if i % 10 == 2 and i % 7 != 3 else min({1 if i % 10 == 2 else i % 10, *([3] if i % 7 == 3 else [])}) for i in range(3000) if i not in survivors}
+    assert {r.row_id: r.parent for r in got.collect()} == want and max(sizes) < 100
+
+
 def test_resolve_hub_and_chain(spark):
     """A value that very many rows share, and a chain of a thousand rows."""
     hub = spark.range(100_000).select(F.col("id").alias("row_id"), F.lit("hub").alias("grp"))
