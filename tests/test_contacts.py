@@ -114,6 +114,20 @@ def test_resolve_is_greedy(spark, monkeypatch):
             assert {r.row_id: r.parent for r in got.collect()} == parent
 
 
+def test_pair_count_of_few_and_many_names(spark, monkeypatch):
+    """Pairs of rows counted one by one; values that few names share, and many, count alike."""
+    rnd = random.Random(5)
+    pick = lambda c, n: rnd.choice([None, *(f"{c}{i}" for i in range(n))])
+    rows = [(i, pick("e", 4), pick("p", 9), pick("n", 7)) for i in range(60)]
+    links = [(f"n{a}", f"n{b}") for a in range(7) for b in range(a + 1, 7) if rnd.random() < 0.4]
+    same = lambda x, y: any(u is not None and u == v for u, v in zip(x[1:], y[1:], strict=True)) or (x[3], y[3]) in links or (y[3], x[3]) in links
+    want = sum(same(x, y) for x in rows for y in rows if x[0] < y[0])
+    keys = spark.createDataFrame(rows, "row_id long, email string, phone string, name string")
+    for names_ in (5, 200):
+        monkeypatch.setattr(dedup, "NAMES", names_)
+        assert dedup.pair_count(keys, spark.createDataFrame(links, "a string, b string")).first().n == want
+
+
 def test_resolve_leaves_covered_rows_out(spark, monkeypatch):
     """Of 3,000 rows with one email, 300 for each of ten names, a few are resolved; the others merge into their smallest survivors."""
     sizes, components = [], dedup.components
