@@ -41,10 +41,11 @@ def differences(df: DataFrame, again: DataFrame, buckets: int, kept: DataFrame |
     """The rows that aren't as often in again as in df: the columns of df, expected, found. kept: the manifest that was stored when df was written (made of df by default).
 
     A changed row is there twice, as it was (found less often) and as it is. Columns of again are taken by df's names; null and the empty text are equal.
+    df and again are read twice (df once if kept is given): what is dear to make is to be staged before. Numbers of buckets are broadcast; rows are shuffled once, by their values.
     """
     again = again.select(*(f"`{c}`" for c in df.columns))
     bad = differing(manifest(df, buckets) if kept is None else kept, manifest(again, buckets)).select("bucket")
-    rows = lambda x, n: _hashed(x, buckets).join(bad, "bucket", "left_semi").select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns), F.lit(n).alias("side"))
+    rows = lambda x, n: _hashed(x, buckets).join(F.broadcast(bad), "bucket", "left_semi").select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns), F.lit(n).alias("side"))
     both = rows(df, 0).unionAll(rows(again, 1)).groupBy(*(f"`{c}`" for c in df.columns))
     counts = both.agg(F.sum((F.col("side") == 0).cast("long")).alias("expected"), F.sum((F.col("side") == 1).cast("long")).alias("found"))
     return counts.where("expected != found")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolomill import queries
-from rolomill.functions import emails, pages, people
+from rolomill.functions import emails, pages, people, text
 from rolomill.operators import cache, columns, dedup, enrich, names, search
 from rolomill.plans.pipeline import Pipeline, PipelineConfig, standard_pipeline
 from rolomill.sources import files, manifest, workbooks, xls
@@ -465,6 +465,33 @@ def test_manifest_and_differences(spark):
         assert manifest.differences(df.limit(0), df.limit(0), n).count() == 0 and manifest.differences(df.limit(0), df, n).count() == 500
 
 
+def test_export_is_made_once(spark, sf, monkeypatch):
+    """Contacts are cleaned once, however often the export is written, digested and compared; rows aren't shuffled by bucket."""
+    made, raw = spark.sparkContext.accumulator(0), queries.contacts_raw
+
+    @F.udf("string")
+    def seen(v):
+        made.add(1)
+        return v
+
+    monkeypatch.setattr(queries, "contacts_raw", lambda *a: raw(*a).withColumn("geo", seen.asNondeterministic()("geo")))
+    assert queries.QUERIES["export_differences"](spark, sf).count() > 0 and made.value == 150
+    df = spark.createDataFrame([(str(i), "v") for i in range(50)], "id string, v string").repartition(3)
+    plan = manifest.differences(df, df, 4)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("LeftSemi") == plan.count("LeftSemi, BuildRight") == 2 and "SortMergeJoin [bucket" not in "".join(x for x in plan.splitlines() if "LeftSemi" in x)
+
+
+def test_trim_all(spark):
+    """White space is what (?U)\\s of Java's patterns says, at both ends only; a long run inside costs no more than its length."""
+    c = spark.range(0x110000).where("id not between 55296 and 57343").select("id", F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c")).where("id != 65279")
+    odd = c.select("id", "c", text.trim_all(F.col("c")).alias("one"), F.regexp_replace("c", r"(?U)^\s+|\s+$", "").alias("old"), text.trim_all(F.concat("c", F.lit("a"), "c", F.lit("b\n"), "c", "c")).alias("many"))
+    many = F.when(F.col("old") == "", F.concat(F.lit("a"), "c", F.lit("b"))).otherwise(F.concat("c", F.lit("a"), "c", F.lit("b\n"), "c", "c"))
+    assert odd.where((F.col("one") != F.col("old")) | (F.col("many") != many)).count() == 0 and odd.where("one = ''").count() == len(text.WHITE) == 25
+    long = spark.range(1).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 400_000), F.lit("b\u2003 ")).alias("t"), F.lit(None).cast("string").alias("n"))
+    got = long.select(text.trim_all(F.col("t")).alias("t"), text.trim_all(F.col("n")).alias("n")).first()
+    assert got.t == "a" + " " * 400_000 + "b" and got.n is None
+
+
 def test_url_cache(spark, tmp_path):
     rnd = random.Random(3)
     urls = [f"http://site{rnd.randrange(10**9)}.org/{'x' * rnd.randrange(90)}" for _ in range(4000)]
