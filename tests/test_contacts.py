@@ -487,6 +487,8 @@ def test_trim_all(spark):
     odd = c.select("id", "c", text.trim_all(F.col("c")).alias("one"), F.regexp_replace("c", r"(?U)^\s+|\s+$", "").alias("old"), text.trim_all(F.concat("c", F.lit("a"), "c", F.lit("b\n"), "c", "c")).alias("many"))
     many = F.when(F.col("old") == "", F.concat(F.lit("a"), "c", F.lit("b"))).otherwise(F.concat("c", F.lit("a"), "c", F.lit("b\n"), "c", "c"))
     assert odd.where((F.col("one") != F.col("old")) | (F.col("many") != many)).count() == 0 and odd.where("one = ''").count() == len(text.WHITE) == 25
+    bad = spark.createDataFrame([(x,) for x in ("20FF41C3", "41E28220", "F09F9841", "C0AF", "80C220", "F4908080")], "h string").select(F.expr("cast(unhex(h) as string)").alias("c"))
+    assert bad.where(F.hex(text.trim_all(F.col("c"))) != F.hex(F.regexp_replace("c", r"(?U)^\s+|\s+$", ""))).count() == 0
     long = spark.range(1).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 400_000), F.lit("b\u2003 ")).alias("t"), F.lit(None).cast("string").alias("n"))
     got = long.select(text.trim_all(F.col("t")).alias("t"), text.trim_all(F.col("n")).alias("n")).first()
     assert got.t == "a" + " " * 400_000 + "b" and got.n is None
