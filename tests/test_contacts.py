@@ -238,6 +238,34 @@ def test_pairs_of_a_common_value_are_made_by_many_tasks(spark, monkeypatch):
     assert one == (normal(dedup.candidates(df).collect()), normal(dedup.name_pairs(df).collect()))
 
 
+def test_blocks_grow_with_a_value(spark, monkeypatch):
+    """Each row goes to a tile for each block of its value, so a value of very many rows has larger blocks instead of more; blocks are ranges of row_id of about equal size, also where ids lie unevenly."""
+    monkeypatch.setattr(dedup, "SIDE", 4)
+    n = 2000
+    rows = spark.range(n).select((F.col("id") * F.col("id")).alias("row_id"), F.lit("a@b.io").alias("email")).withColumn("row", F.col("row_id"))
+    dealt = dedup._dealt(rows, "email")
+    blocks = dealt.groupBy("block").agg(F.max("blocks").alias("blocks"), F.sum(F.size("run")).alias("n"), F.min(F.get("run", F.lit(0))).alias("first"), F.max(F.element_at("run", -1)).alias("last")).orderBy("block").collect()
+    assert len(blocks) == blocks[0]["blocks"] == dedup.FEW < n / 4
+    assert sum(b["n"] for b in blocks) == n and max(b["n"] for b in blocks) < 2 * n / dedup.FEW
+    assert all(x["last"] < y["first"] for x, y in zip(blocks, blocks[1:]))
+    got = dedup._within(dealt, 95.0, "email_match")
+    assert got.agg(F.count("*"), F.countDistinct("i", "j"), F.min(F.col("j") - F.col("i"))).first() == (n * (n - 1) // 2, n * (n - 1) // 2, 1)
+
+
+def _bytes_a_row(df, folder) -> float:
+    df.write.parquet(str(folder))
+    return sum(p.stat().st_size for p in folder.glob("*.parquet")) / df.sparkSession.read.parquet(str(folder)).count()
+
+
+def _many_contacts(spark, n: int, name: str):
+    return spark.range(n).select(F.col("id").alias("row_id"), F.expr(name).alias("first_name"), F.lit("Lee").alias("last_name"), F.lit("n/a").alias("email"), F.lit(None).cast("string").alias("phone")).repartition(3)
+
+
+def test_email_pairs_are_written_small(spark, tmp_path):
+    """Neighbouring pairs repeat their rows."""
+    assert _bytes_a_row(dedup.email_pairs(_many_contacts(spark, 2000, "'Ann'")), tmp_path / "out") < 0.5
+
+
 def test_candidates_are_never_grouped_by_pair(spark):
     """Email goes before phone before name, told by the rows' own values: no pair is shuffled."""
     df = _few_contacts(spark)
