@@ -271,6 +271,11 @@ def test_name_pairs_are_written_small(spark, tmp_path):
     assert _bytes_a_row(dedup.name_pairs(_many_contacts(spark, 1600, "if(id % 2 = 0, 'Ann', 'Anna')")), tmp_path / "out") < 0.5
 
 
+def test_candidates_are_written_small(spark, tmp_path):
+    df = _many_contacts(spark, 1600, "if(id % 2 = 0, 'Ann', 'Anna')").withColumn("email", F.expr("if(row_id % 4 = 0, 'n/a', null)"))
+    assert _bytes_a_row(dedup.candidates(df), tmp_path / "out") < 0.5
+
+
 def test_candidates_are_never_grouped_by_pair(spark):
     """Email goes before phone before name, told by the rows' own values: no pair is shuffled."""
     df = _few_contacts(spark)
